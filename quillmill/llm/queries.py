@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding
+from . import bpe, exact_dedup, language_id, sharding, token_counts, toxicity
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_bpe": bpe.op3_bpe,
+    "op7_token_counts": token_counts.op7_token_counts,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_sharding": sharding.op10_sharding,
 }
 
