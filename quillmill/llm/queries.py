@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, sharding, token_counts, toxicity
+from . import bpe, exact_dedup, language_id, licenses, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_bpe": bpe.op3_bpe,
+    "op6_licenses": licenses.op6_licenses,
     "op7_token_counts": token_counts.op7_token_counts,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_sharding": sharding.op10_sharding,
@@ -15,4 +16,5 @@ QUERIES = {
 
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op6_licenses": licenses.ORACLE,
 }
