@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, licenses, sharding, token_counts, toxicity
+from . import bpe, decontamination, exact_dedup, language_id, licenses, near_dedup, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_bpe": bpe.op3_bpe,
+    "op4_near_dedup": near_dedup.op4_near_dedup,
+    "op5_decontamination": decontamination.op5_decontamination,
     "op6_licenses": licenses.op6_licenses,
     "op7_token_counts": token_counts.op7_token_counts,
     "op9_toxicity": toxicity.op9_toxicity,
