@@ -20,6 +20,7 @@ import heapq
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -136,11 +137,11 @@ def _loaded(path: str) -> Bpe:
     return Bpe(path)
 
 
-def encoded(docs: DataFrame, path: str | None = None, full: bool = False) -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256; with full also ids and decoded."""
+def encoded(docs: DataFrame, path: str | None = None, ids: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256, and on request the ids themselves."""
     path = path or default_path()
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full
+    schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(path)
@@ -152,12 +153,26 @@ def encoded(docs: DataFrame, path: str | None = None, full: bool = False) -> Dat
                 rows = [bpe.encoded(t) for t in texts]
                 columns = [part.column(0), pa.array([n for n, _, _ in rows], pa.int64())]
                 columns += [pa.array([hashlib.sha256(row[k].encode()).hexdigest() for row in rows], pa.string()) for k in (1, 2)]
-                if full:
-                    columns += [pa.array([[int(i) for i in ids.split(",")] if ids else [] for _, ids, _ in rows], pa.list_(pa.int32())), pa.array([d for _, _, d in rows], pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(columns)])
+                if ids:
+                    columns.append(pa.array([np.array(told.split(",") if told else [], np.int32) for _, told, _ in rows], pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
     return docs.select("doc_id", "text").mapInArrow(encode, schema)
 
 
+def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id and text of rows with doc_id and ids; null ids give a null text."""
+    path = path or default_path()
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bytes_of = _loaded(path).bytes_of
+        for batch in batches:
+            texts = [None if x is None else b"".join([bytes_of[i] for i in x]).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return rows.select("doc_id", "ids").mapInArrow(decode, f"doc_id {kind}, text string")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(documents(spark, sf_dir))

@@ -252,6 +252,23 @@ def predictions(docs: DataFrame, crf: Crf | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double")
 
 
+def identified(docs: DataFrame, crf: Crf | None, least_score: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns as they are, whose language the model tells with a score of least_score or more."""
+    model = docs.sparkSession.sparkContext.broadcast(crf)
+    text_at = docs.columns.index("text")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predictor = Predictor(model.value) if model.value else None
+        for batch in batches:
+            for start in range(0, len(batch), 512):
+                part = batch.slice(start, 512)
+                if predictor:
+                    langs, scores = predictor([words_of(t.as_py()) for t in part.column(text_at)])
+                    yield part.filter(pa.array([k != UNKNOWN and s >= least_score for k, s in zip(langs, scores)], pa.bool_()))
+
+    return docs.mapInArrow(choose, docs.schema)
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return predictions(docs, train(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, exact_dedup, language_id, licenses, near_dedup, sharding, token_counts, toxicity
+import corpus_pipeline
+
+from . import bpe, decontamination, exact_dedup, language_id, licenses, near_dedup, sharding, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -12,8 +14,10 @@ QUERIES = {
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_licenses": licenses.op6_licenses,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_sharding": sharding.op10_sharding,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
