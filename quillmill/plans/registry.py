@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import queries_people, queries_records
+
+QUERIES = {**queries_people.QUERIES, **queries_records.QUERIES}
+ORACLES = {**queries_people.ORACLES, **queries_records.ORACLES}
