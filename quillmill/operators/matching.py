@@ -158,3 +158,72 @@ def reassign(children: DataFrame, merges: DataFrame) -> DataFrame:
     """children with person_id moved from source_id to target_id."""
     moves = merges.select(F.col("source_id").alias("person_id"), "target_id")
     return children.join(moves, "person_id", "left").withColumn("person_id", F.coalesce("target_id", "person_id")).drop("target_id").select(children.columns)
+
+
+def candidates(incoming: DataFrame, existing: DataFrame, ids: tuple[str, ...] = ("orcid_id", "scholar_id")) -> DataFrame:
+    """in_id, id: existing rows that an incoming row may be, as a union of equi-joins.
+
+    By each external id; and, for rows without such a hit, by a written variant of the name (lower case) or, where the
+    name met anything, by institution and surname. Distinct.
+    """
+    by_id = [incoming.select(F.col("id").alias("in_id"), c).where(F.col(c).isNotNull()).join(existing.select("id", c), c).select("in_id", "id") for c in ids if c in incoming.columns and c in existing.columns]
+    exact = by_id[0] if by_id else incoming.select(F.col("id").alias("in_id"), "id").where(F.lit(False))
+    for more in by_id[1:]:
+        exact = exact.unionByName(more)
+    rest = incoming.join(exact.select(F.col("in_id").alias("id")), "id", "left_anti")
+    name = F.coalesce(F.nullif(F.col("name_en"), F.lit("")), F.col("name_zh"))
+    variants = F.slice(text.name_variants(text.canonical_name(name)), 1, 5)
+    told = rest.select(F.col("id").alias("in_id"), F.explode(F.transform(variants, lambda v: F.lower(v))).alias("key"))
+    known = existing.where("is_active").select("id", F.explode(F.array_distinct(F.array_compact(F.array(F.lower(text.canonical_name(F.col("name_zh"))), F.lower(text.canonical_name(F.col("name_en"))))))).alias("key"))
+    return exact.unionByName(told.join(known, "key").select("in_id", "id")).distinct()
+
+
+def record_similarity(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Similarity of an incoming and a stored record: external ids up to 0.5 where there are any, name 0.4, institution 0.1, over their sum, at most 1."""
+    same = lambda c: F.coalesce(a[c] == b[c], F.lit(False))
+    any_id = a["orcid_id"].isNotNull() | a["scholar_id"].isNotNull()
+    score = F.when(same("orcid_id"), 0.5).otherwise(0.0) + F.when(same("scholar_id"), 0.4).otherwise(0.0)
+    score = score + F.coalesce(text.name_similarity(a["name"], b["name"]), F.lit(0.0)) * 0.4
+    score = score + F.when(F.coalesce(F.lower(a["institution"]) == F.lower(b["institution"]), F.lit(False)), 0.1).otherwise(0.0)
+    return F.least(F.lit(1.0), score / F.when(any_id, 1.0).otherwise(0.5))
+
+
+def decisions(incoming: DataFrame, existing: DataFrame, high: float = 0.85, medium: float = 0.65) -> DataFrame:
+    """in_id, id, similarity, decision (match, review, new): the best candidate of every incoming row; ties go to the smallest id."""
+    name = lambda p: F.coalesce(F.nullif(F.col(f"{p}_name_en"), F.lit("")), F.col(f"{p}_name_zh"))
+    columns = ("name_zh", "name_en", "institution", "orcid_id", "scholar_id")
+    tell = lambda df, p, key: df.select(F.col("id").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in columns])
+    pairs = candidates(incoming, existing).join(tell(incoming, "a", "in_id"), "in_id").join(tell(existing, "b", "id"), "id")
+    record = lambda p: {"name": name(p), **{c: F.col(f"{p}_{c}") for c in ("institution", "orcid_id", "scholar_id")}}
+    scored = pairs.withColumn("similarity", record_similarity(record("a"), record("b")))
+    best = scored.groupBy("in_id").agg(F.max(F.struct("similarity", (-F.col("id")).alias("least"))).alias("m"))
+    joined = incoming.select(F.col("id").alias("in_id")).join(best, "in_id", "left")
+    value = F.coalesce("m.similarity", F.lit(0.0))
+    return joined.select("in_id", F.when(value >= medium, -F.col("m.least")).alias("id"), value.alias("similarity"), F.when(value >= high, "match").when(value >= medium, "review").otherwise("new").alias("decision"))
+
+
+def directory_match(display: Column, works: Column, orcid: Column, institutions: Column, name_en: Column, name_zh: Column, institution: Column) -> Column:
+    """Confidence that an entry of an author directory is our person: name 0.45, institution 0.30, plausible work count 0.15, an ORCID 0.10; accepted from 0.5."""
+    d, en, zh, inst = F.lower(display), F.lower(name_en), F.lower(F.regexp_replace(name_zh, r"\s+", "")), F.lower(institution)
+    tight = F.regexp_replace(d, r"\s+", "")
+    parts = F.split(en, r"\s+")
+    first, last = F.element_at(parts, 1), F.element_at(parts, -1)
+    english = F.when((tight == F.regexp_replace(en, r"\s+", "")) | F.contains(d, en) | F.contains(en, d), 0.25).when(F.contains(d, first) & F.contains(d, last), 0.20).when(F.contains(d, last), 0.12).otherwise(0.0)
+    letters = F.split(zh, "")
+    overlap = F.size(F.filter(letters, lambda c: F.contains(tight, c))) / F.greatest(F.size(letters), F.lit(1))
+    chinese = F.when(F.contains(tight, zh) | F.contains(zh, tight), 0.20).otherwise(overlap * 0.20)
+    names = F.transform(institutions, lambda n: F.lower(n))
+    where = F.when(F.array_contains(names, inst), 0.30).when(F.exists(names, lambda n: F.contains(n, inst) | F.contains(inst, n)), 0.22).otherwise(0.0)
+    amount = F.when(works.between(10, 500), 0.15).when(works.between(5, 800), 0.10).otherwise(0.0)
+    zero = F.lit(0.0)
+    return F.coalesce(english, zero) + F.coalesce(chinese, zero) + F.coalesce(where, zero) + amount + F.when(orcid.isNotNull(), 0.10).otherwise(0.0)
+
+
+def graph_service_match(found: Column, aliases: Column, affiliations: Column, papers: Column, name: Column, institution: Column) -> Column:
+    """Confidence of a citation-graph service's entry: equal name 0.5, one in the other 0.35, alias 0.25; affiliation 0.4; over 10 and over 50 papers 0.05 each; accepted from 0.4."""
+    f, n, i = F.lower(found), F.lower(name), F.lower(institution)
+    within = lambda a, b: F.contains(a, b) | F.contains(b, a)
+    alias = F.coalesce(F.exists(aliases, lambda a: within(F.lower(a), n)), F.lit(False))
+    named = F.when(f == n, 0.5).when(within(f, n), 0.35).when(alias, 0.25).otherwise(0.0)
+    located = F.when(F.coalesce(F.exists(affiliations, lambda a: within(F.lower(a), i)), F.lit(False)), 0.4).otherwise(0.0)
+    return named + located + F.when(papers > 10, 0.05).otherwise(0.0) + F.when(papers > 50, 0.05).otherwise(0.0)

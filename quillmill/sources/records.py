@@ -39,7 +39,7 @@ def _as_struct(columns: str) -> str:
     out, depth, name = [], 0, True
     for c in columns:
         depth += (c == "<") - (c == ">")
-        if c == " " and name and not depth and out and out[-1] != " ":
+        if c == " " and name and not depth and out and out[-1] != ",":
             out.append(":")
             name = False
         elif c == "," and not depth:
