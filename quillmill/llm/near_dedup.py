@@ -7,13 +7,15 @@ of compressed registers, lies more than five standard errors under the threshold
 on the full sets with 100 * intersection >= 75 * union. At Jaccard 0.75 a pair agrees in one of 51 bands except with
 probability 1e-6, above it less.
 
-No group is ever expanded into its pairs:
+No group is ever expanded into rows for its pairs:
 * documents with the same set are one node from the start (grouped with partial aggregation);
-* in every bucket all members are compared with one centre, in a few rounds with other centres; members that are by
-  then in one component need no comparison;
-* a bucket that still joins several components is finished exactly: up to SMALL members by its pairs between different
-  components; larger ones are cut by the other bands (agreement in two bands, then three), and what is left after
-  that is worked off centre by centre.
+* in every bucket all members are compared with one centre (drawn by a hash), then with another; members that are
+  by then in one component need no comparison;
+* buckets of more than LARGE members that still join several components are cut by further bands (agreement in two,
+  three ... bands, taken in ascending order);
+* what is left is compared in blocks of at most BLOCK rows a side inside tasks, on sketches: register rows, then the
+  smallest hashes of both sets (the whole set up to LOWEST shingles). A pair of different components is looked at in
+  the bucket of its first common bands only, and leaves the task only if its estimate allows the threshold.
 Components grow by min-label propagation with pointer jumping; every table between rounds is written to the shared
 folder. Nothing but row counts reaches the driver.
 
@@ -32,13 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, documents, gram_hashes, written
+from .common import WordHashes, documents, gram_hashes, mixed, written
 
 WORDS, PERCENT = 5, 75
 REGISTERS, MANTISSA = 256, 10
 ROWS, BANDS = 5, 51
-EMPTY = 0xFFFF
-CENTRE_ROUNDS, SMALL, LEVELS = 3, 24, 2
+#: Centres tried per level; rows a side of a block; members from which a bucket is cut further, and how often; hashes kept.
+CENTRES, BLOCK, LARGE, LEVELS, LOWEST = 2, 256, 4096, 4, 256
 _BOUNDS = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(56)
 
 
@@ -48,21 +50,40 @@ def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
     return np.unique(gram_hashes(words, min(WORDS, len(words)))) if len(words) else words
 
 
+def _probes() -> np.ndarray:
+    """For each register, the place of every register in a fixed random order that begins with itself."""
+    order = np.argsort(mixed(np.arange(REGISTERS * REGISTERS, dtype=np.uint64)).reshape(REGISTERS, REGISTERS), axis=1)
+    place = np.argsort(order, axis=1) + 1
+    np.fill_diagonal(place, 0)
+    return place.astype(np.uint16)
+
+
+_PLACE = _probes()
+
+
 def registers(found: np.ndarray) -> np.ndarray:
-    """HyperMinHash registers of a sorted set: leading zeros and mantissa of each bucket's smallest hash."""
+    """HyperMinHash registers of a sorted, non-empty set: leading zeros and mantissa of each bucket's smallest hash.
+
+    A register whose bucket is empty takes over the first full one in its own fixed random order (densification), so
+    registers of small sets agree with the probability of the Jaccard similarity as well.
+    """
     at = np.searchsorted(found, _BOUNDS)
     least = found[np.minimum(at, len(found) - 1)]
-    full = (at < len(found)) & (least >> np.uint64(56) == np.arange(REGISTERS, dtype=np.uint64))
-    rest = least << np.uint64(8)
+    full = np.flatnonzero((at < len(found)) & (least >> np.uint64(56) == np.arange(REGISTERS, dtype=np.uint64)))
+    rest = least[full] << np.uint64(8)
     zeros = np.minimum(63, 64 - np.frexp(rest.astype(np.float64))[1]).astype(np.uint64)
     mantissa = (rest << (zeros + np.uint64(1))) >> np.uint64(64 - MANTISSA)
-    return np.where(full, (zeros << np.uint64(MANTISSA)) | mantissa, EMPTY).astype(np.uint16)
+    told = ((zeros << np.uint64(MANTISSA)) | mantissa).astype(np.uint16)
+    return told if len(full) == REGISTERS else told[_PLACE[:, full].argmin(1)]
 
 
 def estimates(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Jaccard estimates of pairs of register rows, and the registers they rest on; chance agreement is taken off."""
-    used = ((a != EMPTY) | (b != EMPTY)).sum(1)
-    same = ((a == b) & (a != EMPTY)).sum(1)
+    """Jaccard estimates of pairs of register rows, and their standard errors at the threshold.
+
+    Chance agreement of compressed registers is taken off. Registers of small sets repeat one another, so the error goes
+    by the buckets that the smaller set fills.
+    """
+    same = (a == b).sum(1)
     z = np.arange(56)
 
     def of_zeros(n: np.ndarray) -> np.ndarray:
@@ -70,25 +91,29 @@ def estimates(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
         return np.exp(-load * 2.0 ** -(z + 1)) - np.exp(-load * 2.0**-z)
 
     by_chance = REGISTERS * (of_zeros(n_a) * of_zeros(n_b)).sum(1) / 2**MANTISSA
-    return np.clip((same - by_chance) / np.maximum(used, 1), 0, 1), used
+    filled = REGISTERS * -np.expm1(-np.minimum(n_a, n_b) / REGISTERS)
+    error = 1.5 * np.sqrt(PERCENT * (100 - PERCENT) / 1e4 / np.maximum(filled, 1))
+    return np.clip((same - by_chance) / REGISTERS, 0, 1), error
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (128-bit hash of the set), registers."""
+    """doc_id, n_shingles, set_key (128-bit hash of the set), registers, low (upper halves of the smallest hashes)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            sizes, keys, rows = [], [], []
+            sizes, keys, rows, lows = [], [], [], []
             for text in batch.column(1):
                 found = shingle_set(text.as_py(), hashes)
                 sizes.append(len(found))
                 keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 rows.append(registers(found).astype(">u2").tobytes() if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(rows, pa.binary())], ["doc_id", "n_shingles", "set_key", "registers"])
+                lows.append((found[:LOWEST] >> np.uint64(32)).astype(np.uint32).tobytes() if len(found) else None)
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), *(pa.array(c, pa.binary()) for c in (keys, rows, lows))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "registers", "low"])
 
-    return docs.select("doc_id", "text").mapInArrow(sketch, f"doc_id {kind}, n_shingles bigint, set_key binary, registers binary")
+    return docs.select("doc_id", "text").mapInArrow(sketch, f"doc_id {kind}, n_shingles bigint, set_key binary, registers binary, low binary")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -105,18 +130,37 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sets, "node bigint, hashes array<bigint>")
 
 
-def banded(nodes: DataFrame, within: str | None = None) -> DataFrame:
-    """(key, node, n) for each band of each node that has a full register; within: a column that the key is bound to."""
+def banded(nodes: DataFrame) -> DataFrame:
+    """(key, bands, node, n) for each band of each node; given bands, for each further one with the key bound to all of them."""
     width = 2 * ROWS
-    empty = F.lit(bytearray(b"\xff" * width))
-    band = F.substring("registers", F.col("band") * width + 1, F.lit(width))
-    rows = nodes.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))).withColumn("value", band).where(F.col("value") != empty)
-    bound = [F.col(within)] if within else []
-    return rows.select(F.xxhash64(*bound, "band", "value").alias("key"), "node", "n")
+    value = F.substring("registers", F.col("band") * width + 1, F.lit(width))
+    if "bands" not in nodes.columns:
+        rows = nodes.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))))
+        return rows.select(F.xxhash64("band", value).alias("key"), F.array("band").alias("bands"), "node", "n")
+    last = F.element_at("bands", -1)
+    rows = nodes.where(last < BANDS - 1).withColumn("band", F.explode(F.sequence(last + 1, F.lit(BANDS - 1))))
+    return rows.select(F.xxhash64("key", "band", value).alias("key"), F.concat("bands", F.array("band")).alias("bands"), "node", "n")
+
+
+def _agree(low_a: np.ndarray, low_b: np.ndarray, n_a: int, n_b: int) -> bool:
+    """Whether the smallest hashes leave the threshold possible; up to LOWEST shingles they are the whole sets."""
+    limit = min(low_a[-1] if n_a > LOWEST else 2**32, low_b[-1] if n_b > LOWEST else 2**32)
+    a, b = low_a[: np.searchsorted(low_a, limit, "right")], low_b[: np.searchsorted(low_b, limit, "right")]
+    if not len(a) or not len(b):
+        return True
+    at = np.searchsorted(b, a)
+    common = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    union = len(a) + len(b) - common
+    slack = 4 * (PERCENT * (100 - PERCENT) / 1e4 / union) ** 0.5 if max(n_a, n_b) > LOWEST else 0.01
+    return common / union >= PERCENT / 100 - slack
+
+
+def _register_rows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), ">u2").reshape(len(column), REGISTERS)
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs whose estimate doesn't rule them out."""
+    """The pairs (a, b) whose estimate doesn't rule them out."""
     of = lambda c: nodes.select(F.col("node").alias(c), F.col("registers").alias(f"r_{c}"), F.col("n").alias(f"n_{c}"))
     joined = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "r_a", "r_b", "n_a", "n_b")
 
@@ -124,17 +168,80 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             for start in range(0, len(batch), 4096):
                 part = batch.slice(start, 4096)
-                a, b = (np.frombuffer(b"".join(part.column(k).to_pylist()), ">u2").reshape(len(part), REGISTERS) for k in (2, 3))
-                guess, used = estimates(a, b, part.column(4).to_numpy(), part.column(5).to_numpy())
-                error = np.sqrt(PERCENT * (100 - PERCENT) / 1e4 / np.maximum(used, 1))
-                yield part.select(["a", "b"]).filter(pa.array(guess >= PERCENT / 100 - 5 * error))
+                guess, error = estimates(_register_rows(part.column(2)), _register_rows(part.column(3)), part.column(4).to_numpy(), part.column(5).to_numpy())
+                yield part.select(["a", "b"]).filter(pa.array(guess >= PERCENT / 100 - 4 * error))
 
     return joined.mapInArrow(keep, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+def _likely_in_blocks(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): likely pairs of different components among the rows (key, bands, node, n, comp, members) of each bucket.
+
+    A bucket of m members makes ceil(m / BLOCK) parts; each row is sent to the blocks its part takes part in, so a block
+    has at most about twice BLOCK rows, whatever the bucket's size.
+    """
+    parts = F.ceil(F.col("members") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("node", F.lit(5)), parts).cast("int")
+    each = rows.withColumn("parts", parts).withColumn("part", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = each.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "n", "comp", "bands")
+    full = dealt.join(nodes.select("node", "registers", "low"), "node").select("key", "i", "j", "part", "node", "n", "comp", "bands", "registers", "low")
+    spread = full.repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def likely(held: pa.Table) -> pa.RecordBatch:
+            """Pairs inside each block of whole blocks."""
+            i, j, part, node, n, comp = (held.column(c).to_numpy() for c in ("i", "j", "part", "node", "n", "comp"))
+            key = held.column("key").to_numpy()
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            registers = _register_rows(held.column("registers").combine_chunks())
+            low = [np.frombuffer(x, np.uint32) for x in held.column("low").to_pylist()]
+            bands = held.column("bands").to_pylist()
+            out_a, out_b = [], []
+            for start, end in zip(np.append(0, cuts), np.append(cuts, len(key))):
+                if i[start] == j[start]:
+                    left, right = np.triu_indices(end - start, 1)
+                else:
+                    first = part[start:end] == i[start]
+                    left, right = (x.ravel() for x in np.meshgrid(np.flatnonzero(first), np.flatnonzero(~first), indexing="ij"))
+                left, right = left + start, right + start
+                ok = (comp[left] != comp[right]) & (100 * np.minimum(n[left], n[right]) >= PERCENT * np.maximum(n[left], n[right]))
+                left, right, mine = left[ok], right[ok], np.array(bands[start])
+                for k in range(0, len(left), 8192):
+                    a, b = left[k : k + 8192], right[k : k + 8192]
+                    guess, error = estimates(registers[a], registers[b], n[a], n[b])
+                    same = (registers[a, : ROWS * BANDS] == registers[b, : ROWS * BANDS]).reshape(len(a), BANDS, ROWS).all(2)
+                    order = np.cumsum(same, 1)
+                    here = same[:, mine].all(1) & (order[:, mine] == np.arange(1, len(mine) + 1)).all(1)
+                    good = here & (guess >= PERCENT / 100 - 4 * error)
+                    for x, y in zip(a[good], b[good]):
+                        if _agree(low[x], low[y], n[x], n[y]):
+                            out_a.append(min(node[x], node[y]))
+                            out_b.append(max(node[x], node[y]))
+            return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            for start in range(0, len(batch), 2048):
+                part = batch.slice(start, 2048)
+                key, i, j = (part.column(c).to_numpy() for c in (0, 1, 2))
+                changes = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+                if held and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py(), held[-1].column(2)[-1].as_py()) != (key[0], i[0], j[0]):
+                    changes = np.append(0, changes)
+                if len(changes):  # the last block may go on in the next rows
+                    held.append(part.slice(0, changes[-1]))
+                    yield likely(pa.Table.from_batches([h for h in held if len(h)])) if any(map(len, held)) else part.select(["node", "n"]).slice(0, 0).rename_columns(["a", "b"])
+                    held = [part.slice(changes[-1])]
+                else:
+                    held.append(part)
+        if held:
+            yield likely(pa.Table.from_batches(held))
+
+    return spread.mapInArrow(compare, "a bigint, b bigint")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     of = lambda c: sets.select(F.col("node").alias(c), F.col("hashes").alias(f"h_{c}"))
-    both = _likely(pairs, nodes).join(of("a"), "a").join(of("b"), "b")
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
     common = F.size(F.array_intersect("h_a", "h_b"))
     return both.where(100 * common >= PERCENT * (F.size("h_a") + F.size("h_b") - common)).select("a", "b")
 
@@ -159,22 +266,22 @@ class _Linker:
         self.sets = written(shingle_sets(docs.join(wanted, "doc_id", "left_semi")).dropDuplicates(["node"]), "sets")
 
     def labelled(self, buckets: DataFrame) -> DataFrame:
+        rows = buckets.select("key", "bands", "node", "n")
         if self.comps is None:
-            return buckets.select("key", "node", "n", F.col("node").alias("comp"))
-        return buckets.select("key", "node", "n").join(self.comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            return rows.withColumn("comp", F.col("node"))
+        return rows.join(self.comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
     def open(self, buckets: DataFrame, order) -> DataFrame:
         """Rows of the buckets that join several components, with the bucket's size and centre (least by order)."""
-        rows = self.labelled(buckets)
+        rows = written(self.labelled(buckets), "rows")
         lead = F.min(F.struct(order.alias("order"), "node", "comp", "n")).alias("centre")
         stats = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("members"), lead)
         stats = stats.where("low < high").select("key", "members", "centre")
-        return written(rows.join(stats, "key").select("key", "node", "n", "comp", "members", F.col("centre.node").alias("c_node"), F.col("centre.comp").alias("c_comp"), F.col("centre.n").alias("c_n")), "open")
+        return written(rows.join(stats, "key").select("key", "bands", "node", "n", "comp", "members", F.col("centre.node").alias("c_node"), F.col("centre.comp").alias("c_comp"), F.col("centre.n").alias("c_n")), "open")
 
-    def link(self, pairs: DataFrame) -> None:
-        """Verifies the pairs and joins the components of those that hold."""
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        links = _verified(pairs, self.nodes, self.sets)
+    def link(self, likely: DataFrame) -> None:
+        """Verifies the pairs (a, b) and joins the components of those that hold."""
+        links = _verified(likely, self.sets)
         if self.comps is None:
             links = written(links, "links")
             if not links.isEmpty():
@@ -191,47 +298,31 @@ class _Linker:
         everyone = self.comps.unionByName(fresh).distinct()
         self.comps = written(everyone.join(merged, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "comps")
 
-    @staticmethod
-    def alike(n: str, m: str):
-        """Sets whose sizes allow the threshold."""
-        return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
-
-    def by_centre(self, buckets: DataFrame, order) -> DataFrame:
-        rows = self.open(buckets, order)
-        if not rows.isEmpty():
-            self.link(rows.where(F.col("comp") != F.col("c_comp")).where(self.alike("n", "c_n")).select(F.col("node").alias("x"), F.col("c_node").alias("y")))
-        return rows
-
     def settle(self, buckets: DataFrame) -> None:
-        for level in range(LEVELS + 1):
-            for t in range(CENTRE_ROUNDS):
-                buckets = self.by_centre(buckets, F.xxhash64("node", F.lit(t)) if t or level else F.col("node"))
-                if buckets.isEmpty():
+        for level in range(1, LEVELS + 1):
+            for t in range(CENTRES):
+                rows = self.open(buckets, F.xxhash64("node", F.lit(t)))
+                if rows.isEmpty():
                     return
-            left = self.open(buckets, F.col("node"))
-            small = left.where(F.col("members") <= SMALL)
-            other = small.select("key", F.col("node").alias("y"), F.col("n").alias("m"), F.col("comp").alias("c"))
-            pairs = small.select("key", F.col("node").alias("x"), "n", "comp").join(other, "key").where("x < y and comp != c").where(self.alike("n", "m"))
-            self.link(pairs.select("x", "y"))
-            large = left.where(F.col("members") > SMALL)
-            if large.isEmpty():
+                alike = 100 * F.least("n", "c_n") >= PERCENT * F.greatest("n", "c_n")
+                pairs = rows.where(F.col("comp") != F.col("c_comp")).where(alike).select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct()
+                self.link(_likely(pairs, self.nodes))
+                buckets = rows
+            rows = self.open(buckets, F.col("node"))
+            large = F.col("members") > LARGE
+            self.link(_likely_in_blocks(rows if level == LEVELS else rows.where(~large), self.nodes))
+            if level == LEVELS or rows.where(large).isEmpty():
                 return
-            if level < LEVELS:
-                finer = large.select("key", "node").join(self.nodes, "node").withColumnRenamed("key", "outer")
-                buckets = written(banded(finer, "outer"), "buckets")
-            else:
-                buckets = large
-        while not buckets.isEmpty():  # a member that has been compared with all others leaves
-            rows = self.by_centre(buckets, F.col("node"))
-            buckets = written(rows.where("node != c_node").select("key", "node", "n"), "buckets")
+            finer = rows.where(large).select("key", "bands", "node").join(self.nodes, "node")
+            buckets = written(banded(finer.select("key", "bands", "node", "n", "registers")), "buckets")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     drawn = written(sketches(docs), "sketches")
     named = drawn.where("n_shingles > 0 and doc_id is not null")
-    first = named.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "registers")).alias("f"))
-    nodes = written(first.select("set_key", F.col("f.doc_id").alias("node"), F.col("f.n_shingles").alias("n"), F.col("f.registers").alias("registers")), "nodes")
+    first = named.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "registers", "low")).alias("f"))
+    nodes = written(first.select("set_key", F.col("f.doc_id").alias("node"), F.col("f.n_shingles").alias("n"), "f.registers", "f.low"), "nodes")
     rows = banded(nodes)
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     buckets = written(rows.join(shared, "key", "left_semi"), "buckets")
