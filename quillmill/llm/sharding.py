@@ -3,7 +3,7 @@
 Only DataFrame functions. A record's virtual slot is a hash of its doc_id and never changes. Bytes are summed per
 slot (partial aggregation; the result has at most n_slots rows whatever the input), and a greedy pass over that
 bounded table, largest slot first onto the lightest shard, gives the map. Rebalancing edits the last map: a shard
-keeps its slots up to the mean and gives up the rest. Sizes come out near equal (law `bytes`).
+keeps its slots up to its share and gives up the rest. Sizes come out near equal (law `bytes`).
 
 Null text has no bytes and counts 8; a null doc_id has a slot like any other value; repeated rows are records of
 their own. An empty table gives an empty plan.
@@ -54,15 +54,19 @@ def plan(slots: DataFrame, n_shards: int = SHARDS, version: int = 1) -> DataFram
 
 
 def rebalanced(last: DataFrame, slots: DataFrame, n_shards: int) -> DataFrame:
-    """The next version: shards keep their largest slots as long as they stay within the mean; the rest is dealt anew.
+    """The next version: shards keep their largest slots as long as they stay within their share; the rest is dealt anew.
 
     Slots that the last map doesn't know are dealt too. n_shards may grow or shrink.
     """
     version = F.coalesce(last.agg(F.max("version").alias("v")).select("v").scalar(), F.lit(0)) + 1
-    mean = F.ceil(slots.agg(F.sum("bytes").alias("b")).select("b").scalar() / n_shards)
+    share = slots.agg(F.sum("bytes").alias("b")).select(F.col("b") / n_shards).scalar()
+    over = F.col("bytes") > F.col("share")  # slots larger than a shard's share stay alone and don't raise the others' target
+    rest = slots.withColumn("share", share).agg(F.sum(F.when(~over, F.col("bytes"))).alias("b"), F.count_if(over).alias("n"))
+    target = rest.select(F.ceil(F.coalesce("b", F.lit(0)) / F.greatest(F.lit(1), n_shards - F.col("n"))).alias("t")).scalar()
     placed = slots.join(last.select("virtual_slot", "shard"), "virtual_slot", "left").withColumn("shard", F.when(F.col("shard") < n_shards, F.col("shard")))
     filled = Window.partitionBy("shard").orderBy(F.desc("bytes"), "virtual_slot").rowsBetween(Window.unboundedPreceding, 0)
-    placed = placed.withColumn("stays", F.col("shard").isNotNull() & (F.sum("bytes").over(filled) <= mean))
+    placed = placed.withColumn("target", target).withColumn("sum", F.sum("bytes").over(filled))
+    placed = placed.withColumn("stays", F.col("shard").isNotNull() & ((F.col("sum") <= F.col("target")) | (F.col("sum") == F.col("bytes"))))
     kept = placed.where("stays")
     sums = kept.groupBy("shard").agg(F.sum("bytes").alias("b")).agg(F.map_from_entries(F.collect_list(F.struct("shard", "b"))).alias("m"))
     loads = sums.select(F.transform(F.sequence(F.lit(0), F.lit(n_shards - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0).cast("long"))).alias("l"))
