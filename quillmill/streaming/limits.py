@@ -1,7 +1,7 @@
 """Keyed limits on event streams: fixed windows, token buckets, circuit breakers. And windowed request counts.
 
-State is one small row per key; idle keys time out. Events carry (key, at, id); within a micro-batch they are taken in
-order of time and id.
+State is one small row per key; keys that were idle for an hour of event time are forgotten. Events carry (key, at, id);
+within a micro-batch they are taken in order of time and id; events later than LATE are left out.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-IDLE_MS = 3_600_000
+IDLE_MS, LATE = 3_600_000, "10 minutes"
 
 
 def _stateful(events: DataFrame, out: str, state: str, start: Callable[[], tuple], step: Callable[[tuple, pd.Series], tuple[tuple, dict]]) -> DataFrame:
@@ -22,14 +22,15 @@ def _stateful(events: DataFrame, out: str, state: str, start: Callable[[], tuple
             group.remove()
             return
         now, rows = (group.get if group.exists else start()), []
-        for row in pd.concat(list(frames)).sort_values(["at", "id"]).itertuples():
+        batch = pd.concat(list(frames)).sort_values(["at", "id"])
+        for row in batch.itertuples():
             now, told = step(now, row)
             rows.append({"key": key[0], "id": row.id, **told})
         group.update(now)
-        group.setTimeoutDuration(IDLE_MS)
+        group.setTimeoutTimestamp(max(int(batch["at"].max().timestamp() * 1000), group.getCurrentWatermarkMs()) + IDLE_MS)
         yield pd.DataFrame(rows)
 
-    return events.groupBy("key").applyInPandasWithState(run, out, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark("at", LATE).groupBy("key").applyInPandasWithState(run, out, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def fixed_window(events: DataFrame, most: int, seconds: float) -> DataFrame:
