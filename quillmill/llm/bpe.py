@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
+from .common import documents, small_batches
 
 #: The public split pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -45,7 +45,7 @@ def _byte_letters() -> list[str]:
 
 
 class Bpe:
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 200_000):
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         letters = _byte_letters()
@@ -139,6 +139,7 @@ def _loaded(path: str) -> Bpe:
 
 def encoded(docs: DataFrame, path: str | None = None, ids: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256, and on request the ids themselves."""
+    small_batches(docs.sparkSession)
     path = path or default_path()
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids

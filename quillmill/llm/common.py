@@ -44,10 +44,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Bounds the rows of Arrow batches for what this session runs: texts can be very long, and a batch is held whole on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes), kept for the words seen lately; at most `most` of them."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 

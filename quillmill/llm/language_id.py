@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, small_batches
 from .ngrams import WordRows, char_grams
 
 UNKNOWN = "und"
@@ -33,7 +33,7 @@ UNKNOWN = "und"
 DOCS_PER_LANG, TRAIN_WORDS = 250, 120_000
 SIZES, BITS = (2, 3, 4, 5), 17
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
-_STEPS, _FLUSH_WORDS = 128, 200_000
+_STEPS, _FLUSH_WORDS = 128, 100_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -227,6 +227,7 @@ class Predictor:
 
 def predictions(docs: DataFrame, crf: Crf | None) -> DataFrame:
     """One row per row of docs: doc_id, lang_pred, score."""
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     model = docs.sparkSession.sparkContext.broadcast(crf)
 
@@ -254,6 +255,7 @@ def predictions(docs: DataFrame, crf: Crf | None) -> DataFrame:
 
 def identified(docs: DataFrame, crf: Crf | None, least_score: float = 0.5) -> DataFrame:
     """The rows of docs, all columns as they are, whose language the model tells with a score of least_score or more."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(crf)
     text_at = docs.columns.index("text")
 

@@ -34,13 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, documents, gram_hashes, mixed, written
+from .common import WordHashes, documents, gram_hashes, mixed, small_batches, written
 
 WORDS, PERCENT = 5, 75
 REGISTERS, MANTISSA = 256, 10
 ROWS, BANDS = 5, 51
 #: Centres tried per level; rows a side of a block; members from which a bucket is cut further, and how often; hashes kept.
-CENTRES, BLOCK, LARGE, LEVELS, LOWEST = 2, 256, 4096, 4, 256
+CENTRES, BLOCK, LARGE, LEVELS, LOWEST = 2, 512, 4096, 4, 256
 _BOUNDS = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(56)
 
 
@@ -319,6 +319,7 @@ class _Linker:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
+    small_batches(docs.sparkSession)
     drawn = written(sketches(docs), "sketches")
     named = drawn.where("n_shingles > 0 and doc_id is not null")
     first = named.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "registers", "low")).alias("f"))

@@ -33,7 +33,7 @@ def char_grams(words: list[str], sizes: Iterable[int], bits: int) -> tuple[np.nd
 class WordRows(dict):
     """Rows of numbers for words, worked out in bulk for new words and kept; at most about `most` words are held."""
 
-    def __init__(self, rows_of: Callable[[list[str]], np.ndarray], width: int, most: int = 300_000):
+    def __init__(self, rows_of: Callable[[list[str]], np.ndarray], width: int, most: int = 150_000):
         super().__init__()
         self.rows_of, self.most, self.new, self.rows = rows_of, most, [], np.empty((1024, width))
 

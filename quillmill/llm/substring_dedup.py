@@ -31,11 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, documents, gram_hashes, written
+from .common import WordHashes, documents, gram_hashes, small_batches, written
 
 WINDOW, GRAM = 35, 12
 #: Windows of a segment, different segments of an anchor, and words of an index shard, at most.
 SEGMENT_WINDOWS, MOST, SHARD_WORDS = 64, 500, 1_500_000
+#: Words at a run's end whose interval is known when a search begins.
+SEED = 16
 _SPAN = WINDOW - GRAM + 1
 
 
@@ -129,27 +131,32 @@ class FmIndex:
         inside[self.ends] = False
         text[inside] = symbols + 1
         self.starts = self.ends - lengths
-        rank = text + n_segments - 1
+        self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(self.alphabet) + 1))])
+        # Ranks are the first places of groups in suffix order, so a group at any depth is an interval of the final order.
+        rank = self.before[text]
         rank[self.ends] = np.arange(n_segments)
-        step = 1
-        order = np.argsort(rank, kind="stable")
-        longest = int(lengths.max(initial=0)) + 1
+        order, step, longest = np.argsort(rank, kind="stable"), 1, int(lengths.max(initial=0)) + 1
+        self.seeds = None
         while step < longest:
             ahead = np.zeros(n, np.int64)
             ahead[: n - step] = rank[step:] + 1
             key = rank * (n + 1) + ahead
             order = np.argsort(key, kind="stable")
             fresh = key[order]
+            starts = np.flatnonzero(np.concatenate([[True], fresh[1:] != fresh[:-1]]))
             rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.concatenate([[0], fresh[1:] != fresh[:-1]]))
+            rank[order] = np.repeat(starts, np.diff(np.append(starts, n)))
             step *= 2
-            if rank[order[-1]] == n - 1:
+            done = len(starts) == n
+            if self.seeds is None and (step >= SEED or done):
+                self.seeds = rank
+            if done:
                 break
+        self.seed_sizes = np.bincount(self.seeds, minlength=n)
         segment = np.repeat(np.arange(n_segments), lengths + 1)
         self.weight = np.concatenate([[0], np.cumsum(times[segment[order]])])
         last = text[order - 1]
         self.text, self.n = text, n
-        self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(self.alphabet) + 1))])
         self.levels = max(1, int(len(self.alphabet)).bit_length())
         self.bits, self.counts, self.zeros = [], [], []
         for level in range(self.levels - 1, -1, -1):
@@ -160,6 +167,17 @@ class FmIndex:
             self.counts.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)])[: len(packed)])
             self.zeros.append(n - int(bit.sum()))
             last = np.concatenate([last[~bit], last[bit]])
+        # Where each symbol's run begins below the last level: rank queries subtract it.
+        symbols, place = np.arange(len(self.alphabet) + 1), np.zeros(len(self.alphabet) + 1, np.int64)
+        self.offset = self.before[:-1] - self._down(symbols, place)
+
+    def _down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The places followed through all levels along each symbol's bits."""
+        for level in range(self.levels):
+            one = (symbol >> (self.levels - 1 - level) & 1).astype(bool)
+            ones = self._ones(level, at)
+            at = np.where(one, self.zeros[level] + ones, at - ones)
+        return at
 
     def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
         block = at >> 6
@@ -168,21 +186,23 @@ class FmIndex:
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of symbol followed by what the given intervals stand for."""
-        m = len(low)
-        at, start = np.concatenate([low, high]), np.zeros(m, np.int64)
-        for level in range(self.levels):
-            one = (symbol >> (self.levels - 1 - level) & 1).astype(bool)
-            ones = self._ones(level, np.concatenate([at, start]))
-            both = np.concatenate([one, one, one])
-            moved = np.where(both, self.zeros[level] + ones, np.concatenate([at, start]) - ones)
-            at, start = moved[: 2 * m], moved[2 * m :]
-        return self.before[symbol] + at[:m] - start, self.before[symbol] + at[m:] - start
+        at = self._down(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
+        return self.offset[symbol] + at[: len(low)], self.offset[symbol] + at[len(low) :]
 
     def longest(self, end: np.ndarray, least: np.ndarray) -> np.ndarray:
-        """For runs that end before `end` (places in the text): the smallest start, not under `least`, from which the run occurs twice or more."""
-        reached = end.copy()
-        live = np.flatnonzero(end > least)
-        low, high = np.zeros(len(live), np.int64), np.full(len(live), self.n)
+        """For runs that end before `end` (places in the text): a start, not under `least`, from which the run occurs twice or more.
+
+        It is the smallest one if the last SEED words occur twice; else the run's last SEED words are unique, and the
+        answer is the word after their first. Runs have SEED words or more. The search begins with the interval of the
+        last SEED words, which the suffix sort has told.
+        """
+        reached = end - SEED
+        low = self.seeds[reached]
+        high = low + self.seed_sizes[low]
+        good = self.weight[high] - self.weight[low] >= 2
+        reached[~good] += 1
+        live = np.flatnonzero(good & (reached > least))
+        low, high = low[live], high[live]
         while len(live):
             low, high = self.extend(self.text[reached[live] - 1], low, high)
             good = self.weight[high] - self.weight[low] >= 2
@@ -300,6 +320,7 @@ def _of_crowded(segments: DataFrame, n_shards: int) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256, kept_text (words joined by one space)."""
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", "text")
     marked = keyed.join(repeated_spans(keyed), "rid", "left").select("doc_id", "text", "spans")

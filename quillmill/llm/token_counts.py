@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import PATTERN
-from .common import documents
+from .common import documents, small_batches
 
 _TOKEN = 1 << 24  # costs are multiples of it; the rest counts tokens
 
@@ -80,6 +80,7 @@ def _loaded(path: str) -> TrieCounts:
 
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_pre_tokens, n_tokens."""
+    small_batches(docs.sparkSession)
     path = path or default_path()
     kind = docs.schema["doc_id"].dataType.simpleString()
 

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, small_batches
 from .ngrams import WordRows, char_grams
 
 PER_CLASS = 3000
@@ -104,6 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Nai
 
 def scores(docs: DataFrame, model: NaiveBayesLinear) -> DataFrame:
     """One row per row of docs: doc_id, score."""
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -1,6 +1,7 @@
 import corpus_pipeline
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quillmill.llm import licenses
 from quillmill.llm.common import documents
@@ -8,7 +9,7 @@ from quillmill.llm.queries import ORACLES, QUERIES
 
 
 def test_stages_keep_columns_and_take_effect(spark, sf_dir):
-    docs = documents(spark, sf_dir).withColumn("kept", documents(spark, sf_dir)["n_chars"])
+    docs = documents(spark, sf_dir).withColumn("kept", F.col("n_chars")).withColumn("row_id", F.lit(1))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, sf_dir)
         assert out.columns == docs.columns, name
