@@ -90,17 +90,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     hits = written(_hits(docs.select("doc_id", "text", words(whole_text()).alias("words")), items), "hits")
     anchors = hits.select("rid", F.explode("places").alias("at"), "hashes", "n_words").select("rid", "at", F.col("hashes")[F.col("at")].alias("h"), F.col("n_words").alias("doc_words"))
-    aligned = anchors.join(items, "h").select("rid", F.greatest(F.lit(0), F.col("at") - F.col("place")).alias("first"), F.least("doc_words", F.col("at") - F.col("place") + F.col("n_words")).alias("end"))
-    windows = aligned.distinct().join(hits.select("rid", "doc_id", "hashes").dropDuplicates(["rid"]), "rid")
+    place = [F.greatest(F.lit(0), F.col("at") - F.col("place")).alias("first"), F.least("doc_words", F.col("at") - F.col("place") + F.col("n_words")).alias("end")]
+    aligned = anchors.join(items, "h").select("rid", "item_id", *place).groupBy("rid", "first", "end").agg(F.collect_set("item_id").alias("item_ids"))
+    windows = aligned.join(hits.select("rid", "doc_id", "hashes").dropDuplicates(["rid"]), "rid")
     inside = F.array_sort(F.array_distinct(F.slice("hashes", F.col("first") + 1, F.col("end") - F.col("first") - WORDS + 1)))
-    windows = windows.select("rid", "doc_id", "first", (F.col("end") - F.col("first")).alias("n_words"), inside.alias("set"))
+    windows = windows.select("rid", "doc_id", "first", (F.col("end") - F.col("first")).alias("n_words"), "item_ids", inside.alias("set"))
     windows = written(windows.withColumn("set_key", F.xxhash64("set")), "windows")
 
     sets = written(windows.groupBy("set_key").agg(F.first("set").alias("set")).select("set_key", F.explode("set").alias("h")), "sets")
     prints = fingerprints(sets, "set_key", weights)
-    blocked = prints.select("set_key", "fp", "total", F.inline(blocks(F.col("fp"))))
+    # A window is only held against the items it was laid out for, so the blocks meet within an item, not across all items.
+    meant = windows.select("set_key", F.explode("item_ids").alias("item_id")).distinct()
+    blocked = meant.join(prints, "set_key").select("set_key", "item_id", "fp", "total", F.inline(blocks(F.col("fp"))))
     item_blocked = item_prints.select("item_id", F.col("fp").alias("item_fp"), F.col("total").alias("item_total"), F.inline(blocks(F.col("fp"))))
-    near = blocked.join(item_blocked, ["block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
+    near = blocked.join(item_blocked, ["item_id", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
     near = near.select("set_key", "item_id", "total", "item_total").distinct()
     common = near.join(sets, "set_key").join(item_sets, ["item_id", "h"]).join(weights, "h")
     shared = common.groupBy("set_key", "item_id", "total", "item_total").agg(F.sum("w").alias("both"))
