@@ -25,7 +25,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -135,13 +134,13 @@ class FmIndex:
         # Ranks are the first places of groups in suffix order, so a group at any depth is an interval of the final order.
         rank = self.before[text]
         rank[self.ends] = np.arange(n_segments)
-        order, step, longest = np.argsort(rank, kind="stable"), 1, int(lengths.max(initial=0)) + 1
+        order, step, longest = np.argsort(rank), 1, int(lengths.max(initial=0)) + 1
         self.seeds = None
         while step < longest:
             ahead = np.zeros(n, np.int64)
             ahead[: n - step] = rank[step:] + 1
             key = rank * (n + 1) + ahead
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             fresh = key[order]
             starts = np.flatnonzero(np.concatenate([[True], fresh[1:] != fresh[:-1]]))
             rank = np.empty(n, np.int64)
@@ -212,8 +211,8 @@ class FmIndex:
             live, low, high = live[more], low[more], high[more]
         return reached
 
-    def repeated(self, single: np.ndarray) -> list[tuple[int, int, int]]:
-        """(segment, from, to): word intervals of the given segments all of whose windows occur twice or more; together they hold every such window.
+    def repeated(self, single: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Arrays (segment, from, to): word intervals of the given segments all of whose windows occur twice or more; together they hold every such window.
 
         Matching statistics from the segment's end cover most at once; then windows are tried from the left, and one
         whose part from s on is unique rules out every window up to s.
@@ -222,14 +221,14 @@ class FmIndex:
         start, end = self.starts[single], self.ends[single]
         reached = self.longest(end, start)
         far = end - reached >= WINDOW
-        out += zip(single[far], (reached - start)[far], (end - start)[far])
+        out.append((single[far], (reached - start)[far], (end - start)[far]))
         at, limit = start.copy(), np.minimum(reached, end - WINDOW + 1)
         live = np.flatnonzero(at < limit)
         while len(live):
             here = at[live]
             s = self.longest(here + WINDOW, here)
             found = s == here
-            out += zip(single[live[found]], (here - start[live])[found], (here - start[live])[found] + WINDOW)
+            out.append((single[live[found]], (here - start[live])[found], (here - start[live])[found] + WINDOW))
             at[live] = np.where(found, here + 1, s)
             live = live[at[live] < limit[live]]
         return out
@@ -238,35 +237,42 @@ class FmIndex:
 def _searched(segments: DataFrame, n_shards: int) -> DataFrame:
     """anchor, content, spans (from, to): the repeated intervals of each segment; segments of one anchor meet in one shard."""
 
-    def shard(rows: list[pd.DataFrame]) -> pd.DataFrame:
-        part = pd.concat(rows, ignore_index=True)
-        lengths = part["words"].map(len).to_numpy(np.int64)
-        times = part["times"].to_numpy(np.int64)
-        spans: list[list[dict]] = [[] for _ in range(len(part))]
+    def shard(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        part = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+        words, times = part.column(3), part.column(2).to_numpy()
+        lengths = np.diff(words.offsets.to_numpy()).astype(np.int64)
+        index = FmIndex(words.flatten().to_numpy(), lengths, times)
         # A segment that occurs twice as a whole needs no search: its matching statistics are its length.
-        for i in np.flatnonzero(times > 1).tolist():
-            spans[i].append({"from": 0, "to": int(lengths[i])})
-        index = FmIndex(np.concatenate(part["words"].to_numpy()), lengths, times)
-        for i, a, b in index.repeated(np.flatnonzero(times == 1)):
-            spans[i].append({"from": int(a), "to": int(b)})
-        out = part[["anchor", "content"]].assign(spans=spans)
-        return out[out["spans"].map(len) > 0]
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size, tail = [], 0, None
+        whole = np.flatnonzero(times > 1)
+        found = [(whole, np.zeros_like(whole), lengths[whole]), *index.repeated(np.flatnonzero(times == 1))]
+        segment, start, end = (np.concatenate(c) for c in zip(*found))
+        order = np.argsort(segment, kind="stable")
+        at, sizes = np.unique(segment, return_counts=True)
+        spans = pa.StructArray.from_arrays([pa.array(start[order], pa.int32()), pa.array(end[order], pa.int32())], ["from", "to"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), spans)
+        return pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), lists], ["anchor", "content", "spans"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for anchor, group in batch.groupby("anchor", sort=False):
-                if size > SHARD_WORDS and anchor != tail:
-                    yield shard(held)
-                    held, size = [], 0
-                held.append(group)
-                size += int(group["words"].map(len).sum())
-                tail = anchor
+            if not len(batch):
+                continue
+            if size > SHARD_WORDS:
+                # Rows of the anchor that is open still belong to the shard.
+                others = np.flatnonzero(batch.column(0).to_numpy() != held[-1].column(0)[-1].as_py())
+                n = int(others[0]) if len(others) else len(batch)
+                held += [batch.slice(0, n)] * (n > 0)
+                if n == len(batch):
+                    continue
+                yield shard(held)
+                held, size, batch = [], 0, batch.slice(n)
+            held.append(batch)
+            size += len(batch.column(3).flatten())
         if held:
             yield shard(held)
 
-    dealt = segments.repartition(n_shards, "anchor").sortWithinPartitions("anchor")
-    return dealt.mapInPandas(search, "anchor bigint, content bigint, spans array<struct<from:int,to:int>>")
+    dealt = segments.select("anchor", "content", "times", "words").repartition(n_shards, "anchor").sortWithinPartitions("anchor")
+    return dealt.mapInArrow(search, "anchor bigint, content bigint, spans array<struct<from:int,to:int>>")
 
 
 def _windows(segments: DataFrame) -> DataFrame:
