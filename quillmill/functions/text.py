@@ -176,6 +176,45 @@ def any_contains(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
 
+# Beginnings of page menus that were taken for a biography.
+MENU_BIOS = (
+    r"^学院概况\s*学院简介", r"^学院概况\s*历史沿革", r"首页\s*学院概况", r"首页\s*旧版", r"^作\s*学术活动\s*学生工作", r"^学术活动\s*学生工作", r"^\s*学术活动\s*学生工作", r"招生信息\s*本科生招生",
+)
+# Short keys of universities by their full names.
+UNIVERSITY_KEYS = {
+    "武汉大学": "whu", "中山大学": "sysu", "吉林大学": "jlu", "湖南大学": "hnu", "哈尔滨工业大学": "hit", "上海交通大学": "sjtu", "复旦大学": "fudan",
+    "清华大学": "tsinghua", "北京大学": "pku", "浙江大学": "zju", "南京大学": "nju", "中国科学技术大学": "ustc", "西安交通大学": "xjtu", "华中科技大学": "hust",
+    "同济大学": "tongji", "北京航空航天大学": "beihang", "四川大学": "sichuan", "东南大学": "seu", "中国人民大学": "ruc", "南开大学": "nankai", "天津大学": "tianjin",
+    "北京理工大学": "bit", "大连理工大学": "dlut", "山东大学": "sdu", "厦门大学": "xmu", "兰州大学": "lzu", "西北工业大学": "nwpu", "华南理工大学": "scut",
+    "中南大学": "csu", "东北大学": "neu", "重庆大学": "cqu", "华东师范大学": "ecnu", "北京师范大学": "bnu", "电子科技大学": "uestc", "中国科学院": "cas",
+}
+
+
+def bio_or_null(bio: Column) -> Column:
+    """null where a biography is a page's menu."""
+    return F.when(first_match(bio, MENU_BIOS).isNull(), bio)
+
+
+def university_key(institution: Column) -> Column:
+    """Short key of a university; null for others."""
+    table = F.create_map(*[F.lit(x) for pair in UNIVERSITY_KEYS.items() for x in pair])
+    return F.try_element_at(table, institution)
+
+
+def topics(text: Column, most: int = 15, length: int = 200) -> Column:
+    """Parts of a list of research topics that have more than two characters, in order."""
+    parts = F.transform(F.split(text, r"[,，;；、\n]"), lambda t: F.regexp_replace(t, r"^[\s\x{3000}\x{A0}]+|[\s\x{3000}\x{A0}]+\z", ""))
+    return F.transform(F.slice(F.filter(parts, lambda t: F.length(t) > 2), 1, most), lambda t: F.substring(t, 1, length))
+
+
+def suspicious_title(title: Column) -> Column:
+    """Whether a publication's title rather says how much was published."""
+    said = F.coalesce(title, F.lit(""))
+    has = lambda w: F.contains(said, F.lit(w))
+    told = has("发表论文") | (has("发表") & has("篇")) | (said.startswith("在") & (has("发表") | has("论文")))
+    return told | has("余篇") | has("多篇") | F.regexp_like(said, F.lit(r"^\D{0,10}\d+篇"))
+
+
 def error_category(status: Column, message: Column) -> Column:
     """Kind of a failed request."""
     said = F.lower(F.coalesce(message, F.lit("")))
