@@ -61,6 +61,7 @@ class Bpe:
         self.pattern = regex.compile(PATTERN)
         self.splits = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.spaced: dict[str, tuple[int, str, bytes]] = {}  # the same for what follows a space, up to the next
         self.most = most
 
     def ids(self, pre_tokens: list[str]) -> list[list[int]]:
@@ -126,10 +127,36 @@ class Bpe:
         for token, i in self.special.items():
             self.known[token] = (1, str(i), self.bytes_of[i])
 
-    def encoded(self, pre_tokens: list[str]) -> tuple[int, str, str]:
-        """Number of tokens, their ids joined by commas, and the text they decode to."""
-        parts = [self.known[p] for p in pre_tokens]
-        return sum([p[0] for p in parts]), ",".join([p[1] for p in parts]), b"".join([p[2] for p in parts]).decode("utf-8", "replace")
+    @staticmethod
+    def joined(parts: list[tuple[int, str, bytes]]) -> tuple[int, str, bytes]:
+        return sum([p[0] for p in parts]), ",".join([p[1] for p in parts]), b"".join([p[2] for p in parts])
+
+    def encoded(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """Of each text: number of tokens, their ids joined by commas, and the text they decode to.
+
+        A space before anything but white space always begins a pre-token, so what stands between two such spaces is
+        split once and then looked up whole. Texts with special tokens, and texts in which white space follows a space
+        or ends the text, are split by the pattern throughout.
+        """
+        if len(self.spaced) > self.most:
+            self.spaced.clear()
+        words = [None if any(s in t for s in self.special) else t.split(" ") for t in texts]
+        new = set().union(*[w[1:] for w in words if w]).difference(self.spaced)
+        odd = {w for w in new if not w or w[0].isspace()}
+        pieces = {w: self.pattern.findall(" " + w) for w in new - odd}
+        words = [w if w and (not odd or odd.isdisjoint(w[1:])) else None for w in words]
+        heads = [self.pattern.findall(w[0]) if w else self.pre_tokens(t) for w, t in zip(words, texts)]
+        self.learn([*pieces.values(), *heads])
+        for w, p in pieces.items():
+            self.spaced[w] = self.joined([self.known[x] for x in p])
+        out = []
+        for w, head in zip(words, heads):
+            parts = [self.known[x] for x in head]
+            if w:
+                parts += [self.spaced[x] for x in w[1:]]
+            n, ids, raw = self.joined(parts)
+            out.append((n, ids, raw.decode("utf-8", "replace")))
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -149,13 +176,11 @@ def encoded(docs: DataFrame, path: str | None = None, ids: bool = False) -> Data
         for batch in batches:
             for start in range(0, len(batch), 128):
                 part = batch.slice(start, 128)
-                texts = [bpe.pre_tokens(t.as_py() or "") for t in part.column(1)]
-                bpe.learn(texts)
-                rows = [bpe.encoded(t) for t in texts]
+                rows = bpe.encoded([t or "" for t in part.column(1).to_pylist()])
                 columns = [part.column(0), pa.array([n for n, _, _ in rows], pa.int64())]
                 columns += [pa.array([hashlib.sha256(row[k].encode()).hexdigest() for row in rows], pa.string()) for k in (1, 2)]
                 if ids:
-                    columns.append(pa.array([np.array(told.split(",") if told else [], np.int32) for _, told, _ in rows], pa.list_(pa.int32())))
+                    columns.append(pa.array([np.fromstring(told, np.int32, sep=",") for _, told, _ in rows], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
     return docs.select("doc_id", "text").mapInArrow(encode, schema)
