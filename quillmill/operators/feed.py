@@ -14,6 +14,8 @@ def linked_authors(papers: DataFrame, persons: DataFrame, first: int = 5, least:
     authors = papers.select(F.col("id").alias("paper_id"), F.posexplode(F.slice("authors", 1, first)).alias("seq", "name"))
     distinct = authors.select(F.col("name").alias("id"), "name").distinct()
     names = persons.where("is_active").select("id", F.coalesce(F.nullif(F.col("name_en"), F.lit("")), F.col("name_zh")).alias("name"))
+    # Ties go to the smallest id, so of persons with one name only that one can be matched.
+    names = names.groupBy("name").agg(F.min("id").alias("id")).select("id", "name")
     matched = best_matches(token_matches(distinct, names, least)).select(F.col("left_id").alias("name"), F.col("right_id").alias("person_id"))
     earliest = F.min(F.struct("seq", "person_id"))
     return authors.join(matched, "name").groupBy("paper_id").agg(earliest.alias("m")).select("paper_id", "m.person_id")

@@ -23,3 +23,17 @@ def test_graphs_of_all_papers(spark, tmp_path):
     one = {r.id: r.rank for r in QUERIES["pagerank_one_iteration_all"](spark, str(tmp_path)).collect()}
     assert one[1] == one[2] == one[3] > one[4]
     assert {r.id: r.community for r in QUERIES["label_propagation"](spark, str(tmp_path)).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def test_feed_links_every_person(spark, tmp_path):
+    rows = [(i, text, "en", "s", len(text)) for i, text in ((13, "Quill mills"), (24, "quill again"), (25, "other words"))]
+    table(spark, tmp_path, "documents", rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.id: r.person_id for r in QUERIES["personal_feed"](spark, str(tmp_path)).collect()}
+    assert got == {13: 13, 24: 13, 25: 25}
+
+
+def test_partial_matches_of_every_part(spark, tmp_path):
+    table(spark, tmp_path, "part", [(1, "a b c"), (2, "x y"), (299, "a b d"), (300, "y x"), (4000, "c a q b"), (4001, "a q r")], "p_partkey long, p_name string")
+    table(spark, tmp_path, "supplier", [(1,), (2,)], "s_suppkey long")
+    got = {r.left_id: (r.right_id, r.similarity) for r in QUERIES["token_best_match_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 1.0), 2: (2, 1.0), 299: (1, 0.5), 300: (2, 1.0), 4000: (1, 0.75)}
