@@ -3,18 +3,18 @@
 A document's set is its distinct five-word shingles (64-bit hashes). The sketch has 256 registers; each keeps, of the
 smallest hash in its bucket, the count of leading zeros (6 bits) and ten bits of mantissa. Five registers make a band.
 Documents that agree in a band are candidates; a candidate pair whose Jaccard estimate, corrected for chance agreement
-of compressed registers, lies more than five standard errors under the threshold is dropped; all others are verified
-on the full sets with 100 * intersection >= 75 * union. At Jaccard 0.75 a pair agrees in one of 51 bands except with
-probability 1e-6, above it less.
+of compressed registers, or whose smallest hashes lie more than six standard errors under the threshold is dropped; all
+others are verified on the full sets with 100 * intersection >= 75 * union. At Jaccard 0.75 a pair agrees in one of 51
+bands except with probability (1 - 0.75^5)^51 = 1e-6, above it less; the six standard errors add about 1e-9 by the normal law.
 
 No group is ever expanded into rows for its pairs:
 * documents with the same set are one node from the start (grouped with partial aggregation);
 * in every bucket all members are compared with one centre (drawn by a hash), then with another; members that are
   by then in one component need no comparison;
-* buckets of more than LARGE members that still join several components are cut by further bands (agreement in two,
-  three ... bands, taken in ascending order);
-* what is left is compared in blocks of at most BLOCK rows a side inside tasks, on sketches: register rows, then the
-  smallest hashes of both sets (the whole set up to LOWEST shingles). A pair of different components is looked at in
+* buckets of more than LARGE members that still join several components are first cut by further bands (agreement in
+  two, three ... bands, taken in ascending order), which joins most of their components early;
+* what is left, these buckets of the first level included, is compared in blocks of at most BLOCK rows a side inside
+  tasks, on sketches: register rows, then the smallest hashes of both sets (the whole set up to LOWEST shingles). A pair of different components is looked at in
   the bucket of its first common bands only, and leaves the task only if its estimate allows the threshold.
 Components grow by min-label propagation with pointer jumping; every table between rounds is written to the shared
 folder. Nothing but row counts reaches the driver.
@@ -151,7 +151,7 @@ def _agree(low_a: np.ndarray, low_b: np.ndarray, n_a: int, n_b: int) -> bool:
     at = np.searchsorted(b, a)
     common = int((b[np.minimum(at, len(b) - 1)] == a).sum())
     union = len(a) + len(b) - common
-    slack = 4 * (PERCENT * (100 - PERCENT) / 1e4 / union) ** 0.5 if max(n_a, n_b) > LOWEST else 0.01
+    slack = 6 * (PERCENT * (100 - PERCENT) / 1e4 / union) ** 0.5 if max(n_a, n_b) > LOWEST else 0.01
     return common / union >= PERCENT / 100 - slack
 
 
@@ -299,22 +299,33 @@ class _Linker:
         self.comps = written(everyone.join(merged, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "comps")
 
     def settle(self, buckets: DataFrame) -> None:
+        """Finer buckets only join components early: the large buckets of the first level are compared whole at the end."""
+        whole = None
         for level in range(1, LEVELS + 1):
             for t in range(CENTRES):
                 rows = self.open(buckets, F.xxhash64("node", F.lit(t)))
                 if rows.isEmpty():
-                    return
+                    break
                 alike = 100 * F.least("n", "c_n") >= PERCENT * F.greatest("n", "c_n")
                 pairs = rows.where(F.col("comp") != F.col("c_comp")).where(alike).select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct()
                 self.link(_likely(pairs, self.nodes))
                 buckets = rows
             rows = self.open(buckets, F.col("node"))
+            if rows.isEmpty():
+                break
             large = F.col("members") > LARGE
-            self.link(_likely_in_blocks(rows if level == LEVELS else rows.where(~large), self.nodes))
-            if level == LEVELS or rows.where(large).isEmpty():
-                return
-            finer = rows.where(large).select("key", "bands", "node").join(self.nodes, "node")
+            self.link(_likely_in_blocks(rows.where(~large), self.nodes))
+            rest = rows.where(large)
+            if level == 1:
+                whole = rest
+            if level == LEVELS or rest.isEmpty():
+                break
+            finer = rest.select("key", "bands", "node").join(self.nodes, "node")
             buckets = written(banded(finer.select("key", "bands", "node", "n", "registers")), "buckets")
+        if whole is None or whole.isEmpty():
+            return
+        rows = self.open(whole, F.col("node"))
+        self.link(_likely_in_blocks(rows, self.nodes))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -95,6 +95,21 @@ def test_near_equals_brute_force(make, monkeypatch, block, large, centres):
     assert all(got[i].kept == (got[i].component_id == i) for i in range(len(texts)))
 
 
+def test_pairs_of_large_buckets_need_one_band_only(make, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LARGE", 1)
+    monkeypatch.setattr(near_dedup, "CENTRES", 0)
+    hashes, rng, texts = near_dedup.WordHashes(), random.Random(5), []
+    while len(texts) < 4:
+        n = rng.randrange(10**9)
+        words = [f"w{n}x{i}" for i in range(700)]
+        pair = [" ".join(words[:600]), " ".join(words[85:685])]  # 511 of 681 shingles, Jaccard just over 0.75
+        a, b = (near_dedup.registers(near_dedup.shingle_set(t, hashes))[: near_dedup.ROWS * near_dedup.BANDS].reshape(-1, near_dedup.ROWS) for t in pair)
+        if 1 <= (a == b).all(1).sum() < 4:
+            texts += pair
+    got = rows(near_dedup.near_duplicates(make(texts)))
+    assert [got[i].component_id for i in range(4)] == [c for _, c in near_truth(texts)] == [0, 0, 2, 2]
+
+
 def test_null_ids_are_not_linked(make):
     got = near_dedup.near_duplicates(make([(None, "a b c d e f"), (4, "a b c d e f"), (3, "a b c d e f")])).collect()
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in got) == [(-1, -1, True), (3, 3, True), (4, 3, False)]
