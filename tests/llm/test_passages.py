@@ -119,6 +119,15 @@ def test_leaks_equal_brute_force(spark, make, monkeypatch, inline):
     assert left == set(docs) - {d for d, _ in want}
 
 
+def test_repeated_items_are_found_by_their_near_copies(spark, make):
+    rng = random.Random(11)
+    item = rng_words(rng, 50)
+    near = item[:25] + ["changed"] + item[26:]
+    benchmark = spark.createDataFrame([(i, " ".join(item)) for i in range(10)], "item_id long, text string")
+    got = {r.item_id: round(r.similarity, 4) for r in decontamination.contaminated(make([" ".join(near)]), benchmark).collect()}
+    assert got == {i: round(41 / 51, 4) for i in range(10)}
+
+
 def test_leaks_of_empty_tables(spark, make):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.contaminated(make(["a b c d e f"]), none).count() == 0
