@@ -40,11 +40,31 @@ def best_matches(matches: DataFrame) -> DataFrame:
     return matches.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place")
 
 
+def containing(inner: DataFrame, outer: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """in_id, id: rows of outer (id, scope, name) whose name holds the name of a row of inner (in_id, scope, name), scope being equal.
+
+    A name meets the others over its rarest inner trigram, one of under three letters over itself.
+    """
+
+    def pieces(n: int) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.length("name") - (n - 1)), lambda i: F.substring(F.col("name"), i, F.lit(n)))
+        return F.when(F.length("name") >= n, each).otherwise(F.array().cast("array<string>"))
+
+    every = F.array_distinct(F.concat(F.array(F.lit("")), pieces(1), pieces(2), pieces(3)))
+    whole = outer.where("name is not null").select("id", *scope, F.col("name").alias("outer"), F.explode(every).alias("key"))
+    counts = whole.groupBy(*scope, "key").agg(F.count(F.lit(1)).alias("n"))
+    own = F.when(F.length("name") >= 3, F.array_distinct(pieces(3))).otherwise(F.array("name"))
+    each = inner.where("name is not null").select("in_id", *scope, F.col("name").alias("inner"), F.explode(own).alias("key")).join(counts, [*scope, "key"])
+    rarest = F.row_number().over(Window.partitionBy("in_id", *scope, "inner").orderBy("n", "key"))
+    chosen = each.withColumn("place", rarest).where("place = 1").select("in_id", *scope, "inner", "key")
+    return chosen.join(whole, [*scope, "key"]).where(F.contains("outer", "inner")).select("in_id", "id").distinct()
+
+
 def similar_names(names: DataFrame, least: float = 0.7) -> DataFrame:
     """a_id, b_id, similarity for pairs of equal institution whose names are alike; blocks are (institution, shared trigram prefix).
 
-    Two names with a trigram similarity of `least` or more share one of the rarest trigrams of either (prefix filter);
-    names of which one holds the other share all trigrams inside, so the filter keeps them too unless one is far longer.
+    Two names with a trigram similarity of `least` or more share one of the rarest trigrams of either (prefix filter).
+    Names of which one holds the other meet by containing(), names of two swapped parts by the sorted parts.
     """
     rows = names.select("id", "institution", F.lower("name").alias("name"))
     grams = rows.select("id", "institution", "name", F.array_distinct(text.trigrams(F.col("name"))).alias("g"))
@@ -54,7 +74,11 @@ def similar_names(names: DataFrame, least: float = 0.7) -> DataFrame:
     # The similarity counts repeated trigrams of the first name, hence one more than the set bound.
     keys = each.withColumn("rank", rank).where(F.col("rank") <= F.col("size") - F.ceil(F.lit(least) * F.col("size")) + 2).select("id", "institution", "gram")
     other = keys.select(F.col("id").alias("b_id"), "institution", "gram")
-    pairs = keys.join(other, ["institution", "gram"]).where("id < b_id").select(F.col("id").alias("a_id"), "b_id").distinct()
+    pairs = keys.join(other, ["institution", "gram"]).where("id < b_id").select(F.col("id").alias("a_id"), "b_id")
+    held = containing(rows.withColumnRenamed("id", "in_id"), rows, ("institution",)).where("in_id <> id").select(F.least("in_id", "id").alias("a_id"), F.greatest("in_id", "id").alias("b_id"))
+    two = rows.select("id", "institution", F.array_sort(F.split("name", r"\s+")).alias("parts")).where(F.size("parts") == 2)
+    swapped = two.join(two.withColumnRenamed("id", "b_id"), ["institution", "parts"]).where("id < b_id").select(F.col("id").alias("a_id"), "b_id")
+    pairs = pairs.unionByName(held).unionByName(swapped).distinct()
     named = pairs.join(rows.select(F.col("id").alias("a_id"), F.col("name").alias("a")), "a_id").join(rows.select(F.col("id").alias("b_id"), F.col("name").alias("b")), "b_id")
     return named.withColumn("similarity", half_up(text.name_similarity(F.col("a"), F.col("b")), 4)).where(F.col("similarity") >= least).select("a_id", "b_id", "similarity")
 

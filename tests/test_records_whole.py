@@ -2,6 +2,7 @@
 
 import datetime
 
+from quillmill.operators import matching
 from quillmill.plans.registry import QUERIES
 
 LINES = "l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double, l_shipdate date"
@@ -37,3 +38,11 @@ def test_partial_matches_of_every_part(spark, tmp_path):
     table(spark, tmp_path, "supplier", [(1,), (2,)], "s_suppkey long")
     got = {r.left_id: (r.right_id, r.similarity) for r in QUERIES["token_best_match_all"](spark, str(tmp_path)).collect()}
     assert got == {1: (1, 1.0), 2: (2, 1.0), 299: (1, 0.5), 300: (2, 1.0), 4000: (1, 0.75)}
+
+
+def test_names_held_or_swapped_meet(spark):
+    names = ["li wei", "li weiming zhang", "smith", "john smithson-hathaway", "wei", "zhang weiguo", "aa bbbbbbbbbb", "bbbbbbbbbb aa", "w", "li", "", "other name"]
+    df = spark.createDataFrame([(i, "x", n) for i, n in enumerate(names)], "id int, institution string, name string")
+    got = {(r.a_id, r.b_id) for r in matching.similar_names(df, 0.7).collect()}
+    held = {(i, j) for j, b in enumerate(names) for i, a in enumerate(names[:j]) if a in b or b in a}
+    assert got == held | {(6, 7)}
