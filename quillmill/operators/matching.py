@@ -187,8 +187,8 @@ def reassign(children: DataFrame, merges: DataFrame) -> DataFrame:
 def candidates(incoming: DataFrame, existing: DataFrame, ids: tuple[str, ...] = ("orcid_id", "scholar_id")) -> DataFrame:
     """in_id, id: existing rows that an incoming row may be, as a union of equi-joins.
 
-    By each external id; and, for rows without such a hit, by a written variant of the name (lower case) or, where the
-    name met anything, by institution and surname. Distinct.
+    By each external id; and, for rows without such a hit, active rows whose name is or holds a written variant of the
+    name (case ignored) and, where the name met anything, those whose institution holds the row's. Distinct.
     """
     by_id = [incoming.select(F.col("id").alias("in_id"), c).where(F.col(c).isNotNull()).join(existing.select("id", c), c).select("in_id", "id") for c in ids if c in incoming.columns and c in existing.columns]
     exact = by_id[0] if by_id else incoming.select(F.col("id").alias("in_id"), "id").where(F.lit(False))
@@ -199,7 +199,13 @@ def candidates(incoming: DataFrame, existing: DataFrame, ids: tuple[str, ...] =
     variants = F.slice(text.name_variants(text.canonical_name(name)), 1, 5)
     told = rest.select(F.col("id").alias("in_id"), F.explode(F.transform(variants, lambda v: F.lower(v))).alias("key"))
     known = existing.where("is_active").select("id", F.explode(F.array_distinct(F.array_compact(F.array(F.lower(text.canonical_name(F.col("name_zh"))), F.lower(text.canonical_name(F.col("name_en"))))))).alias("key"))
-    return exact.unionByName(told.join(known, "key").select("in_id", "id")).distinct()
+    active = existing.where("is_active")
+    stored = active.select("id", F.explode(F.array_compact(F.array(F.lower("name_zh"), F.lower("name_en")))).alias("name"))
+    named = told.join(known, "key").select("in_id", "id").unionByName(containing(told.where("key <> ''").withColumnRenamed("key", "name"), stored)).distinct()
+    places = active.select(F.lower("institution").alias("name")).distinct().select(F.col("name").alias("id"), "name")
+    met = rest.join(named.select(F.col("in_id").alias("id")).distinct(), "id", "left_semi").where(text.filled(F.col("institution"))).select(F.col("id").alias("in_id"), F.lower("institution").alias("name"))
+    located = containing(met, places).withColumnRenamed("id", "place").join(active.select("id", F.lower("institution").alias("place")), "place").select("in_id", "id")
+    return exact.unionByName(named).unionByName(located).distinct()
 
 
 def record_similarity(a: dict[str, Column], b: dict[str, Column]) -> Column:

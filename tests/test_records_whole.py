@@ -46,3 +46,10 @@ def test_names_held_or_swapped_meet(spark):
     got = {(r.a_id, r.b_id) for r in matching.similar_names(df, 0.7).collect()}
     held = {(i, j) for j, b in enumerate(names) for i, a in enumerate(names[:j]) if a in b or b in a}
     assert got == held | {(6, 7)}
+
+
+def test_candidates_by_held_name_and_institution(spark):
+    columns = "id long, name_zh string, name_en string, institution string, is_active boolean"
+    stored = spark.createDataFrame([(1, None, "Prof. Wei Zhang (Physics Group)", "MIT", True), (2, None, "Ann Lee", "Mit, Cambridge", True), (3, None, "Bo Li", "ETH", True), (4, None, "Wei Zhang Jr", "MIT", False)], columns)
+    new = spark.createDataFrame([(10, None, "wei zhang", "mit", True), (11, None, "Nobody Known", "MIT", True)], columns)
+    assert {(r.in_id, r.id) for r in matching.candidates(new, stored, ()).collect()} == {(10, 1), (10, 2)}
