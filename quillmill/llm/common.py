@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +51,26 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about most_bytes each; a larger row is a batch of its own with what stands before it."""
+    held, size = [], 0
+    for batch in batches:
+        start = 0
+        while start < len(batch):
+            n = len(batch) - start
+            while n > 1 and batch.slice(start, n).nbytes > most_bytes:
+                n = -(-n // 2)
+            part = batch.slice(start, n)
+            held.append(part)
+            size += part.nbytes
+            start += n
+            if size >= most_bytes:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes), kept for the words seen lately; at most `most` of them."""
 
