@@ -28,22 +28,54 @@ def whole_text(column: str = "text") -> Column:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset only a local master may go on (tests), in a temporary folder."""
     global _own_scratch
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _own_scratch is None:
         _own_scratch = tempfile.mkdtemp(prefix="quillmill-")
     return _own_scratch
 
 
+class Tables:
+    """The Parquet tables between the steps of one operator, in the shared folder: they cut the lineage and survive lost executors.
+
+    A name that is written again replaces its table once the new one stands. What a returned frame reads stays.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, f"{scratch(spark)}/quillmill-{uuid.uuid4().hex}", {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path, before = f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}", self.paths.get(name)
+        df.write.parquet(path)
+        self.paths[name] = path
+        if before:
+            self._delete(before)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Deletes tables that nothing reads any more."""
+        for name in names:
+            if path := self.paths.pop(name, None):
+                self._delete(path)
+
+    def drop_all_but(self, *names: str) -> None:
+        self.drop(*[n for n in self.paths if n not in names])
+        if not self.paths:
+            self._delete(self.folder)
+
+    def _delete(self, path: str) -> None:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/quillmill-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """The rows as a Parquet table of its own in the shared folder."""
+    return Tables(df.sparkSession).write(df, name)
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
