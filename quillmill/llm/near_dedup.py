@@ -16,12 +16,16 @@ No group is ever expanded into rows for its pairs:
 * what is left, these buckets of the first level included, is compared in blocks of at most BLOCK rows a side inside
   tasks, on sketches: register rows, then the smallest hashes of both sets (the whole set up to LOWEST shingles). A pair of different components is looked at in
   the bucket of its first common bands only, and leaves the task only if its estimate allows the threshold.
-Components grow by min-label propagation with pointer jumping; every table between rounds is written to the shared
-folder. Nothing but row counts reaches the driver.
+Components grow by min-label propagation with pointer jumping. Every table between rounds is written to the shared
+folder and deleted once it is superseded; registers are stored for the distinct sets alone, and only while they can still
+meet, whole sets only for documents that share a band. Nothing but row counts reaches the driver. Joins on keys that may
+be hot (bucket, set, component) are plain sort-merge joins of written tables, which adaptive execution splits.
 
 Null, empty and wordless texts have an empty set, linked with nothing. Under five words the whole sequence is the only
-shingle. Rows that share a doc_id are one document. A row with a null doc_id is linked with nothing; its component_id is
-null and it is kept. Empty tables give empty results.
+shingle. Rows given twice get the same result. Where rows share a doc_id but not their words, each row follows its own
+set; only if that doc_id is the smallest of several sets do these stand for one document, which is compared by the set of
+least key. A row with a null doc_id is linked with nothing; its component_id is null and it is kept. Empty tables give
+empty results.
 """
 
 from __future__ import annotations
@@ -34,12 +38,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, documents, gram_hashes, mixed, small_batches, written
+from .common import Tables, WordHashes, documents, gram_hashes, mixed, small_batches
 
 WORDS, PERCENT = 5, 75
 REGISTERS, MANTISSA = 256, 10
 ROWS, BANDS = 5, 51
-#: Centres tried per level; rows a side of a block; members from which a bucket is cut further, and how often; hashes kept.
+#: Centres tried per level; rows a side of a block; members from which a bucket is cut further, and how often; hashes compared.
 CENTRES, BLOCK, LARGE, LEVELS, LOWEST = 2, 512, 4096, 4, 256
 _BOUNDS = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(56)
 
@@ -96,38 +100,44 @@ def estimates(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return np.clip((same - by_chance) / REGISTERS, 0, 1), error
 
 
+def _set_key(found: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (128-bit hash of the set), registers, low (upper halves of the smallest hashes)."""
+    """doc_id, n_shingles, set_key (128-bit hash of the set), registers."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            sizes, keys, rows, lows = [], [], [], []
+            sizes, keys, rows = [], [], []
             for text in batch.column(1):
                 found = shingle_set(text.as_py(), hashes)
                 sizes.append(len(found))
-                keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
+                keys.append(_set_key(found))
                 rows.append(registers(found).astype(">u2").tobytes() if len(found) else None)
-                lows.append((found[:LOWEST] >> np.uint64(32)).astype(np.uint32).tobytes() if len(found) else None)
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), *(pa.array(c, pa.binary()) for c in (keys, rows, lows))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "registers", "low"])
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "registers"])
 
-    return docs.select("doc_id", "text").mapInArrow(sketch, f"doc_id {kind}, n_shingles bigint, set_key binary, registers binary, low binary")
+    return docs.select("doc_id", "text").mapInArrow(sketch, f"doc_id {kind}, n_shingles bigint, set_key binary, registers binary")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """node (the doc_id) and its sorted shingle hashes."""
+    """node (the doc_id) and its sorted shingle hashes, for the rows of docs (doc_id, text, set_key) that have this set."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             for start in range(0, len(batch), 512):
                 part = batch.slice(start, 512)
-                rows = [shingle_set(t.as_py(), hashes).view(np.int64) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.int64()))], ["node", "hashes"])
+                rows = [shingle_set(t.as_py(), hashes) for t in part.column(1)]
+                same = pa.array([_set_key(r) == k for r, k in zip(rows, part.column(2).to_pylist())], pa.bool_())
+                made = [part.column(0), pa.array([r.view(np.int64) for r in rows], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(made, ["node", "hashes"]).filter(same)
 
-    return docs.select("doc_id", "text").mapInArrow(sets, "node bigint, hashes array<bigint>")
+    return docs.select("doc_id", "text", "set_key").mapInArrow(sets, f"node {kind}, hashes array<bigint>")
 
 
 def banded(nodes: DataFrame) -> DataFrame:
@@ -163,6 +173,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose estimate doesn't rule them out."""
     of = lambda c: nodes.select(F.col("node").alias(c), F.col("registers").alias(f"r_{c}"), F.col("n").alias(f"n_{c}"))
     joined = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "r_a", "r_b", "n_a", "n_b")
+    kind = nodes.schema["node"].dataType.simpleString()
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,10 +182,10 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 guess, error = estimates(_register_rows(part.column(2)), _register_rows(part.column(3)), part.column(4).to_numpy(), part.column(5).to_numpy())
                 yield part.select(["a", "b"]).filter(pa.array(guess >= PERCENT / 100 - 4 * error))
 
-    return joined.mapInArrow(keep, "a bigint, b bigint")
+    return joined.mapInArrow(keep, f"a {kind}, b {kind}")
 
 
-def _likely_in_blocks(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+def _likely_in_blocks(rows: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): likely pairs of different components among the rows (key, bands, node, n, comp, members) of each bucket.
 
     A bucket of m members makes ceil(m / BLOCK) parts; each row is sent to the blocks its part takes part in, so a block
@@ -184,7 +195,10 @@ def _likely_in_blocks(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     mine = F.pmod(F.xxhash64("node", F.lit(5)), parts).cast("int")
     each = rows.withColumn("parts", parts).withColumn("part", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = each.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "n", "comp", "bands")
-    full = dealt.join(nodes.select("node", "registers", "low"), "node").select("key", "i", "j", "part", "node", "n", "comp", "bands", "registers", "low")
+    low = sets.select("node", F.transform(F.slice("hashes", 1, LOWEST), lambda h: F.shiftrightunsigned(h, 32)).alias("low"))
+    told = nodes.select("node", "registers").join(low, "node")
+    full = dealt.join(told, "node").select("key", "i", "j", "part", "node", "n", "comp", "bands", "registers", "low")
+    kind = nodes.schema["node"].dataType.simpleString()
     spread = full.repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +208,8 @@ def _likely_in_blocks(rows: DataFrame, nodes: DataFrame) -> DataFrame:
             key = held.column("key").to_numpy()
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             registers = _register_rows(held.column("registers").combine_chunks())
-            low = [np.frombuffer(x, np.uint32) for x in held.column("low").to_pylist()]
+            lows = held.column("low").combine_chunks()
+            low = np.split(lows.flatten().to_numpy(), (lows.offsets.to_numpy() - lows.offsets[0].as_py())[1:-1])
             bands = held.column("bands").to_pylist()
             out_a, out_b = [], []
             for start, end in zip(np.append(0, cuts), np.append(cuts, len(key))):
@@ -217,7 +232,7 @@ def _likely_in_blocks(rows: DataFrame, nodes: DataFrame) -> DataFrame:
                         if _agree(low[x], low[y], n[x], n[y]):
                             out_a.append(min(node[x], node[y]))
                             out_b.append(max(node[x], node[y]))
-            return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(out, held.schema.field("node").type) for out in (out_a, out_b)], ["a", "b"])
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -229,14 +244,15 @@ def _likely_in_blocks(rows: DataFrame, nodes: DataFrame) -> DataFrame:
                     changes = np.append(0, changes)
                 if len(changes):  # the last block may go on in the next rows
                     held.append(part.slice(0, changes[-1]))
-                    yield likely(pa.Table.from_batches([h for h in held if len(h)])) if any(map(len, held)) else part.select(["node", "n"]).slice(0, 0).rename_columns(["a", "b"])
+                    if any(map(len, held)):
+                        yield likely(pa.Table.from_batches([h for h in held if len(h)]))
                     held = [part.slice(changes[-1])]
                 else:
                     held.append(part)
         if held:
             yield likely(pa.Table.from_batches(held))
 
-    return spread.mapInArrow(compare, "a bigint, b bigint")
+    return spread.mapInArrow(compare, f"a {kind}, b {kind}")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -246,24 +262,23 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * common >= PERCENT * (F.size("h_a") + F.size("h_b") - common)).select("a", "b")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, comp: the smallest node that each node of the edges (a, b) reaches."""
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("comp")), "labels")
+def components(edges: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """node, comp: the smallest node that each node of the edges (a, b) reaches; a table of the given name."""
+    both = tables.write(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = tables.write(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("comp")), name)
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("near")), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
         jump = labels.join(labels.select(F.col("node").alias("comp"), F.col("comp").alias("jump")), "comp").select("node", F.col("comp").alias("was"), "jump")
-        moved = written(jump.join(near, "node").select("node", "was", F.least("jump", "near").alias("comp")), "labels")
+        moved = tables.write(jump.join(near, "node").select("node", "was", F.least("jump", "near").alias("comp")), name)
         labels = moved.select("node", "comp")
         if moved.where("comp != was").isEmpty():
+            tables.drop("edges")
             return labels
 
 
 class _Linker:
-    def __init__(self, docs: DataFrame, nodes: DataFrame, buckets: DataFrame):
-        self.nodes, self.comps = nodes, None
-        wanted = buckets.select(F.col("node").alias("doc_id")).distinct()
-        self.sets = written(shingle_sets(docs.join(wanted, "doc_id", "left_semi")).dropDuplicates(["node"]), "sets")
+    def __init__(self, tables: Tables, nodes: DataFrame, sets: DataFrame):
+        self.tables, self.nodes, self.sets, self.comps = tables, nodes, sets, None
 
     def labelled(self, buckets: DataFrame) -> DataFrame:
         rows = buckets.select("key", "bands", "node", "n")
@@ -271,32 +286,36 @@ class _Linker:
             return rows.withColumn("comp", F.col("node"))
         return rows.join(self.comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
-    def open(self, buckets: DataFrame, order) -> DataFrame:
+    def open(self, buckets: DataFrame, order, name: str = "open") -> DataFrame:
         """Rows of the buckets that join several components, with the bucket's size and centre (least by order)."""
-        rows = written(self.labelled(buckets), "rows")
+        rows = self.tables.write(self.labelled(buckets), "rows")
         lead = F.min(F.struct(order.alias("order"), "node", "comp", "n")).alias("centre")
         stats = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("members"), lead)
-        stats = stats.where("low < high").select("key", "members", "centre")
-        return written(rows.join(stats, "key").select("key", "bands", "node", "n", "comp", "members", F.col("centre.node").alias("c_node"), F.col("centre.comp").alias("c_comp"), F.col("centre.n").alias("c_n")), "open")
+        stats = self.tables.write(stats.where("low < high").select("key", "members", "centre"), "stats")
+        told = rows.join(stats, "key").select("key", "bands", "node", "n", "comp", "members", F.col("centre.node").alias("c_node"), F.col("centre.comp").alias("c_comp"), F.col("centre.n").alias("c_n"))
+        found = self.tables.write(told, name)
+        self.tables.drop("rows", "stats")
+        return found
 
     def link(self, likely: DataFrame) -> None:
         """Verifies the pairs (a, b) and joins the components of those that hold."""
         links = _verified(likely, self.sets)
         if self.comps is None:
-            links = written(links, "links")
+            links = self.tables.write(links, "links")
             if not links.isEmpty():
-                self.comps = components(links)
+                self.comps = components(links, self.tables, "comps")
             return
         of = lambda c: self.comps.select(F.col("node").alias(c), F.col("comp").alias(f"c_{c}"))
         joined = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("c_a", "a").alias("c_a"), F.coalesce("c_b", "b").alias("c_b"))
-        joined = written(joined, "links")
+        joined = self.tables.write(joined, "links")
         edges = joined.where("c_a != c_b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
         if edges.isEmpty():
             return
-        merged = components(edges).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+        merged = components(edges, self.tables, "merged").select(F.col("node").alias("comp"), F.col("comp").alias("to"))
         fresh = joined.select(F.col("a").alias("node"), F.col("c_a").alias("comp")).unionByName(joined.select(F.col("b").alias("node"), F.col("c_b").alias("comp")))
         everyone = self.comps.unionByName(fresh).distinct()
-        self.comps = written(everyone.join(merged, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "comps")
+        self.comps = self.tables.write(everyone.join(merged, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "comps")
+        self.tables.drop("merged")
 
     def settle(self, buckets: DataFrame) -> None:
         """Finer buckets only join components early: the large buckets of the first level are compared whole at the end."""
@@ -314,38 +333,49 @@ class _Linker:
             if rows.isEmpty():
                 break
             large = F.col("members") > LARGE
-            self.link(_likely_in_blocks(rows.where(~large), self.nodes))
-            rest = rows.where(large)
+            self.link(_likely_in_blocks(rows.where(~large), self.nodes, self.sets))
+            rest = self.tables.write(rows.where(large), "large" if level == 1 else "rest")
             if level == 1:
                 whole = rest
             if level == LEVELS or rest.isEmpty():
                 break
             finer = rest.select("key", "bands", "node").join(self.nodes, "node")
-            buckets = written(banded(finer.select("key", "bands", "node", "n", "registers")), "buckets")
+            buckets = self.tables.write(banded(finer.select("key", "bands", "node", "n", "registers")), "buckets")
         if whole is None or whole.isEmpty():
             return
         rows = self.open(whole, F.col("node"))
-        self.link(_likely_in_blocks(rows, self.nodes))
+        self.link(_likely_in_blocks(rows, self.nodes, self.sets))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     small_batches(docs.sparkSession)
-    drawn = written(sketches(docs), "sketches")
-    named = drawn.where("n_shingles > 0 and doc_id is not null")
-    first = named.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "registers", "low")).alias("f"))
-    nodes = written(first.select("set_key", F.col("f.doc_id").alias("node"), F.col("f.n_shingles").alias("n"), "f.registers", "f.low"), "nodes")
+    tables = Tables(docs.sparkSession)
+    drawn = tables.write(sketches(docs), "sketches")
+    of_set = drawn.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"))
+    of_set = tables.write(of_set, "of_set")
+    first = of_set.groupBy("node").agg(F.min("set_key").alias("set_key"))
+    nodes = drawn.withColumnRenamed("doc_id", "node").join(first, ["node", "set_key"], "left_semi").dropDuplicates(["node"])
+    nodes = tables.write(nodes.select("node", "set_key", F.col("n_shingles").alias("n"), "registers"), "nodes")
+    slim = tables.write(drawn.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")), "slim")
+    tables.drop("sketches")
     rows = banded(nodes)
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    buckets = written(rows.join(shared, "key", "left_semi"), "buckets")
-    linker = _Linker(docs, nodes, buckets)
+    shared = tables.write(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "keys")
+    buckets = tables.write(rows.join(shared, "key", "left_semi"), "buckets")
+    meeting = tables.write(nodes.join(buckets.select("node").distinct(), "node", "left_semi"), "meeting")
+    tables.drop("nodes", "keys")
+    wanted = meeting.select(F.col("node").alias("doc_id"), "set_key")
+    sets = tables.write(shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id")).dropDuplicates(["node"]), "sets")
+    linker = _Linker(tables, meeting, sets)
     linker.settle(buckets)
-    of_set = nodes.select("set_key", "node")
     if linker.comps is not None:
         of_set = of_set.join(linker.comps, "node", "left").select("set_key", F.coalesce("comp", "node").alias("node"))
-    placed = drawn.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(of_set, "set_key", "left")
     component = F.coalesce("node", "doc_id")
-    return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    placed = slim.where("set_key is not null").join(of_set, "set_key").select("doc_id", "n_shingles", component.alias("component_id"))
+    alone = slim.where("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    found = tables.write(placed.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "found")
+    tables.drop_all_but("found")
+    return found
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
