@@ -1,22 +1,25 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 Only DataFrame functions. Words are letter and digit runs in lower case; shingles are five words. A window is as long
-as a benchmark item and lies where it would put a shared shingle at the item's own place (no other window can share a
-shingle with the item in place). Windows with the same shingles are one from there on, so a passage that a third of
-the rows carry is fingerprinted and verified once. A window's SimHash has 64 bits of weighted votes. Fingerprints are cut into RADIUS + 1
-blocks: two that differ in at most RADIUS bits agree in a whole block, so the block join finds every pair within the
-radius. Pairs within it are verified by the exact weighted Jaccard similarity of their shingle sets; a shingle's weight
-is one over the number of items that have it. Where items repeat one another that alone would push near copies under the
+as a benchmark item (its size) and lies where it would put a shared shingle at the place it has in some item of that
+size; windows without any benchmark shingle have similarity 0 with all items and are not laid out. Windows with the same
+shingles are one from there on, so a passage that a third of the rows carry is fingerprinted and verified once. A
+window's SimHash has 64 bits of weighted votes. Fingerprints are cut into RADIUS + 1 blocks: two that differ in at most
+RADIUS bits agree in a whole block, so the join on size and block finds every pair within the radius among all items of
+the window's size, whichever item it was laid out by. Pairs within it are verified by the exact weighted Jaccard
+similarity of their shingle sets; a shingle's weight is one over the number of items that have it. Where items repeat one another that alone would push near copies under the
 threshold, so windows and items are also fingerprinted and verified with equal weights: a pair is found if either
 similarity allows, and told with the weighted one if that reaches the threshold, else with the plain one. At Jaccard 0.75
 and equal sizes fingerprints differ in 11 bits on average; by the binomial law of 64 bits more than RADIUS differ with
 probability 2e-7.
 
-The benchmark side is counted first: up to MAX_INLINE distinct shingles it is matched in place, beyond that by a
-shuffle join; either way gives the same rows.
+The benchmark side is counted first: up to MAX_INLINE distinct shingles it is matched in place, up to MAX_BROADCAST by a
+broadcast of the shingles (8 bytes each), so no word of the documents is shuffled; beyond that by a shuffle join. Each
+way gives the same rows.
 
-Null, empty and short texts (under five words) have no window. Items of under five words have no shingle and match
-nothing. Items that are equal match alike. Rows given twice are found once per doc_id. Empty tables give empty results.
+Null, empty and short texts (under five words) have no window. An item of under five words has no shingle; it is found
+in the texts that consist of its words alone (similarity 1). Items without a word match nothing. Items that are equal
+match alike. Rows given twice are found once per doc_id. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ from .common import documents, whole_text, written
 WORDS = 5
 THRESHOLD = 0.75
 BITS, RADIUS = 64, 28
-#: Distinct item shingles that may stand as a literal set in the plan (0.2 MB).
-MAX_INLINE = 20_000
+#: Distinct item shingles that may stand as a literal set in the plan (0.2 MB), and that may be broadcast (16 MB).
+MAX_INLINE, MAX_BROADCAST = 20_000, 2_000_000
 _UNIT = 1_000_000  # weights are whole numbers, so sums don't hang on their order
 
 
@@ -80,21 +83,24 @@ def _hits(docs: DataFrame, item_shingles: DataFrame) -> DataFrame:
         known = ",".join(f"{r['h']}L" if r["h"] != -(1 << 63) else "(-9223372036854775807L - 1L)" for r in distinct.collect())
         places = F.array_compact(F.expr(f"transform(hashes, (h, i) -> CASE WHEN h IN ({known}) THEN i END)"))
         return rows.withColumn("places", places).where(F.size("places") > 0)
-    shared = rows.select("rid", F.posexplode("hashes").alias("place", "h")).join(distinct, "h", "left_semi")
+    known = F.broadcast(distinct) if n <= MAX_BROADCAST else distinct
+    shared = rows.select("rid", F.posexplode("hashes").alias("place", "h")).join(known, "h", "left_semi")
     return rows.join(shared.groupBy("rid").agg(F.sort_array(F.collect_set("place")).alias("places")), "rid")
 
 
-def _near(meant: DataFrame, prints: DataFrame, item_prints: DataFrame) -> DataFrame:
-    """set_key, item_id: the meant pairs whose fingerprints are within the radius."""
-    blocked = meant.join(prints, "set_key").select("set_key", "item_id", "fp", F.inline(blocks(F.col("fp"))))
-    item_blocked = item_prints.select("item_id", F.col("fp").alias("item_fp"), F.inline(blocks(F.col("fp"))))
-    near = blocked.join(item_blocked, ["item_id", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
+def _near(sized: DataFrame, prints: DataFrame, item_sizes: DataFrame, item_prints: DataFrame) -> DataFrame:
+    """set_key, item_id: windows and items of one size whose fingerprints are within the radius; each pair in the first block they share."""
+    blocked = sized.join(prints, "set_key").select("set_key", "size", "fp", F.inline(blocks(F.col("fp"))))
+    item_blocked = item_sizes.join(item_prints, "item_id").select("item_id", "size", F.col("fp").alias("item_fp"), F.inline(blocks(F.col("fp"))))
+    near = blocked.join(item_blocked, ["size", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
     return near.select("set_key", "item_id").distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """rid (hash of doc_id and text), doc_id, item_id, similarity, first_word, n_words: the best window for each row and item."""
-    items = benchmark.select("item_id", words(whole_text()).alias("words")).where(F.size("words") >= WORDS)
+    every = benchmark.select("item_id", words(whole_text()).alias("words"))
+    short = every.where((F.size("words") > 0) & (F.size("words") < WORDS)).select("item_id", "words").distinct()
+    items = every.where(F.size("words") >= WORDS)
     items = written(items.select("item_id", F.size("words").alias("n_words"), F.posexplode(shingles(F.col("words"))).alias("place", "h")), "items")
     item_sets = items.select("item_id", "h").distinct()
     weights = item_sets.groupBy("h").agg((F.lit(_UNIT) / F.count(F.lit(1))).cast("long").alias("w"))
@@ -103,31 +109,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = written(_hits(docs.select("doc_id", "text", words(whole_text()).alias("words")), items), "hits")
     anchors = hits.select("rid", F.explode("places").alias("at"), "hashes", "n_words").select("rid", "at", F.col("hashes")[F.col("at")].alias("h"), F.col("n_words").alias("doc_words"))
     place = [F.greatest(F.lit(0), F.col("at") - F.col("place")).alias("first"), F.least("doc_words", F.col("at") - F.col("place") + F.col("n_words")).alias("end")]
-    aligned = anchors.join(items, "h").select("rid", "item_id", *place).groupBy("rid", "first", "end").agg(F.collect_set("item_id").alias("item_ids"))
+    aligned = anchors.join(items, "h").select("rid", F.col("n_words").alias("size"), *place).distinct()
     windows = aligned.join(hits.select("rid", "doc_id", "hashes").dropDuplicates(["rid"]), "rid")
     inside = F.array_sort(F.array_distinct(F.slice("hashes", F.col("first") + 1, F.col("end") - F.col("first") - WORDS + 1)))
-    windows = windows.select("rid", "doc_id", "first", (F.col("end") - F.col("first")).alias("n_words"), "item_ids", inside.alias("set"))
+    windows = windows.select("rid", "doc_id", "first", (F.col("end") - F.col("first")).alias("n_words"), "size", inside.alias("set"))
     windows = written(windows.withColumn("set_key", F.xxhash64("set")), "windows")
 
     sets = written(windows.groupBy("set_key").agg(F.first("set").alias("set")).select("set_key", F.explode("set").alias("h")), "sets")
     prints = [fingerprints(sets, "set_key", weights), fingerprints(sets, "set_key")]
-    # A window is only held against the items it was laid out for, so the blocks meet within an item, not across all items.
-    meant = windows.select("set_key", F.explode("item_ids").alias("item_id")).distinct()
-    near = _near(meant, prints[0], item_prints[0]).unionByName(_near(meant, prints[1], item_prints[1])).distinct()
+    sized, item_sizes = windows.select("set_key", "size").distinct(), items.select("item_id", F.col("n_words").alias("size")).distinct()
+    near = _near(sized, prints[0], item_sizes, item_prints[0]).unionByName(_near(sized, prints[1], item_sizes, item_prints[1])).distinct()
     common = near.join(sets, "set_key").join(item_sets, ["item_id", "h"]).join(weights, "h")
     shared = common.groupBy("set_key", "item_id").agg(F.sum("w").alias("both"), F.count(F.lit(1)).alias("same"))
-    for of, key, told in ((prints, "set_key", ("total", "size")), (item_prints, "item_id", ("item_total", "item_size"))):
+    for of, key, told in ((prints, "set_key", ("total", "in_set")), (item_prints, "item_id", ("item_total", "in_item"))):
         for one, c in zip(of, told):
             shared = shared.join(one.select(key, F.col("total").alias(c)), key)
     weighted = F.col("both") / (F.col("total") + F.col("item_total") - F.col("both"))
-    plain = F.col("same") / (F.col("size") + F.col("item_size") - F.col("same"))
+    plain = F.col("same") / (F.col("in_set") + F.col("in_item") - F.col("same"))
     found = shared.select("set_key", "item_id", (weighted >= THRESHOLD).alias("by_weight"), F.when(weighted >= THRESHOLD, weighted).otherwise(plain).alias("similarity")).where(F.col("similarity") >= THRESHOLD)
     best = F.max(F.struct("by_weight", "similarity", (-F.col("first")).alias("place"), "n_words"))
-    return (
+    by_window = (
         windows.select("rid", "doc_id", "first", "n_words", "set_key").join(found, "set_key")
         .groupBy("rid", "doc_id", "item_id").agg(best.alias("best"))
         .select("rid", "doc_id", "item_id", "best.similarity", (-F.col("best.place")).alias("first_word"), "best.n_words")
     )
+    if short.isEmpty():
+        return by_window
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", words(whole_text()).alias("words")).where((F.size("words") > 0) & (F.size("words") < WORDS)).distinct()
+    whole = texts.join(short, "words").select("rid", "doc_id", "item_id", F.lit(1.0).alias("similarity"), F.lit(0).alias("first_word"), F.size("words").alias("n_words"))
+    return by_window.unionByName(whole)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
