@@ -1,9 +1,10 @@
 """License scan by canonical digests of entire texts.
 
 Only DataFrame functions. A text is brought to a canonical form (case, copyright lines, punctuation, white space,
-equivalent spellings) and its SHA-256 is hash-joined to the digests of known licence texts; the known side is a fixed
-list of this module, so its broadcast is bounded. Lines that speak of a licence are looked up the same way among known
-one-line notices.
+equivalent spellings) and its SHA-256 is hash-joined to the digests of known licence texts. Those are TEXTS and, on
+request, a table of further whole texts (`more`, for instance text_files of a folder of licence files); up to
+MAX_BROADCAST digests are broadcast, more are joined by shuffle. Lines that speak of a licence are looked up the same way
+among known one-line notices. Every pattern is linear in the text.
 
 Null text counts as empty; a text that is empty in canonical form matches nothing and has a null digest. Repeated rows
 each give a row. Empty tables give empty results.
@@ -16,8 +17,11 @@ from pyspark.sql import functions as F
 
 from .common import documents, whole_text
 
+#: Known digests that may be broadcast (under 10 MB).
+MAX_BROADCAST = 100_000
+
 #: A line that only claims copyright, and the phrase that goes with it.
-COPYRIGHT_LINE = r"(?m)^[\s\-*#/;]*(?:copyright\b|\(c\)|©)[^\n]*$"
+COPYRIGHT_LINE = r"(?m)^[ \t\-*#/;]*(?:copyright\b|\(c\)|©)[^\n]*$"
 RESERVED = r"all rights reserved"
 PUNCTUATION = r"[^\p{L}\p{N}]+"
 #: Equivalent spellings, on words parted by one space.
@@ -83,21 +87,34 @@ def digest(text: Column) -> Column:
     return F.nullif(F.sha2(canonical(text), 256), F.sha2(F.lit(""), 256))
 
 
-def known(spark: SparkSession, texts: tuple[tuple[str, str], ...] = TEXTS) -> DataFrame:
+def text_files(spark: SparkSession, folder: str) -> DataFrame:
+    """license_id (a file's name without .txt) and text of the files in a folder."""
+    name = F.regexp_replace(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1), r"\.txt$", "")
+    return spark.read.text(folder, wholetext=True).select(F.url_decode(name).alias("license_id"), F.col("value").alias("text"))
+
+
+def known(spark: SparkSession, texts: tuple[tuple[str, str], ...] = TEXTS, more: DataFrame | None = None) -> DataFrame:
     """license_id and text_digest of the known texts; one row per digest."""
     rows = spark.createDataFrame([(k, t) for k, t in texts], "license_id string, text string")
+    if more is not None:
+        rows = rows.unionByName(more.select("license_id", "text"))
     return rows.select("license_id", digest(F.col("text")).alias("text_digest")).where("text_digest is not null").groupBy("text_digest").agg(F.min("license_id").alias("license_id"))
 
 
-def licenses(docs: DataFrame, texts: tuple[tuple[str, str], ...] = TEXTS, notices: tuple[tuple[str, str], ...] = NOTICES) -> DataFrame:
-    """One row per row of docs: doc_id, text_digest, license_id (null: not a known licence), notice_ids (sorted, of its lines)."""
+def licenses(docs: DataFrame, texts: tuple[tuple[str, str], ...] = TEXTS, notices: tuple[tuple[str, str], ...] = NOTICES, more: DataFrame | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, text_digest, license_id (null: not a known licence), notice_ids (sorted, of its lines).
+
+    more: license_id and text of further whole texts that count as known.
+    """
     if any(NOTICE_MARK not in t.lower() for _, t in notices):
         raise ValueError(f"a notice without {NOTICE_MARK!r}")
     lines = F.filter(F.split(F.lower(whole_text()), "\n", -1), lambda line: F.contains(line, F.lit(NOTICE_MARK)))
     marked = docs.select("doc_id", digest(whole_text()).alias("text_digest"), F.transform(lines, digest).alias("lines"))
     notice_of = known(docs.sparkSession, notices).agg(F.map_from_entries(F.collect_list(F.struct("text_digest", "license_id"))).alias("m")).scalar()
     found = F.array_compact(F.transform(F.array_compact("lines"), lambda d: F.try_element_at("notice_of", d)))
-    matched = marked.withColumn("notice_of", notice_of).join(F.broadcast(known(docs.sparkSession, texts)), "text_digest", "left")
+    whole = known(docs.sparkSession, texts, more)
+    small = more is None or whole.count() <= MAX_BROADCAST
+    matched = marked.withColumn("notice_of", notice_of).join(F.broadcast(whole) if small else whole, "text_digest", "left")
     return matched.select("doc_id", "text_digest", "license_id", F.concat_ws(",", F.array_sort(F.array_distinct(found))).alias("notice_ids"))
 
 
