@@ -5,12 +5,13 @@ n-grams) and its entry in a lexicon of the training words. Transitions between l
 which runs of different documents, often of different languages, follow one another, as in code-switched text.
 Inference is exact forward-backward over the whole text; a document's language has the largest mean posterior.
 
-The model is fitted on the driver on a bounded sample: at most about `docs_per_lang` labelled documents of each
-language (drawn by a hash of doc_id) and `words` words. Everything else runs over whole texts in Arrow batches, a
-bounded number of words at a time.
+The model is fitted on the driver on a bounded sample: at most about `docs_per_lang` labelled documents of each of the
+`most_langs` most frequent languages (drawn by a hash of doc_id; texts of over `most_chars` characters are not learned
+from) and `words` words. Everything else runs over whole texts, a bounded number of words at a time; a longer text goes
+through forward-backward in pieces that hand their messages on, which is exact.
 
-Null text, and text without a letter, is `und` with score 0. Without any labelled row every text is `und`.
-A language unseen in training is never predicted. Repeated rows are predicted alike; empty tables give empty results.
+Null text, and text without a letter, is `und` with score 0. Without any labelled row every text is `und`, and
+`identified` rejects nothing. A language unseen in training is never predicted. Repeated rows are predicted alike; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from .ngrams import WordRows, char_grams
 
 UNKNOWN = "und"
 #: Bounds of the training sample.
-DOCS_PER_LANG, TRAIN_WORDS = 250, 120_000
+DOCS_PER_LANG, TRAIN_WORDS, MOST_LANGS, MOST_CHARS = 250, 120_000, 200, 200_000
 SIZES, BITS = (2, 3, 4, 5), 17
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _STEPS, _FLUSH_WORDS = 128, 100_000
@@ -69,26 +70,33 @@ class Crf:
         return np.exp(np.clip(scores - scores.max(1, keepdims=True), -30, 0))
 
 
-def posteriors(e: np.ndarray, first: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> np.ndarray:
+def _products(e: np.ndarray, first: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Of each block of words (block, step, label): what it makes of the message that comes in, as a matrix up to a factor."""
+    product = np.broadcast_to(np.eye(e.shape[2]), (len(e), e.shape[2], e.shape[2])).copy()
+    for t in range(e.shape[1]):
+        step = product @ transitions
+        if first[:, t].any():
+            step[first[:, t]] = product[first[:, t]].sum(2, keepdims=True) * start
+        product = step * e[:, t, None, :]
+        if t % 8 == 7:
+            product /= product.max((1, 2), keepdims=True)
+    return product
+
+
+def posteriors(e: np.ndarray, first: np.ndarray, transitions: np.ndarray, start: np.ndarray, before: np.ndarray | None = None, behind: np.ndarray | None = None) -> np.ndarray:
     """Posterior of each label at each word. e: emissions of the words of many texts in a row; first: words that begin a text.
 
     Exact: blocks of _STEPS words are multiplied up side by side, then the messages between blocks, then those inside.
+    before, behind: the messages that come in from what stands before and behind, where e is a piece of a text.
     """
     n, k = e.shape
     blocks = -(-n // _STEPS)
     pad = blocks * _STEPS - n
     e = np.concatenate([e, np.ones((pad, k))]).reshape(blocks, _STEPS, k)
     first = np.concatenate([first, np.ones(pad, bool)]).reshape(blocks, _STEPS)
-    product = np.broadcast_to(np.eye(k), (blocks, k, k)).copy()
-    for t in range(_STEPS):
-        step = product @ transitions
-        if first[:, t].any():
-            step[first[:, t]] = product[first[:, t]].sum(2, keepdims=True) * start
-        product = step * e[:, t, None, :]
-        if t % 8 == 7:
-            product /= product.max((1, 2), keepdims=True)
+    product = _products(e, first, transitions, start)
     forward, backward = np.empty((blocks, k)), np.empty((blocks, k))
-    message = np.full(k, 1 / k)
+    message = np.full(k, 1 / k) if before is None else before
     for b in range(blocks):
         forward[b] = message
         message = message @ product[b]
@@ -96,7 +104,11 @@ def posteriors(e: np.ndarray, first: np.ndarray, transitions: np.ndarray, start:
     message = np.ones(k)
     for b in range(blocks - 1, -1, -1):
         backward[b] = message
-        message = product[b] @ message
+        if behind is not None and b == blocks - 1:
+            rest = n - b * _STEPS
+            message = _products(e[b : b + 1, :rest], first[b : b + 1, :rest], transitions, start)[0] @ behind
+        else:
+            message = product[b] @ message
         message /= message.sum()
     alpha, a = np.empty_like(e), forward
     for t in range(_STEPS):
@@ -104,7 +116,11 @@ def posteriors(e: np.ndarray, first: np.ndarray, transitions: np.ndarray, start:
         a = a / a.sum(1, keepdims=True)
         alpha[:, t] = a
     z = backward
+    if behind is not None:  # it comes in at the last word, not behind the padding
+        last = n - 1 - (blocks - 1) * _STEPS
     for t in range(_STEPS - 1, -1, -1):
+        if behind is not None and t == last:
+            z[-1] = behind
         gamma = alpha[:, t] * z
         alpha[:, t] = gamma / gamma.sum(1, keepdims=True)
         z = np.where(first[:, t, None], 1.0, (e[:, t] * z) @ transitions.T)
@@ -188,15 +204,16 @@ def fit(texts: list[tuple[str, str]], words: int = TRAIN_WORDS, length: int = 24
     return Crf(langs, weights["grams"].astype(np.float32), lexicon, weights["lexical"], trans, start / start.sum())
 
 
-def training_rows(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> list[tuple[str, str]]:
+def training_rows(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, most_langs: int = MOST_LANGS, most_chars: int = MOST_CHARS) -> list[tuple[str, str]]:
     """The bounded sample: labelled rows that aren't held out, thinned by a hash to about docs_per_lang of each language."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()}
+    rows = docs.where(F.col("lang").isNotNull() & (F.length("text") <= most_chars) & ~held_out()).select("doc_id", "lang", "text")
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
     if not counts:
         return []
     part = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, docs_per_lang / n))]), F.col("lang"))
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < F.coalesce(part, F.lit(0.0)) * (1 << 30))
-    found = drawn.select("lang", "text").limit(2 * docs_per_lang * len(counts)).collect()
+    place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30))
+    drawn = rows.where(place < F.coalesce(part, F.lit(0.0)) * (1 << 30))
+    found = drawn.orderBy(place, "doc_id", "lang", "text").select("lang", "text").limit(2 * docs_per_lang * len(counts)).collect()
     return [(r["lang"], r["text"]) for r in found]
 
 
@@ -208,8 +225,54 @@ class Predictor:
     def __init__(self, crf: Crf):
         self.crf, self.cache = crf, WordRows(crf.emissions, len(crf.langs))
 
+    def of_long(self, words: list[str]) -> np.ndarray:
+        """Mean posterior of one text, piece by piece."""
+        crf, k = self.crf, len(self.crf.langs)
+        pieces = [(at, min(at + _FLUSH_WORDS, len(words))) for at in range(0, len(words), _FLUSH_WORDS)]
+        emitted = lambda a, b: self.cache.rows[self.cache.places(words[a:b])]
+        opens = lambda a, b: np.arange(a, b) == 0
+        matrices = []
+        for a, b in pieces:
+            e, total = emitted(a, b), np.eye(k)
+            for s in range(0, b - a, _STEPS):
+                total = total @ _products(e[None, s : s + _STEPS], opens(a + s, min(a + s + _STEPS, b))[None], crf.transitions, crf.start)[0]
+                total /= total.max()
+            matrices.append(total)
+        behind = [np.ones(k)]
+        for m in matrices[:0:-1]:
+            behind.append(m @ behind[-1])
+            behind[-1] /= behind[-1].sum()
+        message, summed = np.full(k, 1 / k), np.zeros(k)
+        for (a, b), matrix, after in zip(pieces, matrices, behind[::-1]):
+            summed += posteriors(emitted(a, b), opens(a, b), crf.transitions, crf.start, message, after).sum(0)
+            message = message @ matrix
+            message /= message.sum()
+        return summed / len(words)
+
+    def of_texts(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
+        """Language and score of whole texts, about _FLUSH_WORDS words at a time."""
+        langs, scores, held, n = [], [np.empty(0)], [], 0
+
+        def flush() -> None:
+            found = self(held)
+            langs.extend(found[0])
+            scores.append(found[1])
+
+        for text in column:
+            words = words_of(text.as_py())
+            if n and n + len(words) > _FLUSH_WORDS:
+                flush()
+                held, n = [], 0
+            held.append(words)
+            n += len(words)
+        flush()
+        return langs, np.concatenate(scores)
+
     def __call__(self, texts: list[list[str]]) -> tuple[list[str], np.ndarray]:
         """Language and score of texts given as words."""
+        if len(texts) == 1 and len(texts[0]) > _FLUSH_WORDS:
+            mean = self.of_long(texts[0])
+            return [self.crf.langs[int(mean.argmax())]], np.array([min(1.0, mean.max())])
         langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         sizes = np.array([len(t) for t in texts])
         full = np.flatnonzero(sizes)
@@ -234,39 +297,25 @@ def predictions(docs: DataFrame, crf: Crf | None) -> DataFrame:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = Predictor(model.value) if model.value else None
         for batch in batches:
-            langs, scores, held, n = [], [], [], 0
-
-            def flush() -> None:
-                found = predictor(held) if predictor else ([UNKNOWN] * len(held), np.zeros(len(held)))
-                langs.extend(found[0])
-                scores.append(found[1])
-
-            for text in batch.column(1):
-                held.append(found := words_of(text.as_py()))
-                n += len(found)
-                if n >= _FLUSH_WORDS:
-                    flush()
-                    held, n = [], 0
-            flush()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(np.concatenate(scores))], ["doc_id", "lang_pred", "score"])
+            langs, scores = predictor.of_texts(batch.column(1)) if predictor else ([UNKNOWN] * len(batch), np.zeros(len(batch)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double")
 
 
 def identified(docs: DataFrame, crf: Crf | None, least_score: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns as they are, whose language the model tells with a score of least_score or more."""
+    """The rows of docs, all columns as they are, whose language the model tells with a score of least_score or more; without a model all rows."""
+    if crf is None:
+        return docs
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(crf)
     text_at = docs.columns.index("text")
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predictor = Predictor(model.value) if model.value else None
+        predictor = Predictor(model.value)
         for batch in batches:
-            for start in range(0, len(batch), 512):
-                part = batch.slice(start, 512)
-                if predictor:
-                    langs, scores = predictor([words_of(t.as_py()) for t in part.column(text_at)])
-                    yield part.filter(pa.array([k != UNKNOWN and s >= least_score for k, s in zip(langs, scores)], pa.bool_()))
+            langs, scores = predictor.of_texts(batch.column(text_at))
+            yield batch.filter(pa.array([k != UNKNOWN and s >= least_score for k, s in zip(langs, scores)], pa.bool_()))
 
     return docs.mapInArrow(choose, docs.schema)
 
