@@ -5,7 +5,8 @@ log-count ratio between toxic and other training documents; n-grams whose ratio
 logistic regression is fitted on the scaled features; its threshold is the contract's.
 
 Ratios and weights are fitted on the driver on a bounded sample of labelled rows: about `per_class` documents of each
-class, drawn by a hash of doc_id and weighted back to the class counts of all labelled rows. Scoring runs over whole
+class, drawn by a hash of doc_id and weighted back to the class counts of all labelled rows; texts of over `most_chars`
+characters are not learned from. Scoring runs over whole
 texts in Arrow batches.
 
 Null, empty and wordless texts get the model's score of no feature. Without labels of both classes every score is the
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import documents, small_batches
 from .ngrams import WordRows, char_grams
 
-PER_CLASS = 3000
+PER_CLASS, MOST_CHARS = 3000, 200_000
 THRESHOLD = 0.3
 SIZES, BITS = (3, 4, 5, 6), 19
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
@@ -63,13 +64,13 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, least_ratio: fl
     doc = np.repeat(np.arange(len(texts)), [len(p) for p in pairs])
     word = np.concatenate(pairs)
     at, features = char_grams(list(place), SIZES, BITS)
-    # Documents of each class that have an n-gram; per word first, so a document counts once for each of its words.
+    # How often each class has an n-gram in a document's distinct words; the ratio is of the n-gram's shares of all.
     support = np.zeros((2, 1 << BITS))
     for label in (0, 1):
         docs_with = np.bincount(word, toxic[doc] == label, len(place))
         support[label] = np.bincount(features, docs_with[at], 1 << BITS)
-    total = np.array([(toxic == 0).sum(), (toxic == 1).sum()])
-    ratio = np.log((support[1] + 1) / (total[1] + 2)) - np.log((support[0] + 1) / (total[0] + 2))
+    shares = (support + 1) / (support + 1).sum(1, keepdims=True)
+    ratio = np.log(shares[1]) - np.log(shares[0])
     active = (np.abs(ratio) >= least_ratio) & (support.sum(0) >= least_support)
     keep = active[features]
     at, features = at[keep], features[keep]
@@ -90,12 +91,14 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, least_ratio: fl
     return NaiveBayesLinear(weights, float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> NaiveBayesLinear:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_chars: int = MOST_CHARS) -> NaiveBayesLinear:
     known = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).count().collect()}
     part = F.when(F.col("toxic") > 0, min(1.0, per_class / max(1, counts.get(1, 0)))).otherwise(min(1.0, per_class / max(1, counts.get(0, 0))))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 30)) < part * (1 << 30)).limit(4 * per_class)
-    rows = docs.select("doc_id", "text").join(drawn, "doc_id").select((F.col("toxic") > 0).cast("int").alias("toxic"), "text").limit(8 * per_class).collect()
+    place = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 30))
+    drawn = known.where(place < part * (1 << 30)).orderBy(place, "doc_id").limit(4 * per_class)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= most_chars).join(drawn, "doc_id")
+    rows = texts.orderBy(place, "doc_id", "text").select((F.col("toxic") > 0).cast("int").alias("toxic"), "text").limit(8 * per_class).collect()
     rows = sorted((r["toxic"], r["text"] or "") for r in rows)
     toxic = np.array([t for t, _ in rows], int)
     stands_for = {k: counts.get(k, 0) / max(1, (toxic == k).sum()) for k in (0, 1)}
