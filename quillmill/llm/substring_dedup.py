@@ -7,7 +7,8 @@ A window is WINDOW consecutive words. It repeats if its word sequence starts any
    cannot hold a repeated window; they are left behind by a count with partial aggregation.
 2. Segments with the same words are one from there on, with a count: a passage that a third of all rows carry is one
    row. An anchor that still has more than MOST different segments (what stands before and after a very common passage)
-   is cut further: its windows are grouped by their own hash, and those that occur once are left behind.
+   is cut further: its windows take the place of the segments and their own hash that of the anchor, so they spread over
+   the shards; those whose hash occurs once are left behind like anchors that occur once.
 3. The segments are dealt by anchor to index shards. Each shard is a suffix array turned into a Burrows-Wheeler
    transform in a wavelet matrix of packed bits; backward search over it gives, for the segments streamed through it,
    the intervals whose windows all occur twice or more (occurrences weighted by the segments' counts). A shard takes
@@ -151,11 +152,14 @@ class FmIndex:
                 self.seeds = rank
             if done:
                 break
-        self.seed_sizes = np.bincount(self.seeds, minlength=n)
+        small = lambda of: of.astype(np.uint32 if n < 1 << 32 else np.int64)
+        self.seeds, self.seed_sizes = small(self.seeds), small(np.bincount(self.seeds, minlength=n))
         segment = np.repeat(np.arange(n_segments), lengths + 1)
         self.weight = np.concatenate([[0], np.cumsum(times[segment[order]])])
+        if self.weight[-1] < 1 << 32:
+            self.weight = self.weight.astype(np.uint32)
         last = text[order - 1]
-        self.text, self.n = text, n
+        self.text, self.n = small(text), n
         self.levels = max(1, int(len(self.alphabet)).bit_length())
         self.bits, self.counts, self.zeros = [], [], []
         for level in range(self.levels - 1, -1, -1):
@@ -163,7 +167,7 @@ class FmIndex:
             packed = np.packbits(bit, bitorder="little")
             packed = np.concatenate([packed, np.zeros(-len(packed) % 8 + 8, np.uint8)]).view(np.uint64)
             self.bits.append(packed)
-            self.counts.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)])[: len(packed)])
+            self.counts.append(small(np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)])[: len(packed)]))
             self.zeros.append(n - int(bit.sum()))
             last = np.concatenate([last[~bit], last[bit]])
         # Where each symbol's run begins below the last level: rank queries subtract it.
@@ -196,14 +200,14 @@ class FmIndex:
         last SEED words, which the suffix sort has told.
         """
         reached = end - SEED
-        low = self.seeds[reached]
+        low = self.seeds[reached].astype(np.int64)
         high = low + self.seed_sizes[low]
         good = self.weight[high] - self.weight[low] >= 2
         reached[~good] += 1
         live = np.flatnonzero(good & (reached > least))
         low, high = low[live], high[live]
         while len(live):
-            low, high = self.extend(self.text[reached[live] - 1], low, high)
+            low, high = self.extend(self.text[reached[live] - 1].astype(np.int64), low, high)
             good = self.weight[high] - self.weight[low] >= 2
             live, low, high = live[good], low[good], high[good]
             reached[live] -= 1
@@ -242,9 +246,7 @@ def _searched(segments: DataFrame, n_shards: int) -> DataFrame:
         words, times = part.column(3), part.column(2).to_numpy()
         lengths = np.diff(words.offsets.to_numpy()).astype(np.int64)
         index = FmIndex(words.flatten().to_numpy(), lengths, times)
-        # A segment that occurs twice as a whole needs no search: its matching statistics are its length.
-        whole = np.flatnonzero(times > 1)
-        found = [(whole, np.zeros_like(whole), lengths[whole]), *index.repeated(np.flatnonzero(times == 1))]
+        found = index.repeated(np.arange(len(lengths)))
         segment, start, end = (np.concatenate(c) for c in zip(*found))
         order = np.argsort(segment, kind="stable")
         at, sizes = np.unique(segment, return_counts=True)
@@ -354,5 +356,20 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     return marked.mapInArrow(remove, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
 
 
+ORACLE = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+windows AS (SELECT rid, i, md5(array_to_string(w[i : i + {WINDOW - 1}], ' ')) AS h FROM (SELECT rid, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM docs) t),
+repeated AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + {WINDOW})) AS p FROM windows JOIN repeated USING (h)),
+lost AS (SELECT rid, count(*) AS n, list(p) AS places FROM gone GROUP BY rid),
+kept AS (
+  SELECT d.rid, sha256(coalesce(string_agg(d.x, ' ' ORDER BY d.p), '')) AS h
+  FROM (SELECT rid, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM docs) d LEFT JOIN gone g ON g.rid = d.rid AND g.p = d.p WHERE g.rid IS NULL GROUP BY d.rid)
+SELECT doc_id, len(w) AS n_words, coalesce(lost.n, 0) AS n_removed, coalesce(kept.h, sha256('')) AS kept_sha256
+FROM docs LEFT JOIN lost ON lost.rid = docs.rid LEFT JOIN kept ON kept.rid = docs.rid
+"""
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
