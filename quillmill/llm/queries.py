@@ -17,10 +17,14 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_sharding": sharding.op10_sharding,
+    "slot_map_edit": sharding.slot_map_edit,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op4_near_dedup": near_dedup.ORACLE,
     "op6_licenses": licenses.ORACLE,
+    "op8_substring_dedup": substring_dedup.ORACLE,
+    "op10_sharding": sharding.ORACLE,
 }

@@ -2,19 +2,23 @@
 
 Only DataFrame functions. A record's virtual slot is a hash of its doc_id and never changes. Bytes are summed per
 slot (partial aggregation; the result has at most n_slots rows whatever the input), and a greedy pass over that
-bounded table, largest slot first onto the lightest shard, gives the map. Rebalancing edits the last map: a shard
-keeps its slots up to its share and gives up the rest. Sizes come out near equal (law `bytes`).
+bounded table, largest slot first onto the lightest shard, gives the map. Maps are stored as a table partitioned by
+version and read back by it. Rebalancing edits the last map into the next version: a shard keeps its slots up to its
+share and gives up the rest. Sizes come out near equal (law `bytes`).
 
 Null text has no bytes and counts 8; a null doc_id has a slot like any other value; repeated rows are records of
-their own. An empty table gives an empty plan.
+their own. An empty table gives an empty plan, and an empty map has no version.
 """
 
 from __future__ import annotations
 
+import uuid
+import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, whole_text
+from .common import documents, scratch, whole_text
 
 SLOTS = 4096
 SHARDS = 24
@@ -23,7 +27,9 @@ OVERHEAD = 8
 
 
 def virtual_slot(column: str = "doc_id", n_slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(F.col(column)), F.lit(n_slots)).cast("int")
+    """The first 32 bits of the value's MD5, modulo n_slots."""
+    first = F.substring(F.md5(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), 1, 8)
+    return (F.conv(first, 16, 10).cast("long") % n_slots).cast("int")
 
 
 def slot_bytes(records: DataFrame) -> DataFrame:
@@ -86,14 +92,74 @@ def placed(records: DataFrame, slot_map: DataFrame) -> DataFrame:
     return counted.join(F.broadcast(offsets), "virtual_slot").withColumn("slot", F.col("first_place") + F.col("place")).drop("first_place", "place")
 
 
-def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    records = docs.select(
+def stored(slot_map: DataFrame, folder: str) -> None:
+    """Writes the map's version into the folder; a version that stands there already is replaced, others stay."""
+    slot_map.repartition(1).write.partitionBy("version").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(folder)
+
+
+def loaded(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """The given version of the stored map, else the last one."""
+    found = spark.read.schema("virtual_slot int, shard int, records bigint, version int").parquet(folder)
+    wanted = F.lit(version) if version is not None else found.agg(F.max("version").alias("v")).select("v").scalar()
+    return found.where(F.col("version") == wanted).select("version", "virtual_slot", "shard", "records")
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, size, text_crc32, virtual_slot of each row."""
+    return docs.select(
         "doc_id", (F.octet_length(whole_text()).cast("long") + OVERHEAD).alias("size"),
         F.crc32(whole_text()).alias("text_crc32"), virtual_slot().alias("virtual_slot"),
     )
-    slot_map = plan(slot_bytes(records))
-    return placed(records, slot_map).select(
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{scratch(spark)}/quillmill-slot-map-{uuid.uuid4().hex}"
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stores the first map of the documents, reads it back and places every document by it."""
+    records, folder = sized(documents(spark, sf_dir)), _folder(spark)
+    stored(plan(slot_bytes(records)), folder)
+    return placed(records, loaded(spark, folder)).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(1).alias("map_version"),
     )
+
+
+def slot_map_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored map before and after an edit for one more shard: virtual_slot, bytes, records, shard, next_shard, moved."""
+    slots, folder = slot_bytes(sized(documents(spark, sf_dir))), _folder(spark)
+    stored(plan(slots), folder)
+    stored(rebalanced(loaded(spark, folder), slots, SHARDS + 1), folder)
+    was, now = loaded(spark, folder, 1), loaded(spark, folder)
+    told = now.select("virtual_slot", F.col("shard").alias("next_shard"), F.col("version").alias("map_version"))
+    both = slots.join(was.select("virtual_slot", "shard"), "virtual_slot").join(told, "virtual_slot")
+    return both.withColumn("moved", F.col("shard") != F.col("next_shard"))
+
+
+#: CRC-32 of each byte, with which SQL works the text's out.
+_CRC = ", ".join(str(zlib.crc32(bytes([b])) ^ zlib.crc32(b"\0")) for b in range(256))
+ORACLE = f"""
+WITH RECURSIVE crc AS (SELECT [{_CRC}] AS t),
+texts AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+octets AS (SELECT rid, doc_id, hex(encode(text)) AS x, strlen(text) AS n FROM texts),
+records AS (
+  SELECT rid, doc_id, n + {OVERHEAD} AS size,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, n), lambda i: ('0x' || x[2 * i + 1 : 2 * i + 2])::BIGINT)),
+                    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]::BIGINT)), 4294967295::BIGINT) AS text_crc32,
+    (('0x' || md5(coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT % {SLOTS})::INT AS virtual_slot
+  FROM octets, crc),
+slots AS (
+  SELECT virtual_slot, sum(size)::BIGINT AS bytes, count(*) AS n,
+         row_number() OVER (ORDER BY sum(size) DESC, count(*) DESC, virtual_slot DESC) AS i FROM records GROUP BY virtual_slot),
+deal AS (
+  SELECT 0::BIGINT AS i, list_transform(range(0, {SHARDS}), lambda k: 0::BIGINT) AS loads, NULL::INT AS virtual_slot, NULL::INT AS shard
+  UNION ALL
+  SELECT s.i, list_transform(d.loads, lambda x, k: CASE WHEN k = list_position(d.loads, list_min(d.loads)) THEN x + s.bytes ELSE x END),
+         s.virtual_slot, (list_position(d.loads, list_min(d.loads)) - 1)::INT
+  FROM deal d JOIN slots s ON s.i = d.i + 1)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY virtual_slot, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot,
+       NULL::INT AS grown_shard, virtual_slot, 1 AS map_version
+FROM records JOIN deal USING (virtual_slot)
+"""
