@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -143,3 +144,67 @@ def test_toxicity_edges(spark, make):
     assert len(got) == 3 and all(0 <= r.score < toxicity.THRESHOLD for r in got)
     twice = spark.createDataFrame([(0, 0, 0), (0, 0, 1), (1, 0, None)], "doc_id long, quality int, toxic int")
     assert toxicity.train(make(["bad", "good"]), twice).bias > 0
+
+
+def test_long_texts_go_in_pieces_without_loss(monkeypatch):
+    rng = np.random.default_rng(4)
+    words = ["w%d" % i for i in rng.integers(0, 60, 900)]
+    trans = rng.random((3, 3)) + 0.01
+    crf = language_id.Crf(["a", "b", "c"], rng.normal(size=(1 << language_id.BITS, 3)).astype(np.float32), {}, np.zeros((0, 3)), trans, np.array([0.2, 0.3, 0.5]))
+    whole = language_id.Predictor(crf)([words])
+    for piece in (899, 300, 128, 101):
+        monkeypatch.setattr(language_id, "_FLUSH_WORDS", piece)
+        got = language_id.Predictor(crf)([words])
+        assert got[0] == whole[0] and np.allclose(got[1], whole[1])
+
+
+def test_language_query_on_odd_tables(spark, make):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "the cat and the dog of this house") for i in range(6)] + [(i, "el gato y la casa de los dos") for i in range(6, 12)]
+    docs = make(rows + [(3, rows[3][1]), (None, None), (20, ""), (21, "12 34")]).withColumn("lang", F.when(F.col("doc_id") < 6, "en").otherwise("es"))
+    docs = docs.withColumn("score", F.lit(7)).withColumn("lang_pred", F.lit("x"))
+    crf = language_id.train(docs)
+    got = language_id.predictions(docs, crf)
+    assert got.columns == ["doc_id", "lang_pred", "score"] and got.count() == 16
+    told = {}
+    for r in got.collect():
+        assert told.setdefault(r.doc_id, (r.lang_pred, r.score)) == (r.lang_pred, r.score)  # repeated rows alike
+    assert told[20] == told[21] == told[None] == ("und", 0.0) and {told[i][0] for i in range(6)} == {"en"} and {told[i][0] for i in range(6, 12)} == {"es"}
+    none = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert language_id.train(none) is None
+    assert language_id.identified(none, None).count() == docs.count()
+    assert language_id.predictions(docs.where("false"), crf).count() == 0
+
+
+def test_counts_and_scores_on_odd_tables(spark, make):
+    from pyspark.sql import functions as F
+
+    docs = make([(1, "same words"), (1, "same words"), (None, None), (2, ""), (3, "bad bad bad")]).withColumn("n_tokens", F.lit(1)).withColumn("score", F.lit(1))
+    counts = sorted(((r.doc_id or 0), r.n_tokens) for r in token_counts.token_counts(docs).collect())
+    assert counts[0] == (0, 0) and counts[1] == counts[2] and counts[3] == (2, 0)
+    assert token_counts.token_counts(docs.where("false")).count() == bpe.encoded(docs.where("false")).count() == 0
+    labels = spark.createDataFrame([(1, 0), (3, 1), (3, 0), (2, 0)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    scored = toxicity.scores(docs, model).collect()
+    assert len(scored) == 5 and all(0 <= r.score <= 1 for r in scored) and len({r.score for r in scored if r.doc_id == 1}) == 1
+    assert toxicity.scores(docs.where("false"), model).count() == 0
+    nothing = toxicity.train(docs, labels.where("false"))
+    assert max(r.score for r in toxicity.scores(docs, nothing).collect()) < 0.01
+
+
+def test_toxicity_ratios_equal_plain_counts():
+    texts = ["aa bb", "aa cc", "bb cc dd", "aa"] * 3
+    toxic = np.array([1, 0, 0, 1] * 3)
+    model = toxicity.fit(texts, toxic, np.ones(12), least_ratio=0.0, least_support=1, rounds=1)
+    words = ["aa", "bb", "cc", "dd"]
+    at, features = toxicity.char_grams(words, toxicity.SIZES, toxicity.BITS)
+    counts = {0: Counter(), 1: Counter()}
+    for text, label in zip(texts, toxic):
+        for w in set(text.split()):
+            counts[label].update(features[at == words.index(w)].tolist())
+    size = 1 << toxicity.BITS
+    plain = {f: np.log((counts[1][f] + 1) / (sum(counts[1].values()) + size)) - np.log((counts[0][f] + 1) / (sum(counts[0].values()) + size)) for f in set(features.tolist())}
+    # After one step of the fit every coefficient has moved by the same amount; n-grams that both classes have alike stay.
+    for f, ratio in plain.items():
+        assert counts[0][f] == counts[1][f] or np.isclose(abs(model.weights[f]), 0.05 * abs(ratio), rtol=1e-3)

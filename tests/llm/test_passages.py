@@ -95,9 +95,10 @@ def decontamination_truth(docs, items):
     return out
 
 
-@pytest.mark.parametrize("inline", [20_000, 0])
-def test_leaks_equal_brute_force(spark, make, monkeypatch, inline):
+@pytest.mark.parametrize("inline, broadcast", [(20_000, 0), (0, 2_000_000), (0, 0)])
+def test_leaks_equal_brute_force(spark, make, monkeypatch, inline, broadcast):
     monkeypatch.setattr(decontamination, "MAX_INLINE", inline)
+    monkeypatch.setattr(decontamination, "MAX_BROADCAST", broadcast)
     rng = random.Random(7)
     items = {i: " ".join(rng_words(rng, rng.randrange(14, 50))) for i in range(6)} | {6: "too short", 7: None, 8: ""}
     items[9] = items[0]
@@ -175,3 +176,29 @@ def test_sharding_law_bytes(spark, make):
     assert set(was) == set(now) and set(now.values()) == set(range(25)) and {r.version for r in second.collect()} == {2}
     assert sum(was[s] != now[s] for s in was) < 0.3 * len(was)
     assert sharding.plan(slots.where("false")).count() == 0
+
+
+def test_short_items_are_found_as_whole_texts(spark, make):
+    items = spark.createDataFrame([(1, "Two words"), (2, "..."), (3, None)], "item_id long, text string")
+    docs = make([(1, "two  WORDS!"), (2, "two words more"), (3, ""), (4, None), (5, "two words two words two words")])
+    assert [(r.doc_id, r.item_id, r.similarity) for r in decontamination.contaminated(docs, items).collect()] == [(1, 1, 1.0)]
+
+
+def test_map_is_stored_read_and_edited(spark, sf_dir, make):
+    from pyspark.sql import functions as F
+
+    rows = sharding.slot_map_edit(spark, sf_dir).collect()
+    assert {r.map_version for r in rows} == {2} and max(r.shard for r in rows) < 24 and max(r.next_shard for r in rows) == 24
+    loads = Counter()
+    for r in rows:
+        loads[r.next_shard] += r.bytes
+        assert r.moved == (r.shard != r.next_shard)
+    placed = sharding.op10_sharding(spark, sf_dir)
+    was = {r.virtual_slot: r.shard for r in rows}
+    assert all(was[r.virtual_slot] == r.shard for r in placed.collect())
+    none = sharding.sized(make(["a"]).where("false"))
+    folder = sharding._folder(spark)
+    sharding.stored(sharding.plan(sharding.slot_bytes(none)), folder)
+    assert sharding.placed(none, sharding.loaded(spark, folder)).count() == 0
+    clash = make(["a", "b"]).withColumn("size", F.lit("x")).withColumn("virtual_slot", F.lit(-1)).withColumn("records", F.lit(0))
+    assert sorted(r.size for r in sharding.sized(clash).collect()) == [9, 9]

@@ -40,3 +40,31 @@ def test_known_licences(spark):
     rows = [(1, mit.replace("sublicense", "sub-licence").upper() + "\nCopyright (c) 2020 X Y\n"), (2, None), (3, "..."), (4, "Copyright 2019 A.\nAll rights reserved.\n" + licenses.TEXTS[5][1]), (5, mit + " and more"), (6, "words\nreleased under the MIT Licence\nmore"), (7, "")]
     got = {r.doc_id: (r.license_id, r.notice_ids) for r in licenses.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: ("MIT", ""), 2: (None, ""), 3: (None, ""), 4: ("BSD-2-Clause", ""), 5: (None, ""), 6: (None, "MIT"), 7: (None, "")}
+
+
+def test_licence_scan_is_linear_and_takes_tables(spark, make, tmp_path):
+    import time
+
+    (tmp_path / "Own-1.0.txt").write_text("Do what you like.\n\nCopyright (c) 1999 Me")
+    more = licenses.text_files(spark, str(tmp_path))
+    docs = make(["\n" * 1_000_000, "DO what you -- like", " \t" * 500_000, "\n *" * 300_000]).withColumn("text_digest", F.lit(1))
+    start = time.time()
+    got = {r.doc_id: r.license_id for r in licenses.licenses(docs, more=more).collect()}
+    assert got == {0: None, 1: "Own-1.0", 2: None, 3: None} and time.time() - start < 60
+    assert licenses.licenses(docs.where("false")).count() == 0
+
+
+def test_pipeline_leaves_no_tables_behind(spark, sf_dir, tmp_path):
+    import os
+
+    from quillmill.llm import common
+
+    before = common._own_scratch
+    common._own_scratch = str(tmp_path)
+    try:
+        rows = corpus_pipeline.run(spark, sf_dir)
+        assert rows.count() > 0
+        size = sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(tmp_path) for f in fs)
+        assert size < 2 * os.path.getsize(f"{sf_dir}/documents.parquet")
+    finally:
+        common._own_scratch = before
