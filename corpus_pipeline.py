@@ -9,11 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmill.llm import bpe, decontamination, exact_dedup, language_id, near_dedup
-from quillmill.llm.common import documents, written
+from quillmill.llm.common import Tables, documents
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and texts whose best language has a mean posterior under one half."""
+    """Rejects texts without a letter and texts whose best language has a mean posterior under one half.
+
+    Without a labelled row there is no model, and nothing is rejected.
+    """
     return language_id.identified(docs, language_id.train(docs))
 
 
@@ -45,12 +48,15 @@ STAGES = [
     ("bpe", tokens),
 ]
 
-#: SQL cannot express the stages; tests/llm holds each against a brute-force version.
+#: SQL cannot express the stages. tests/llm holds the operators of the last four against brute-force versions or the
+#: tokenizers library, and the first against enumerated posteriors and held-out accuracy.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The stages over documents; each stage's table is deleted once the next one stands."""
+    docs, tables = documents(spark, sf_dir), Tables(spark)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = tables.write(stage(spark, docs, sf_dir), name)
+        tables.drop_all_but(name)
     return STAGES[-1][1](spark, docs, sf_dir)
