@@ -24,12 +24,10 @@ match alike. Rows given twice are found once per doc_id. Empty tables give empty
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, whole_text, written
+from .common import Tables, documents, whole_text
 
 WORDS = 5
 THRESHOLD = 0.75
@@ -55,12 +53,16 @@ def shingles(w: Column) -> Column:
     return F.transform(F.array(w), hashed)[0]
 
 
-def fingerprints(sets: DataFrame, key: str, weights: DataFrame | None = None) -> DataFrame:
-    """key, fp, total: SimHash and total weight (without weights: size) of each set; sets: key and its distinct shingles h, a row each."""
-    voted = sets.withColumn("w", F.lit(1)) if weights is None else sets.join(weights, "h", "left").withColumn("w", F.coalesce("w", F.lit(_UNIT)))
-    votes = [F.sum(F.when(F.shiftrightunsigned("h", b).bitwiseAND(1) == 1, F.col("w")).otherwise(-F.col("w"))).alias(f"b{b}") for b in range(BITS)]
-    fp = reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft((F.col(f"b{b}") > 0).cast("long"), b) for b in range(BITS)])
-    return voted.groupBy(key).agg(F.sum("w").alias("total"), *votes).select(key, fp.alias("fp"), "total")
+def fingerprints(sets: DataFrame, key: str, weights: DataFrame) -> DataFrame:
+    """key, total, size and fps (SimHash by weight, SimHash by count) of each set; sets: key and its distinct shingles h, a row each."""
+    voted = sets.join(weights, "h", "left").withColumn("w", F.coalesce("w", F.lit(_UNIT)))
+    for_bit = lambda b, w: F.sum(F.when(F.shiftrightunsigned("h", b).bitwiseAND(1) == 1, w).otherwise(-w))
+    votes = [F.array(*[for_bit(b, w) for b in range(BITS)]).alias(name) for w, name in ((F.col("w"), "by_weight"), (F.lit(1), "by_count"))]
+    summed = voted.groupBy(key).agg(F.sum("w").alias("total"), F.count(F.lit(1)).alias("size"), *votes)
+    # The binary digits of the signs, from the highest bit on.
+    digits = lambda name: F.concat(*[F.when(F.col(name)[b] > 0, "1").otherwise("0") for b in range(BITS - 1, -1, -1)])
+    fp = lambda name: F.conv(digits(name), 2, -10).cast("long")
+    return summed.select(key, "total", "size", F.array(fp("by_weight"), fp("by_count")).alias("fps"))
 
 
 def blocks(fp: Column) -> Column:
@@ -89,10 +91,10 @@ def _hits(docs: DataFrame, item_shingles: DataFrame) -> DataFrame:
 
 
 def _near(sized: DataFrame, prints: DataFrame, item_sizes: DataFrame, item_prints: DataFrame) -> DataFrame:
-    """set_key, item_id: windows and items of one size whose fingerprints are within the radius; each pair in the first block they share."""
-    blocked = sized.join(prints, "set_key").select("set_key", "size", "fp", F.inline(blocks(F.col("fp"))))
-    item_blocked = item_sizes.join(item_prints, "item_id").select("item_id", "size", F.col("fp").alias("item_fp"), F.inline(blocks(F.col("fp"))))
-    near = blocked.join(item_blocked, ["size", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
+    """set_key, item_id: windows and items of one size of which a fingerprint (by weight or by count) is within the radius."""
+    blocked = sized.join(prints, "set_key").select("set_key", "of", F.posexplode("fps").alias("kind", "fp")).select("set_key", "of", "kind", "fp", F.inline(blocks(F.col("fp"))))
+    item_blocked = item_sizes.join(item_prints, "item_id").select("item_id", "of", F.posexplode("fps").alias("kind", "item_fp")).select("item_id", "of", "kind", "item_fp", F.inline(blocks(F.col("item_fp"))))
+    near = blocked.join(item_blocked, ["of", "kind", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
     return near.select("set_key", "item_id").distinct()
 
 
@@ -101,38 +103,42 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     every = benchmark.select("item_id", words(whole_text()).alias("words"))
     short = every.where((F.size("words") > 0) & (F.size("words") < WORDS)).select("item_id", "words").distinct()
     items = every.where(F.size("words") >= WORDS)
-    items = written(items.select("item_id", F.size("words").alias("n_words"), F.posexplode(shingles(F.col("words"))).alias("place", "h")), "items")
+    tables = Tables(docs.sparkSession)
+    items = tables.write(items.select("item_id", F.size("words").alias("n_words"), F.posexplode(shingles(F.col("words"))).alias("place", "h")), "items")
     item_sets = items.select("item_id", "h").distinct()
-    weights = item_sets.groupBy("h").agg((F.lit(_UNIT) / F.count(F.lit(1))).cast("long").alias("w"))
-    item_prints = [fingerprints(item_sets, "item_id", weights), fingerprints(item_sets, "item_id")]
+    weights = tables.write(item_sets.groupBy("h").agg((F.lit(_UNIT) / F.count(F.lit(1))).cast("long").alias("w")), "weights")
+    item_prints = tables.write(fingerprints(item_sets, "item_id", weights), "item_prints")
 
-    hits = written(_hits(docs.select("doc_id", "text", words(whole_text()).alias("words")), items), "hits")
+    hits = tables.write(_hits(docs.select("doc_id", "text", words(whole_text()).alias("words")), items), "hits")
     anchors = hits.select("rid", F.explode("places").alias("at"), "hashes", "n_words").select("rid", "at", F.col("hashes")[F.col("at")].alias("h"), F.col("n_words").alias("doc_words"))
     place = [F.greatest(F.lit(0), F.col("at") - F.col("place")).alias("first"), F.least("doc_words", F.col("at") - F.col("place") + F.col("n_words")).alias("end")]
-    aligned = anchors.join(items, "h").select("rid", F.col("n_words").alias("size"), *place).distinct()
+    aligned = anchors.join(items, "h").select("rid", F.col("n_words").alias("of"), *place).distinct()
     windows = aligned.join(hits.select("rid", "doc_id", "hashes").dropDuplicates(["rid"]), "rid")
     inside = F.array_sort(F.array_distinct(F.slice("hashes", F.col("first") + 1, F.col("end") - F.col("first") - WORDS + 1)))
-    windows = windows.select("rid", "doc_id", "first", (F.col("end") - F.col("first")).alias("n_words"), "size", inside.alias("set"))
-    windows = written(windows.withColumn("set_key", F.xxhash64("set")), "windows")
-
-    sets = written(windows.groupBy("set_key").agg(F.first("set").alias("set")).select("set_key", F.explode("set").alias("h")), "sets")
-    prints = [fingerprints(sets, "set_key", weights), fingerprints(sets, "set_key")]
-    sized, item_sizes = windows.select("set_key", "size").distinct(), items.select("item_id", F.col("n_words").alias("size")).distinct()
-    near = _near(sized, prints[0], item_sizes, item_prints[0]).unionByName(_near(sized, prints[1], item_sizes, item_prints[1])).distinct()
+    windows = windows.select("rid", "doc_id", "first", (F.col("end") - F.col("first")).alias("n_words"), "of", inside.alias("set"))
+    windows = tables.write(windows.withColumn("set_key", F.xxhash64("set")), "windows")
+
+    tables.drop("hits")
+    sets = tables.write(windows.groupBy("set_key").agg(F.first("set").alias("set")).select("set_key", F.explode("set").alias("h")), "sets")
+    prints = tables.write(fingerprints(sets, "set_key", weights), "prints")
+    sized, item_sizes = windows.select("set_key", "of").distinct(), items.select("item_id", F.col("n_words").alias("of")).distinct()
+    near = tables.write(_near(sized, prints, item_sizes, item_prints), "near")
     common = near.join(sets, "set_key").join(item_sets, ["item_id", "h"]).join(weights, "h")
     shared = common.groupBy("set_key", "item_id").agg(F.sum("w").alias("both"), F.count(F.lit(1)).alias("same"))
-    for of, key, told in ((prints, "set_key", ("total", "in_set")), (item_prints, "item_id", ("item_total", "in_item"))):
-        for one, c in zip(of, told):
-            shared = shared.join(one.select(key, F.col("total").alias(c)), key)
+    shared = shared.join(prints.select("set_key", "total", F.col("size").alias("in_set")), "set_key")
+    shared = shared.join(item_prints.select("item_id", F.col("total").alias("item_total"), F.col("size").alias("in_item")), "item_id")
     weighted = F.col("both") / (F.col("total") + F.col("item_total") - F.col("both"))
     plain = F.col("same") / (F.col("in_set") + F.col("in_item") - F.col("same"))
     found = shared.select("set_key", "item_id", (weighted >= THRESHOLD).alias("by_weight"), F.when(weighted >= THRESHOLD, weighted).otherwise(plain).alias("similarity")).where(F.col("similarity") >= THRESHOLD)
+    found = tables.write(found, "found")
     best = F.max(F.struct("by_weight", "similarity", (-F.col("first")).alias("place"), "n_words"))
     by_window = (
         windows.select("rid", "doc_id", "first", "n_words", "set_key").join(found, "set_key")
         .groupBy("rid", "doc_id", "item_id").agg(best.alias("best"))
         .select("rid", "doc_id", "item_id", "best.similarity", (-F.col("best.place")).alias("first_word"), "best.n_words")
     )
+    by_window = tables.write(by_window, "by_window")
+    tables.drop_all_but("by_window")
     if short.isEmpty():
         return by_window
     texts = docs.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", words(whole_text()).alias("words")).where((F.size("words") > 0) & (F.size("words") < WORDS)).distinct()
