@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents, gathered, small_batches
 
 #: Bytes of text whose new pre-tokens are encoded by one index.
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 2_000_000
 
 #: The public split pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -50,7 +50,7 @@ def _byte_letters() -> list[str]:
 
 
 class Bpe:
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 100_000):
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         letters = _byte_letters()
@@ -70,12 +70,16 @@ class Bpe:
         self.pattern = regex.compile(PATTERN)
         self.splits = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.most = most
-        self.ids_of, self.raw_of = self._specials()  # of pre-tokens: ids joined by commas, and the bytes they decode to
-        self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+        self.forget()
 
     def _specials(self) -> tuple[dict[str, bytes], dict[str, bytes]]:
         return {t: self.digits_of[i] for t, i in self.special.items()}, {t: self.bytes_of[i] for t, i in self.special.items()}
 
+    def forget(self) -> None:
+        """Keeps no pre-token: a worker that goes on to other tasks holds the vocabulary alone."""
+        self.ids_of, self.raw_of = self._specials()  # of pre-tokens: ids joined by commas, and the bytes they decode to
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of symbols; -1 where the two never merge."""
         key = left * self.end + right
@@ -201,6 +205,7 @@ def encoded(docs: DataFrame, path: str | None = None, ids: bool = False) -> Data
             if ids:
                 columns.append(pa.array(found, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+        bpe.forget()
 
     return docs.select("doc_id", "text").mapInArrow(encode, schema)
 
