@@ -215,15 +215,16 @@ def suspicious_title(title: Column) -> Column:
     return told | has("余篇") | has("多篇") | F.regexp_like(said, F.lit(r"^\D{0,10}\d+篇"))
 
 
-def error_category(status: Column, message: Column) -> Column:
-    """Kind of a failed request."""
-    said = F.lower(F.coalesce(message, F.lit("")))
-    return (
-        F.when(status.isNotNull() & (status >= 400), F.concat(F.lit("HTTP_"), status.cast("string")))
-        .when(said.rlike("timeout|timed out|aborted"), "TIMEOUT").when(said.rlike("enotfound|dns"), "DNS_ERROR")
-        .when(said.rlike("econnrefused|refused"), "CONNECTION_REFUSED").when(said.rlike("econnreset|reset"), "CONNECTION_RESET")
-        .when(said.rlike("certificate|ssl|tls"), "SSL_ERROR").otherwise("UNKNOWN")
-    )
+def fetch_failure(status: Column, message: Column, aborted: Column) -> Column:
+    """kind and retryable of a failed request: its status (null: none), its message, whether it was aborted.
+
+    A missing page and a host without an address are not tried again. An abort goes before the status; everything that
+    isn't told otherwise is a network error.
+    """
+    dns = F.regexp_like(F.coalesce(message, F.lit("")), F.lit("ENOTFOUND|getaddrinfo|DNS"))
+    kind = F.when(F.coalesce(aborted, F.lit(False)), "TIMEOUT").when(F.coalesce(status == 404, F.lit(False)), "HTTP_404").when(F.coalesce(status >= 500, F.lit(False)), "HTTP_500")
+    kind = kind.when(dns, "DNS_FAILURE").otherwise("NETWORK_ERROR")
+    return F.struct(kind.alias("kind"), (~kind.isin("HTTP_404", "DNS_FAILURE")).alias("retryable"))
 
 
 def publication_year(line: Column) -> Column:

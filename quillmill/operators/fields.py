@@ -19,10 +19,12 @@ DEPARTMENTS: Rules = [
     ("电子[工程信]|电信|微电子", "electronic-engineering", 0.8), ("数学|数理|应用数学", "mathematics", 0.8), ("物理|应用物理|工程物理", "physics", 0.8),
     ("化学|化工|应用化学", "chemistry", 0.8), ("生物[学命医]|生命科学", "biology", 0.75), ("医学|临床|基础医学|药学|中医药", "medicine", 0.75),
     ("安全|密码|网安", "cybersecurity", 0.85), ("软件|软件工程", "computer-science", 0.7), ("经济|金融|经管|管理[^科学]", "economics", 0.7),
-    ("自动化|控制", "computer-science", 0.6), ("通信|信息与通信", "electronic-engineering", 0.7), ("材料|纳米", "materials-science", 0.8),
-    ("环境|生态", "chemistry", 0.6), ("机械|制造|机电", "mechanical-engineering", 0.75), ("土木|建筑|结构|交通|道路|桥梁", "civil-engineering", 0.75),
-    ("航空航天|飞行器|航天|航空", "aerospace-engineering", 0.8), ("法学|法律|法[学政]", "law", 0.8), ("哲学|伦理", "philosophy", 0.85),
+    ("自动化|控制", "computer-science", 0.6), ("通信|信息与通信", "electronic-engineering", 0.7), ("网络[工程]*?$", "network-engineering", 0.8),
+    ("分布式|并行计算|并行与分布", "distributed-systems", 0.85), ("数据[科学库]|大数据", "computer-science", 0.7), ("材料|纳米", "materials-science", 0.8),
+    ("环境|生态", "chemistry", 0.6), ("能源|动力|热[能工]", "mechanical-engineering", 0.6), ("机械|制造|机电", "mechanical-engineering", 0.75), ("土木|建筑|结构|交通|道路|桥梁", "civil-engineering", 0.75),
+    ("航空航天|飞行器|航天|航空", "aerospace-engineering", 0.8), ("法学|法律|法[学政]", "law", 0.8), ("管理[^科学]", "management", 0.7), ("哲学|伦理", "philosophy", 0.85),
     ("历史|考古|文物", "history", 0.8), ("文学|语言|外语|翻译", "linguistics", 0.75), ("艺术|美术|音乐|设计|影视", "arts", 0.8), ("教育|师范", "education", 0.75),
+    ("光学|光[电纤]|激光|光子", "quantum-optics", 0.7), ("机器人|无人[机驾驶]", "artificial-intelligence", 0.7), ("电气|电[力网]|能源互联网", "electronic-engineering", 0.6), ("系统安全", "cybersecurity", 0.8),
 ]
 NO_DEPARTMENT = r"^\d{4}.*今|^\d{4}[-~年]|获奖|发明奖|专利奖|科技进步奖"
 #: What each source of a combined inference counts.

@@ -257,3 +257,11 @@ def graph_service_match(found: Column, aliases: Column, affiliations: Column, pa
     named = F.when(f == n, 0.5).when(within(f, n), 0.35).when(alias, 0.25).otherwise(0.0)
     located = F.when(F.coalesce(F.exists(affiliations, lambda a: within(F.lower(a), i)), F.lit(False)), 0.4).otherwise(0.0)
     return named + located + F.when(papers > 10, 0.05).otherwise(0.0) + F.when(papers > 50, 0.05).otherwise(0.0)
+
+
+def key_by_part(institution: Column, parts: list[tuple[str, str]]) -> Column:
+    """Key of the first part, in the list's order, that the institution's name holds, case aside; null for none."""
+    said, out = F.lower(institution), F
+    for part, key in parts:
+        out = out.when(F.contains(said, F.lit(part.lower())), key)
+    return out.otherwise(F.lit(None).cast("string")) if parts else F.lit(None).cast("string")

@@ -154,9 +154,9 @@ def score_histogram(d: Domain):
     return circles.score_histogram(d.persons)
 
 
-@query(with_("person") + "SELECT institution, count(*) AS members FROM person WHERE is_active AND region = 'ASIA' AND institution IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
+@query(with_("person") + "SELECT institution, count(*) AS members FROM person WHERE is_active AND institution IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
 def top_institutions(d: Domain):
-    return circles.top_institutions(d.persons.where("region = 'ASIA'"))
+    return circles.top_institutions(d.persons)
 
 
 @query(with_("field", "link") + "SELECT f.id, f.slug, f.level, p.slug AS parent_slug, (SELECT count(*) FROM link WHERE field_id = f.id) AS persons, (SELECT count(*) FROM field c WHERE c.parent_id = f.id) AS children FROM field f LEFT JOIN field p ON p.id = f.parent_id")

@@ -88,13 +88,22 @@ def inactive_with_content(d: Domain):
     return quality.inactive_with_content(d.persons, d.now(), {"person_field": d.links, "report": d.reports})
 
 
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _first_match(column: str, patterns: tuple[str, ...], told: str) -> str:
+    """CASE of the first pattern that is found, by its place."""
+    return " ".join(f"WHEN regexp_matches({column}, {_quoted(p)}) THEN {told.format(i)}" for i, p in enumerate(patterns))
+
+
 @query(
-    """SELECT doc_id, CASE WHEN length(w) < 2 THEN 'short' WHEN length(w) > 80 THEN 'long' WHEN regexp_matches(w, '^[0-9]+$') THEN 'pattern 10' END AS reason FROM (SELECT doc_id, split_part(replace(coalesce(text, ''), chr(10), ' '), ' ', 1) AS w FROM documents)
-WHERE length(w) < 2 OR length(w) > 80"""
+    f"""SELECT doc_id, reason FROM (SELECT doc_id, CASE {_first_match('w', text.GARBAGE_NAME_PATTERNS, "'pattern {}'")} WHEN length(w) < 2 THEN 'short' WHEN length(w) > 80 THEN 'long' END AS reason
+FROM (SELECT doc_id, split_part(replace(coalesce(text, ''), chr(10), ' '), ' ', 1) AS w FROM documents)) WHERE reason IS NOT NULL"""
 )
 def garbage_first_words(d: Domain):
     first = F.split_part(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), F.lit(" "), F.lit(1))
-    return d.table("documents").select("doc_id", text.garbage_name(first).alias("reason")).where(F.col("reason").isin("short", "long"))
+    return d.table("documents").select("doc_id", text.garbage_name(first).alias("reason")).where("reason is not null")
 
 
 @query("SELECT doc_id, floor(length(regexp_replace(text, '[^a-zA-Z0-9]', '', 'g')) * 1.0 / length(text) * 10000 + 0.5) / 10000 AS density FROM documents WHERE length(text) > 0")
@@ -102,15 +111,10 @@ def info_density(d: Domain):
     return d.table("documents").where(F.length("text") > 0).select("doc_id", half_up(text.info_density(F.col("text")), 4).alias("density"))
 
 
-@query("SELECT page_id, CASE WHEN regexp_matches(part, '<div|<span|<p|<a\\s|<li|<ul|<table') THEN 1 WHEN regexp_matches(part, '&[a-z]+;') THEN 2 END AS pattern FROM (SELECT page_id, concat('x', replace(html, chr(10), ' ')) AS part FROM pages)")
+@query(f"SELECT page_id, CASE WHEN length(html) >= 10 THEN CASE {_first_match('html', text.JUNK_BIO_PATTERNS, '{}')} END END AS pattern FROM pages")
 def junk_pages(d: Domain):
-    """The junk-biography rule over pages, which all begin with a letter here, so the first and the bracket patterns don't apply."""
-    part = F.concat(F.lit("x"), F.replace("html", F.lit("\n"), F.lit(" ")))
-    return d.table("pages").select("page_id", F.when(text.junk_bio(part) <= 2, text.junk_bio(part)).alias("pattern"))
-
-
-def _quoted(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
+    """The junk-biography rule over pages."""
+    return d.table("pages").select("page_id", text.junk_bio(F.col("html")).alias("pattern"))
 
 
 _STRIP = "html"
@@ -147,25 +151,13 @@ def normalise_title_dedup(d: Domain):
     return matching.distinct_publications(pubs).select(F.col("person_id").alias("conv_id"), F.col("seq").alias("turn"))
 
 
-@query(
-    """WITH w AS (SELECT p_partkey AS id, list_distinct(string_split(lower(p_name), ' ')) AS a FROM part WHERE p_partkey < 300),
-s AS (SELECT s_suppkey AS id, list_distinct(string_split(lower(p_name), ' ')) AS b FROM supplier JOIN part ON p_partkey = s_suppkey)
-SELECT w.id AS left_id, min(s.id) AS right_id, 1.0::DOUBLE AS similarity FROM w JOIN s ON len(list_intersect(a, b)) = len(a) AND len(a) = len(b) GROUP BY 1"""
-)
-def token_best_match(d: Domain):
-    """The first parts at similarity 1, as its SQL has it; token_best_match_all takes all parts from 0.5 on."""
-    left = d.table("part").where("p_partkey < 300").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    right = d.table("supplier").join(d.table("part"), F.col("p_partkey") == F.col("s_suppkey")).select(F.col("s_suppkey").alias("id"), F.col("p_name").alias("name"))
-    return matching.best_matches(matching.token_matches(left, right, 1.0))
-
-
 @query(
     """WITH w AS (SELECT p_partkey AS id, list_distinct(string_split(lower(p_name), ' ')) AS a FROM part),
 s AS (SELECT s_suppkey AS id, list_distinct(string_split(lower(p_name), ' ')) AS b FROM supplier JOIN part ON p_partkey = s_suppkey),
 j AS (SELECT w.id AS left_id, s.id AS right_id, CAST(len(list_intersect(a, b)) AS DOUBLE) / len(list_distinct(list_concat(a, b))) AS similarity FROM w, s)
 SELECT left_id, right_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY similarity DESC, right_id) AS place FROM j WHERE similarity >= 0.5) WHERE place = 1"""
 )
-def token_best_match_all(d: Domain):
+def token_best_match(d: Domain):
     left = d.table("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
     right = d.table("supplier").join(d.table("part"), F.col("p_partkey") == F.col("s_suppkey")).select(F.col("s_suppkey").alias("id"), F.col("p_name").alias("name"))
     return matching.best_matches(matching.token_matches(left, right, 0.5))
@@ -188,17 +180,7 @@ def similar_names(d: Domain):
     return matching.similar_names(rows, 0.5)
 
 
-_EDGES = """WITH who AS (SELECT DISTINCT l_orderkey AS paper_id, l_suppkey AS person_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderdate >= DATE '2001-06-01'),
-edge AS (SELECT a.person_id AS from_id, b.person_id AS to_id, count(*) AS papers, floor(least(1.0, ln(count(*) + 1.0) / ln(8.0)) * 1000000.0 + 0.5) / 1000000.0 AS weight FROM who a JOIN who b ON a.paper_id = b.paper_id AND a.person_id <> b.person_id GROUP BY 1, 2)
-"""
-
-
 def _edges(d: Domain):
-    recent = d.table("orders").where("o_orderdate >= DATE '2001-06-01'").select(F.col("o_orderkey").alias("paper_id"))
-    return graph.coauthor_edges(d.publications.select("paper_id", "person_id").join(recent, "paper_id", "left_semi"))
-
-
-def _all_edges(d: Domain):
     return graph.coauthor_edges(d.publications.select("paper_id", "person_id"))
 
 
@@ -206,7 +188,7 @@ def _nodes(d: Domain):
     return d.table("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").cast("int").alias("citations"), (F.col("s_suppkey") % 40).cast("int").alias("h_index"))
 
 
-_ALL_EDGES = """WITH who AS (SELECT DISTINCT l_orderkey AS paper_id, l_suppkey AS person_id FROM lineitem),
+_EDGES = """WITH who AS (SELECT DISTINCT l_orderkey AS paper_id, l_suppkey AS person_id FROM lineitem),
 edge AS (SELECT a.person_id AS from_id, b.person_id AS to_id, count(*) AS papers, floor(least(1.0, ln(count(*) + 1.0) / ln(8.0)) * 1000000.0 + 0.5) / 1000000.0 AS weight FROM who a JOIN who b ON a.paper_id = b.paper_id AND a.person_id <> b.person_id GROUP BY 1, 2)
 """
 
@@ -219,43 +201,27 @@ def _one_iteration(d: Domain, edges):
 
 @query(_EDGES + "SELECT from_id, to_id, papers, weight FROM edge")
 def coauthor_edges(d: Domain):
-    """The papers from 2001-06-01 on, as its SQL has it; coauthor_edges_all has them all."""
     return _edges(d)
 
 
-@query(_ALL_EDGES + "SELECT from_id, to_id, papers, weight FROM edge")
-def coauthor_edges_all(d: Domain):
-    return _all_edges(d)
-
-
 @query(
     _EDGES + """, degree AS (SELECT from_id, count(*) AS degree FROM edge GROUP BY 1), n AS (SELECT count(*) AS n FROM supplier),
 received AS (SELECT to_id, sum((1.0 / n) / degree * weight) AS x FROM edge JOIN degree USING (from_id), n GROUP BY 1)
 SELECT s_suppkey AS id, floor(((1 - 0.85) / n + 0.85 * coalesce(x, 0)) * 1e9 + 0.5) / 1e9 AS rank FROM supplier LEFT JOIN received ON to_id = s_suppkey, n"""
 )
 def pagerank_one_iteration(d: Domain):
-    """Over the edges of coauthor_edges, as its SQL has it; pagerank_one_iteration_all goes over all papers."""
     return _one_iteration(d, _edges(d))
 
 
-@query(
-    _ALL_EDGES + """, degree AS (SELECT from_id, count(*) AS degree FROM edge GROUP BY 1), n AS (SELECT count(*) AS n FROM supplier),
-received AS (SELECT to_id, sum((1.0 / n) / degree * weight) AS x FROM edge JOIN degree USING (from_id), n GROUP BY 1)
-SELECT s_suppkey AS id, floor(((1 - 0.85) / n + 0.85 * coalesce(x, 0)) * 1e9 + 0.5) / 1e9 AS rank FROM supplier LEFT JOIN received ON to_id = s_suppkey, n"""
-)
-def pagerank_one_iteration_all(d: Domain):
-    return _one_iteration(d, _all_edges(d))
-
-
 @query()
 def pagerank_converged(d: Domain):
-    nodes, edges = _nodes(d), _all_edges(d)
+    nodes, edges = _nodes(d), _edges(d)
     return graph.authority(nodes, edges, graph.pagerank(nodes, edges))
 
 
 @query()
 def label_propagation(d: Domain):
-    return graph.communities(_nodes(d), _all_edges(d))
+    return graph.communities(_nodes(d), _edges(d))
 
 
 @query("WITH last AS (SELECT value FROM events ORDER BY ts DESC, event_id DESC LIMIT 10000) SELECT quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, max(value) AS max, count(*) AS samples FROM last")

@@ -17,11 +17,11 @@ def test_graphs_of_all_papers(spark, tmp_path):
     table(spark, tmp_path, "supplier", [(i, 100.0) for i in (1, 2, 3, 4)], "s_suppkey long, s_acctbal double")
     table(spark, tmp_path, "orders", [(10, when), (11, when)], "o_orderkey long, o_orderdate date")
     table(spark, tmp_path, "lineitem", [(o, s, s, 1.0, when) for o in (10, 11) for s in (1, 2, 3)], LINES)
-    edges = {(r.from_id, r.to_id): r.papers for r in QUERIES["coauthor_edges_all"](spark, str(tmp_path)).collect()}
+    edges = {(r.from_id, r.to_id): r.papers for r in QUERIES["coauthor_edges"](spark, str(tmp_path)).collect()}
     assert edges == {(a, b): 2 for a in (1, 2, 3) for b in (1, 2, 3) if a != b}
     ranks = {r.id: r.coauthors for r in QUERIES["pagerank_converged"](spark, str(tmp_path)).collect()}
     assert ranks == {1: 2, 2: 2, 3: 2, 4: 0}
-    one = {r.id: r.rank for r in QUERIES["pagerank_one_iteration_all"](spark, str(tmp_path)).collect()}
+    one = {r.id: r.rank for r in QUERIES["pagerank_one_iteration"](spark, str(tmp_path)).collect()}
     assert one[1] == one[2] == one[3] > one[4]
     assert {r.id: r.community for r in QUERIES["label_propagation"](spark, str(tmp_path)).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
 
@@ -36,7 +36,7 @@ def test_feed_links_every_person(spark, tmp_path):
 def test_partial_matches_of_every_part(spark, tmp_path):
     table(spark, tmp_path, "part", [(1, "a b c"), (2, "x y"), (299, "a b d"), (300, "y x"), (4000, "c a q b"), (4001, "a q r")], "p_partkey long, p_name string")
     table(spark, tmp_path, "supplier", [(1,), (2,)], "s_suppkey long")
-    got = {r.left_id: (r.right_id, r.similarity) for r in QUERIES["token_best_match_all"](spark, str(tmp_path)).collect()}
+    got = {r.left_id: (r.right_id, r.similarity) for r in QUERIES["token_best_match"](spark, str(tmp_path)).collect()}
     assert got == {1: (1, 1.0), 2: (2, 1.0), 299: (1, 0.5), 300: (2, 1.0), 4000: (1, 0.75)}
 
 
