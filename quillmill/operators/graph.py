@@ -12,9 +12,13 @@ from ..functions.numbers import half_up
 
 
 def _cut(df: DataFrame, name: str) -> DataFrame:
-    """Written to the folder named in spark.checkpoint.dir (a temporary one where that is unset) and read again: ends the lineage."""
+    """Written to the folder named in spark.checkpoint.dir and read again: ends the lineage. Where it is unset only a local master goes on, in a temporary folder."""
     spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillmill-")
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="quillmill-")
     path = f"{folder.rstrip('/')}/quillmill-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
