@@ -35,7 +35,7 @@ JUNK_BIO_PATTERNS = (
     r"^(首页|网站首页|学校首页|学院首页|部门首页)",
     r"^(?i:Copyright|©|All Rights Reserved|版权所有)",
     r"^function\s*\(",
-    r"^(import\s+|export\s+|require\()",
+    r"^import\s+|^export\s+|^require\(",
 )
 HTML_FRAGMENT = r"<div|<span|<p|<a\s|<li|<ul|<table|&[a-z]+;"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&ldquo;", '"'), ("&amp;", "&"))
