@@ -44,6 +44,12 @@ def descendants(fields: DataFrame) -> DataFrame:
         SELECT root, id, depth FROM under""")
 
 
+def with_parent(fields: DataFrame) -> DataFrame:
+    """id, slug, parent_slug: the trail above a field is its parent; null for a top field."""
+    parent = fields.select(F.col("id").alias("parent_id"), F.col("slug").alias("parent_slug"))
+    return fields.select("id", "slug", "parent_id").join(parent, "parent_id", "left").select("id", "slug", "parent_slug")
+
+
 def score_histogram(persons: DataFrame) -> DataFrame:
     """Members in each score range, empty ranges included."""
     ranges = persons.sparkSession.createDataFrame([(low, high, name) for low, high, name in RANGES], "low int, high int, range string")

@@ -26,6 +26,39 @@ DEPARTMENTS: Rules = [
     ("历史|考古|文物", "history", 0.8), ("文学|语言|外语|翻译", "linguistics", 0.75), ("艺术|美术|音乐|设计|影视", "arts", 0.8), ("教育|师范", "education", 0.75),
     ("光学|光[电纤]|激光|光子", "quantum-optics", 0.7), ("机器人|无人[机驾驶]", "artificial-intelligence", 0.7), ("电气|电[力网]|能源互联网", "electronic-engineering", 0.6), ("系统安全", "cybersecurity", 0.8),
 ]
+# Field slugs by their English and Chinese names, the Chinese ones in the order in which they are looked for in a text.
+SLUGS_EN = {
+    "artificial_intelligence": "ai-machine-learning", "machine_learning": "ai-machine-learning", "deep_learning": "ai-machine-learning",
+    "neural_network": "ai-machine-learning", "computer_vision": "computer-vision", "natural_language_processing": "nlp", "nlp": "nlp",
+    "robotics": "robotics", "data_mining": "data-science", "data_science": "data-science", "cybersecurity": "cybersecurity",
+    "software_engineering": "software-engineering", "distributed_systems": "distributed-systems", "computer_networks": "computer-networks",
+    "human_computer_interaction": "hci", "hci": "hci", "theoretical_computer_science": "theory", "algorithms": "algorithms",
+    "molecular_biology": "molecular-biology", "genetics": "genetics", "genomics": "genomics", "bioinformatics": "bioinformatics",
+    "cell_biology": "cell-biology", "neuroscience": "neuroscience", "immunology": "immunology", "microbiology": "microbiology",
+    "ecology": "ecology", "evolutionary_biology": "evolutionary-biology", "quantum_mechanics": "quantum-physics",
+    "quantum_physics": "quantum-physics", "particle_physics": "particle-physics", "astrophysics": "astrophysics",
+    "condensed_matter": "condensed-matter", "optics": "optics-photonics", "photonics": "optics-photonics", "nuclear_physics": "nuclear-physics",
+    "cardiology": "cardiology", "oncology": "oncology", "neurology": "neurology", "immunology_medical": "immunology",
+    "epidemiology": "epidemiology", "public_health": "public-health", "surgery": "surgery", "pediatrics": "pediatrics", "psychiatry": "psychiatry",
+}
+SLUGS_ZH = {
+    "人工智能": "ai-machine-learning", "机器学习": "ai-machine-learning", "深度学习": "ai-machine-learning", "神经网络": "ai-machine-learning",
+    "计算机视觉": "computer-vision", "自然语言处理": "nlp", "机器人": "robotics", "机器人学": "robotics", "数据挖掘": "data-science",
+    "数据科学": "data-science", "大数据": "data-science", "网络安全": "cybersecurity", "信息安全": "cybersecurity", "网络空间安全": "cybersecurity",
+    "软件工程": "software-engineering", "分布式系统": "distributed-systems", "计算机网络": "computer-networks", "人机交互": "hci",
+    "算法": "algorithms", "计算理论": "theory", "计算机理论": "theory", "物联网": "distributed-systems", "云计算": "distributed-systems",
+    "分子生物学": "molecular-biology", "遗传学": "genetics", "基因组学": "genomics", "生物信息学": "bioinformatics", "细胞生物学": "cell-biology",
+    "神经科学": "neuroscience", "免疫学": "immunology", "微生物学": "microbiology", "生态学": "ecology", "进化生物学": "evolutionary-biology",
+    "量子力学": "quantum-physics", "量子物理": "quantum-physics", "粒子物理": "particle-physics", "天体物理": "astrophysics",
+    "凝聚态物理": "condensed-matter", "光学": "optics-photonics", "光子学": "optics-photonics", "核物理": "nuclear-physics",
+    "心脏病学": "cardiology", "肿瘤学": "oncology", "神经病学": "neurology", "流行病学": "epidemiology", "公共卫生": "public-health",
+    "外科学": "surgery", "儿科学": "pediatrics", "精神病学": "psychiatry", "免疫医学": "immunology", "材料科学": "materials-science",
+    "纳米材料": "materials-science", "材料科学与工程": "materials-science", "有机化学": "organic-chemistry", "无机化学": "inorganic-chemistry",
+    "物理化学": "physical-chemistry", "高分子化学": "organic-chemistry", "经济学": "economics", "金融学": "finance", "管理学": "management",
+    "电气工程": "electrical-engineering", "机械工程": "mechanical-engineering", "土木工程": "civil-engineering", "化学工程": "chemical-engineering",
+    "环境工程": "environmental-engineering", "环境科学": "environmental-science", "电子工程": "electrical-engineering", "控制科学": "robotics",
+    "控制科学与工程": "robotics", "自动化": "robotics", "通信工程": "computer-networks", "信息与通信工程": "computer-networks",
+}
 NO_DEPARTMENT = r"^\d{4}.*今|^\d{4}[-~年]|获奖|发明奖|专利奖|科技进步奖"
 #: What each source of a combined inference counts.
 SOURCES = {"research": 0.85, "publications": 0.75, "department": 0.65, "url": 0.55, "bio": 0.5}
@@ -59,6 +92,64 @@ def combined(parts: dict[str, Column], most: int = 5) -> Column:
     return F.slice(F.array_distinct(ordered), 1, most)
 
 
+def slugs(names: Column, zh: dict[str, str] = SLUGS_ZH, en: dict[str, str] = SLUGS_EN) -> Column:
+    """Distinct slugs of an array of field names, in order: by a whole Chinese name, by the first Chinese name in it, by an English name.
+
+    A name that no table has becomes its own slug (lower case, letters, digits and underscores); one that leaves nothing, and null, has none.
+    """
+    table = lambda d: F.create_map(*[F.lit(x) for pair in d.items() for x in pair])
+    chinese, english, parts = table(zh), table(en), F.array(*[F.lit(k) for k in zh])
+
+    def slug(name: Column) -> Column:
+        key = F.regexp_replace(F.regexp_replace(F.lower(name), r"[\s-]+", "_"), "[^a-z0-9_]", "")
+        held = F.get(F.filter(parts, lambda k: F.contains(name, k)), F.lit(0))
+        return F.coalesce(F.try_element_at(chinese, name), F.try_element_at(chinese, held), F.try_element_at(english, key), F.nullif(key, F.lit("")))
+
+    return F.array_distinct(F.array_compact(F.transform(names, slug)))
+
+
+def all_fields(subject: Column, rules: Rules) -> Column:
+    """Every field that a rule finds, distinct, in rule order; none for null."""
+    found = [F.when(F.regexp_like(subject, F.lit(f"(?i){p}")), F.lit(f)) for p, f, *_ in rules]
+    return F.array_distinct(F.array_compact(F.array(*found)))
+
+
+def addition(persons: DataFrame, links: DataFrame, rules: Rules) -> DataFrame:
+    """person_id, field: fields found in `text` of active persons (id, is_active, text) that links (person_id, field) lacks."""
+    found = persons.where("is_active").select(F.col("id").alias("person_id"), F.explode(all_fields(F.col("text"), rules)).alias("field"))
+    return found.join(links.select("person_id", "field"), ["person_id", "field"], "left_anti")
+
+
+def repaired(existing: DataFrame, inferred: DataFrame) -> DataFrame:
+    """person_id, status, added, removed, unchanged, fields of existing links (person_id, field) and inferred ones (person_id, fields array).
+
+    Status `changed`: the inferred fields take the old ones' place; `unchanged`: they are the same; `no_fields_inferred`:
+    the old ones stay, though removed names them. Every person of either side has a row; arrays but fields are sorted.
+    """
+    old = existing.groupBy("person_id").agg(F.collect_set("field").alias("old"))
+    none = F.array().cast("array<string>")
+    both = old.join(inferred.select("person_id", F.array_distinct("fields").alias("new")), "person_id", "full_outer").select("person_id", F.coalesce("old", none).alias("old"), F.coalesce("new", none).alias("new"))
+    added, removed = F.array_sort(F.array_except("new", "old")), F.array_sort(F.array_except("old", "new"))
+    status = F.when(F.size("new") == 0, "no_fields_inferred").when((F.size(added) == 0) & (F.size(removed) == 0), "unchanged").otherwise("changed")
+    kept = F.when(F.size("new") == 0, F.array_sort("old")).otherwise(F.col("new"))
+    return both.select("person_id", status.alias("status"), added.alias("added"), removed.alias("removed"), F.array_sort(F.array_intersect("old", "new")).alias("unchanged"), kept.alias("fields"))
+
+
+def in_phases(persons: DataFrame, links: DataFrame, phases: list[tuple[Column, Column]]) -> DataFrame:
+    """person_id, phase, field, is_primary of active persons without links: the first phase whose condition holds decides, even if it finds nothing.
+
+    A phase is (condition, array of fields); the first field is the primary one. One pass over the persons: a phase
+    leaves out the ids of the earlier ones because only the first condition counts.
+    """
+    bare = persons.where("is_active").join(links.select(F.col("person_id").alias("id")), "id", "left_anti")
+    phase, found = F, F
+    for i, (holds, fields) in enumerate(phases):
+        holds = F.coalesce(holds, F.lit(False))
+        phase, found = phase.when(holds, i + 1), found.when(holds, fields)
+    rows = bare.select(F.col("id").alias("person_id"), phase.alias("phase"), found.alias("found")).where("phase is not null")
+    return rows.select("person_id", "phase", F.posexplode("found").alias("place", "field")).select("person_id", "phase", "field", (F.col("place") == 0).alias("is_primary"))
+
+
 def collapsed(slugs: Column, groups: dict[str, list[str]]) -> Column:
     """Slugs with the members of a group replaced by its parent; order kept, repeats dropped."""
     parent = {member: name for name, members in groups.items() for member in members}

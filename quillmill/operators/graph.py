@@ -91,3 +91,16 @@ def communities(nodes: DataFrame, edges: DataFrame, most: int = 20) -> DataFrame
         if moved.where("was <> community").isEmpty():
             break
     return labels
+
+
+def power_structure(authorities: DataFrame, labels: DataFrame, most: int = 50) -> DataFrame:
+    """id, pagerank, authority, coauthors, community_id: the `most` highest authorities (ties: smallest id) with their community's number.
+
+    Communities are numbered from 0 in order of their label, over all labels. Only the chosen rows' labels, at most
+    `most`, are held against all labels, so no label list is sorted in one task.
+    """
+    top = authorities.orderBy(F.desc("authority"), "id").limit(most).join(labels, "id", "left")
+    named = top.select("community").where("community is not null").distinct().select(F.col("community").alias("named"))
+    every = labels.select(F.col("community").alias("label")).distinct()
+    number = F.broadcast(named).join(every, F.col("label") <= F.col("named")).groupBy("named").agg((F.count(F.lit(1)) - 1).alias("community_id"))
+    return top.join(number, F.col("community") == F.col("named"), "left").select("id", "pagerank", "authority", "coauthors", "community_id")

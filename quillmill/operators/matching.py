@@ -265,3 +265,37 @@ def key_by_part(institution: Column, parts: list[tuple[str, str]]) -> Column:
     for part, key in parts:
         out = out.when(F.contains(said, F.lit(part.lower())), key)
     return out.otherwise(F.lit(None).cast("string")) if parts else F.lit(None).cast("string")
+
+
+def united(rows: DataFrame, key: str, *columns: str) -> DataFrame:
+    """One row per key with the distinct members, sorted, of each array column. Members are made distinct before they are gathered."""
+    out = rows.select(key).distinct()
+    for c in columns:
+        members = rows.select(key, F.explode(c).alias("_member")).where("_member is not null").distinct()
+        out = out.join(members.groupBy(key).agg(F.array_sort(F.collect_list("_member")).alias(c)), key, "left")
+    return out.select(key, *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in columns])
+
+
+def duplicate_similarity(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Similarity of two stored records (name_zh, name_en, institution): name 0.6, equal institution 0.4, one in the other 0.25.
+
+    Names go without titles and keep their case where they are equal or one holds the other; shared trigrams count with
+    repeats, over all distinct ones. A missing institution adds nothing.
+    """
+    na, nb = (text.canonical_name(F.coalesce(F.nullif(r["name_en"], F.lit("")), r["name_zh"])) for r in (a, b))
+    ta, tb = text.trigrams(F.lower(na)), text.trigrams(F.lower(nb))
+    shared = F.size(F.filter(ta, lambda t: F.array_contains(tb, t))) / F.size(F.array_union(ta, tb)).cast("double")
+    name = F.when(na == nb, 1.0).when(F.contains(na, nb) | F.contains(nb, na), 0.9).otherwise(shared)
+    ia, ib = (F.trim(F.lower(F.nullif(r["institution"], F.lit("")))) for r in (a, b))
+    place = F.when(ia == ib, 0.4).when(F.contains(ia, ib) | F.contains(ib, ia), 0.25).otherwise(0.0)
+    return F.coalesce(name, F.lit(0.0)) * 0.6 + place
+
+
+def institutions_of_slugs(keys: DataFrame, persons: DataFrame) -> DataFrame:
+    """key, institution of slugs (key): an active person's institution with that ASCII slug, else one equal to the decoded key; the smallest person's."""
+    known = persons.where("is_active and institution is not null").groupBy("institution").agg(F.min("id").alias("id"))
+    ascii = F.regexp_replace(F.regexp_replace(F.lower("institution"), r"\s+", "-"), "[^a-z0-9-]", "")
+    by_slug = keys.select("key").distinct().join(known.select(ascii.alias("key"), F.lit(0).alias("tier"), "id", "institution"), "key")
+    by_name = keys.select("key", F.try_url_decode("key").alias("institution")).distinct().join(known, "institution").select("key", F.lit(1).alias("tier"), "id", "institution")
+    best = by_slug.unionByName(by_name).groupBy("key").agg(F.min(F.struct("tier", "id", "institution")).alias("b"))
+    return keys.join(best, "key", "left").select("key", F.col("b.institution").alias("institution"))

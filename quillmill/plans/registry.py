@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_people, queries_records, queries_reports
+from . import queries_people, queries_records, queries_reports, queries_upkeep
 
-QUERIES = {**queries_people.QUERIES, **queries_records.QUERIES, **queries_reports.QUERIES}
-ORACLES = {**queries_people.ORACLES, **queries_records.ORACLES, **queries_reports.ORACLES}
+QUERIES = {**queries_people.QUERIES, **queries_records.QUERIES, **queries_reports.QUERIES, **queries_upkeep.QUERIES}
+ORACLES = {**queries_people.ORACLES, **queries_records.ORACLES, **queries_reports.ORACLES, **queries_upkeep.ORACLES}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -49,6 +49,141 @@ def sections(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "seq", text.strip_html(heading).alias("heading"), text.strip_html(F.regexp_replace("part", r"(?is)^<h[2-4][^>]*>.*?</h[2-4]>", "")).alias("content"))
 
 
+# Headings that end a passage which has no heading of its own.
+PASSAGE_ENDS = "研究方向|研究领域|科研项目|论文|获奖|竞赛|教育|工作|联系|教学|个人|主讲|社会"
+
+
+def section(sections: DataFrame, heading: str) -> DataFrame:
+    """page_id, content: of sections (page_id, seq, heading, content) the first whose heading matches the pattern (without groups).
+
+    Where none does, the passage behind the pattern in the first content that holds it, up to another heading's word.
+    Contents of at most three (ten) characters don't count; pages without either have no row.
+    """
+    inside = F.regexp_extract("content", rf"(?i)(?:{heading})\s*[：:]?\s*([\s\S]{{5,2000}}?)(?:{PASSAGE_ENDS}|\z)", 1)
+    headed = F.regexp_like("heading", F.lit(heading)) & (F.length("content") > 3)
+    held = (F.length("content") > 10) & F.regexp_like("content", F.lit(heading)) & (inside != "")
+    place = F.when(headed, F.struct(F.lit(0).alias("tier"), F.col("seq").alias("seq"), F.col("content").alias("content"))).when(held, F.struct(F.lit(1).alias("tier"), F.col("seq").alias("seq"), inside.alias("content")))
+    return sections.select("page_id", place.alias("p")).where("p is not null").groupBy("page_id").agg(F.min("p").alias("p")).select("page_id", F.col("p.content").alias("content"))
+
+
+# Departments by the first parts of a page's path, in the order in which parts of words are looked for.
+PATH_DEPARTMENTS = {
+    "cs": "计算机学院", "cse": "计算机科学与工程学院", "cst": "计算机科学与技术学院", "computer": "计算机学院", "computing": "计算机学院",
+    "ee": "电子工程学院", "eie": "电子信息工程学院", "electronic": "电子学院", "physics": "物理学院", "phys": "物理学院",
+    "math": "数学学院", "mathematics": "数学学院", "chemistry": "化学学院", "chem": "化学学院", "biology": "生命科学学院",
+    "bio": "生物学院", "life": "生命科学学院", "medicine": "医学院", "med": "医学院", "law": "法学院", "economics": "经济学院",
+    "econ": "经济学院", "management": "管理学院", "business": "商学院", "art": "艺术学院", "music": "音乐学院",
+    "foreign": "外国语学院", "english": "外国语学院", "history": "历史学院", "philosophy": "哲学学院", "sociology": "社会学院",
+    "psychology": "心理学院", "education": "教育学院", "environment": "环境学院", "materials": "材料学院", "mechanics": "力学学院",
+    "civil": "土木工程学院", "architecture": "建筑学院", "aero": "航空航天学院", "nuclear": "核科学学院", "ocean": "海洋学院",
+    "marine": "海洋学院", "pharmacy": "药学院", "public": "公共管理学院", "journalism": "新闻学院", "information": "信息学院",
+    "informatics": "信息学院", "software": "软件学院", "ai": "人工智能学院", "data": "数据科学学院", "network": "网络空间安全学院",
+    "security": "信息安全学院", "automation": "自动化学院", "control": "控制学院", "mechanical": "机械工程学院", "energy": "能源学院",
+    "power": "电力学院", "optics": "光电学院", "optical": "光电学院", "telecom": "电信学院", "communication": "通信学院",
+    "microelectronics": "微电子学院",
+}
+# Where pages keep the path that leads to them, and words of departments.
+TRAILS = (
+    r'(?is)<nav[^>]*aria-label="breadcrumb"[^>]*>(.*?)</nav>',
+    r'(?is)<div[^>]*class="[^"]*breadcrumb[^"]*"[^>]*>(.*?)</div>',
+    r'(?is)<div[^>]*class="[^"]*crumbs[^"]*"[^>]*>(.*?)</div>',
+    r'(?is)<div[^>]*class="[^"]*position[^"]*"[^>]*>(.*?)</div>',
+)
+DEPARTMENT_WORDS = "学院|系|研究所|中心|实验室|学部|研究院"
+DEPARTMENT_LETTERS = "[学院系所中心部院馆研究室]"
+
+
+def _first(values: Column) -> Column:
+    return F.get(values, F.lit(0))
+
+
+def department_from_title(html: Column, university: Column) -> Column:
+    """What the <title> says behind the university's name, else the last or last but one part that reads like a department; null if none."""
+    title = F.trim(F.regexp_extract(html, r"(?i)<title>([^<]+)</title>", 1))
+    at = F.position(university, title)
+    behind = F.trim(F.regexp_replace(F.substr(title, at + F.length(university)), r"^[\s\-—|]+", ""))
+    fits = lambda c: F.length(c).between(2, 29)
+    parts = F.split(title, r"[\s\-—|]+")
+    last_two = F.reverse(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2))
+    named = F.filter(last_two, lambda p: fits(p) & F.regexp_like(p, F.lit(DEPARTMENT_LETTERS)))
+    return F.when(F.coalesce((university != "") & (at > 0) & fits(behind), F.lit(False)), behind).otherwise(_first(named))
+
+
+def department_from_trail(html: Column) -> Column:
+    """The department in a page's breadcrumb: of all parts but the last, the last with a department's word; null if none."""
+    found = [F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in TRAILS]
+    parts = F.filter(F.transform(F.split(text.strip_html(F.coalesce(*found)), r"[>＞/\\|»→]"), lambda p: F.trim(p)), lambda p: p != "")
+    named = F.filter(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.length(p).between(2, 29) & F.regexp_like(p, F.lit(DEPARTMENT_WORDS)))
+    return F.when(F.size(named) > 0, F.element_at(named, -1))
+
+
+def department_from_url(url: Column) -> Column:
+    """The department that one of the first three parts of a path of two or more names: whole words first, then parts of three letters or more."""
+    table = F.create_map(*[F.lit(x) for pair in PATH_DEPARTMENTS.items() for x in pair])
+    keys = F.array(*[F.lit(k) for k in PATH_DEPARTMENTS])
+    path = F.filter(F.split(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+([^?#]*)", 1), "/"), lambda p: p != "")
+    words = F.transform(F.slice(path, 1, 3), lambda p: F.regexp_replace(F.lower(p), "[^a-z]", ""))
+    alike = lambda w, k: (F.length(w) >= 3) & (F.length(k) >= 3) & (F.contains(w, k) | F.contains(k, w))
+    whole = _first(F.array_compact(F.transform(words, lambda w: F.try_element_at(table, w))))
+    part = _first(F.array_compact(F.transform(words, lambda w: _first(F.filter(keys, lambda k: alike(w, k))))))
+    return F.when(F.size(path) >= 2, F.coalesce(whole, F.try_element_at(table, part)))
+
+
+# Departments that are items of menus, and words before a department's word that are.
+MENU_DEPARTMENTS = ("人工智能系", "软件工程系", "信息安全系")
+MENU_WORDS = "首页|新闻|通知|公告|下载|招生|就业|联系|组织|人才|校友|党建|工会|研究|教育|教学|培养|合作|交流|信息|数据|网络"
+
+
+def department_from_text(plain: Column) -> Column:
+    """The first department that a page's text names, menu words left out; of several, the first that is an academic one. Null if none."""
+    one = r"([\x{4e00}-\x{9fff}]{2,4})(?:学院|系|研究所|研究院|中心|实验室|教研室|学部|教学部|实验中心|研发中心|工程中心)"
+    found = F.array_distinct(F.regexp_extract_all(plain, F.lit(one), F.lit(0)))
+    named = F.filter(found, lambda p: ~F.regexp_like(F.regexp_extract(p, one, 1), F.lit(f"^(?:{MENU_WORDS})\\z")) & ~p.isin(*MENU_DEPARTMENTS))
+    academic = F.filter(named, lambda p: F.regexp_like(p, F.lit(r"(?:学院|系|研究所|研究院|实验室|中心)\z")) & ~F.regexp_like(p, F.lit("首页|通知|公告|新闻|下载|招生|就业|联系")))
+    return F.when(F.size(named) == 1, _first(named)).otherwise(_first(academic))
+
+
+def department(html: Column, url: Column, university: Column) -> Column:
+    """By title, breadcrumb, address and text, the first that tells."""
+    return F.coalesce(department_from_title(html, university), department_from_trail(html), department_from_url(url), department_from_text(text.strip_html(html)))
+
+
+def scholar_profiles(pages: DataFrame) -> DataFrame:
+    """page_id, scholar_id, name_en, institution, citation_count, h_index, i10_index, interests, publications of stored citation-index pages.
+
+    Numbers that are missing or 0 are null, as are all three unless all are there; publications without a title are left out.
+    """
+    html = F.col("html")
+    clean = lambda c: F.nullif(text.strip_html(c), F.lit(""))
+    by_id = lambda key, tag: F.regexp_extract(html, rf'(?is)<{tag}[^>]*id="{key}"[^>]*>(.*?)</{tag}>', 1)
+    number = lambda c: F.nullif(F.regexp_extract(F.replace(text.strip_html(c), F.lit(","), F.lit("")), "^[0-9]+", 0).try_cast("int"), F.lit(0))
+    where = clean(by_id("gsc_prf_inw", "[a-z]+"))
+    at = F.trim(F.regexp_extract(where, r"(?:at|in)\s+(.+?)(?:,|\z)", 1))
+    lead = F.trim(F.split_part(where, F.lit(","), F.lit(1)))
+    stats = F.regexp_extract_all(html, F.lit(r'(?is)<td[^>]*class="gsc_rsb_std"[^>]*>(.*?)</td>'), F.lit(1))
+    stat = lambda i: F.when(F.size(stats) >= 3, number(F.get(stats, F.lit(i))))
+    rows = F.regexp_extract_all(html, F.lit(r'(?is)<tr[^>]*class="gsc_a_tr"[^>]*>(.*?)</tr>'), F.lit(1))
+
+    def publication(row: Column) -> Column:
+        cell = F.regexp_extract(row, r'(?is)<td[^>]*class="gsc_a_t"[^>]*>(.*?)</td>', 1)
+        gray = F.regexp_extract_all(cell, F.lit(r'(?is)<div[^>]*class="gs_gray"[^>]*>(.*?)</div>'), F.lit(1))
+        venue = clean(F.get(gray, F.lit(1)))
+        year = F.nullif(F.regexp_extract(venue, r"(?:^|[^A-Za-z0-9_])((?:19|20)\d{2})(?:[^A-Za-z0-9_]|\z)", 1), F.lit(""))
+        named = F.when(year.isNull(), venue).otherwise(F.nullif(F.trim(F.regexp_replace(F.regexp_replace(venue, r"(^|[^A-Za-z0-9_])(?:19|20)\d{2}([^A-Za-z0-9_]|\z)", "$1$2"), r"[,\s]*\z", "")), F.lit("")))
+        cited = F.regexp_extract(row, r'(?is)<td[^>]*class="gsc_a_c"[^>]*>(.*?)</td>', 1)
+        return F.struct(
+            F.coalesce(clean(F.regexp_extract(cell, r"(?is)<a[^>]*>(.*?)</a>", 1)), F.lit("")).alias("title"), clean(F.get(gray, F.lit(0))).alias("authors"), named.alias("journal"),
+            year.cast("int").alias("year"), number(F.replace(cited, F.lit("*"), F.lit(""))).alias("citation_count"), F.nullif(F.regexp_extract(cell, r'(?is)<a[^>]*href="([^"]*)"', 1), F.lit("")).alias("url"),
+        )
+
+    return pages.select(
+        "page_id", F.regexp_extract("url", "user=([^&]+)", 1).alias("scholar_id"), clean(by_id("gsc_prf_in", "[a-z]+")).alias("name_en"),
+        F.when(at != "", at).when(~F.contains(lead, F.lit("@")), F.nullif(lead, F.lit(""))).alias("institution"), stat(0).alias("citation_count"), stat(1).alias("h_index"), stat(2).alias("i10_index"),
+        F.array_compact(F.transform(F.regexp_extract_all(by_id("gsc_prf_int", "div"), F.lit(r"(?is)<a[^>]*>(.*?)</a>"), F.lit(1)), clean)).alias("interests"),
+        F.filter(F.transform(rows, publication), lambda p: p["title"] != "").alias("publications"),
+    )
+
+
 #: What a JSON-LD object may hold; unknown keys are ignored.
 _LD = "struct<`@type`:string,name:string,headline:string,datePublished:string,url:string,author:array<struct<name:string>>>"
 
