@@ -81,12 +81,19 @@ def strip_html(html: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+# Latin letters that GBK text read as Latin-1 is full of, and characters that hardly stand but in GBK text read as UTF-8.
+GBK_LATIN = "ÃÂÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõö"
+GBK_CHINESE = "鏄鐨涓鏂鍏鑳鎵鐢闄鑷鍒浠榛"
+
+
 def garbled_chinese(text: Column) -> Column:
-    """Whether text looks like Chinese read in a wrong encoding: accented Latin or replacement characters in bulk, little CJK."""
-    n = F.length(text).cast("double")
-    count = lambda chars: F.regexp_count(text, F.lit(chars))
-    cjk, accents, lost = count(f"[{CJK}]"), count(r"[\x{C0}-\x{FF}]"), count(r"\x{FFFD}")
-    return F.when(F.length(text) < 100, False).otherwise((lost / n > 0.01) | ((accents / n > 0.1) & (cjk / n < 0.05)))
+    """Whether a text of 100 characters or more looks like Chinese read in a wrong encoding: accents in bulk with little CJK, lost characters, or telltale CJK."""
+    count = lambda chars: F.regexp_count(text, F.lit(f"[{chars}]"))
+    cjk, accents, latin, lost, telltale = count(CJK), count(r"\x{C0}-\x{FF}"), count(GBK_LATIN), count(r"\x{FFFD}"), count(GBK_CHINESE)
+    share = cjk / F.length(text).cast("double")
+    as_latin = ((accents > 20) & (cjk < 5)) | ((latin > 15) & (cjk < 10)) | ((share < 0.01) & (accents > 10))
+    as_chinese = (share > 0.05) & (((share < 0.2) & (telltale > 20)) | (telltale > 50))
+    return F.when(F.length(text) < 100, False).otherwise(as_latin | (lost > 5) | as_chinese)
 
 
 def email(text: Column) -> Column:

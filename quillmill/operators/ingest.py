@@ -21,6 +21,23 @@ def stale_selection(persons: DataFrame, as_of: Column, days: int = 60, limit: in
     return persons.where(F.col("is_active") & due & ~waits).orderBy(F.asc_nulls_first("last_scraped_at"), "id").limit(limit)
 
 
+def backlogs(persons: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
+    """source, eligible, remaining of each enrichment over the active persons, counted in one pass.
+
+    works: those with a name and an institution, less those with an h-index; papers: those with an institution, and of
+    them those without an h-index or not seen for `days`; pinyin: all, and those whose name has no English form.
+    """
+    placed, named = F.col("institution").isNotNull(), F.coalesce(F.col("name_zh") != "", F.lit(False))
+    ranked, old = F.col("h_index").isNotNull(), F.coalesce(F.col("last_scraped_at") < as_of - F.expr(f"INTERVAL {days} DAYS"), F.lit(False))
+    counts = {
+        "works": (F.count_if(placed & named), F.count_if(placed & named) - F.count_if(ranked)),
+        "papers": (F.count_if(placed), F.count_if(placed & (~ranked | old))),
+        "pinyin": (F.count(F.lit(1)), F.count_if(named & F.col("name_en").isNull())),
+    }
+    each = F.array(*[F.struct(F.lit(s).alias("source"), eligible.alias("eligible"), remaining.alias("remaining")) for s, (eligible, remaining) in counts.items()])
+    return persons.where("is_active").agg(each.alias("rows")).select(F.inline("rows"))
+
+
 def refresh_failures(persons: DataFrame, failed: DataFrame, most: int = 4) -> DataFrame:
     """persons with one more failure for the failed ids: wait doubles from 14 days; at `most` failures they are switched off."""
     joined = persons.join(failed.select("id").withColumn("_failed", F.lit(True)), "id", "left")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,24 +63,28 @@ def mean_by(df: DataFrame, key: str, value: str, digits: int = 2) -> DataFrame:
 
 
 def rate_limited(requests: DataFrame, most: int, seconds: int) -> DataFrame:
-    """requests (key, at, id) with allowed: a key's window opens with its first request and lasts `seconds`; `most` of it pass.
+    """requests (key, at, id) with allowed and remaining: a key's window opens with its first request and lasts `seconds`; `most` of it pass.
 
-    Windows depend on one another, so each key's requests are folded in order; a key's history is bounded by retention.
-    For streams use streaming.limits.
+    Windows depend on one another, so each key's requests are walked in order of time and id by one task, batch by batch:
+    time is linear and memory doesn't grow with a key's history. Nulls of the key are a key. For streams use streaming.limits.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), F.col("at")).alias("us"), "id")))
-
-    def step(state: Column, row: Column) -> Column:
-        opens = state["start"].isNull() | (row["us"] - state["start"] >= seconds * 1_000_000)
-        n = F.when(opens, 1).otherwise(state["n"] + 1)
-        return F.struct(
-            F.when(opens, row["us"]).otherwise(state["start"]).alias("start"), n.alias("n"),
-            F.concat(state["out"], F.array(F.struct(row["id"].alias("id"), (n <= most).alias("allowed"), F.greatest(F.lit(0), most - n).alias("remaining")))).alias("out"),
-        )
-
-    start = F.struct(F.lit(None).cast("bigint").alias("start"), F.lit(0).alias("n"), F.expr("cast(array() as array<struct<id:bigint,allowed:boolean,remaining:int>>)").alias("out"))
-    grouped = requests.groupBy("key").agg(rows.alias("rows"))
-    return grouped.select("key", F.inline(F.aggregate("rows", start, step, lambda s: s["out"])))
+    us = F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), F.col("at"))
+    ordered = requests.select("key", us.alias("us"), "id").repartition("key").sortWithinPartitions("key", "us", "id")
+    kinds = dict(ordered.dtypes)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, start, n = None, None, 0
+        for batch in batches:
+            allowed, remaining = [], []
+            for k, t in zip(batch["key"].to_pylist(), batch["us"].to_pylist()):
+                if k != key or start is None or (t is not None and t - start >= seconds * 1_000_000):
+                    key, start, n = k, t, 0
+                n += 1
+                allowed.append(n <= most)
+                remaining.append(max(0, most - n))
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["id"], pa.array(allowed, pa.bool_()), pa.array(remaining, pa.int32())], ["key", "id", "allowed", "remaining"])
+
+    return ordered.mapInArrow(walk, f"key {kinds['key']}, id {kinds['id']}, allowed boolean, remaining int")
 
 
 def latest_of_type(log: DataFrame) -> DataFrame:

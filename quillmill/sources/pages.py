@@ -41,12 +41,44 @@ def profiles(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "title", "heading", text.email(F.col("plain")).alias("email"), text.doi(F.col("plain")).alias("doi"), text.publication_year(F.col("plain")).alias("year"), "sections", F.size(F.split("plain", " ")).alias("words"))
 
 
+# What a page without headings shows sections by: elements named like titles, labels in the text, labels in a table's cells.
+TITLED = r"""(?i)<(?:div|p|span|strong|b|font)\s[^>]*(?:class|id)\s*=\s*["'][^"']*?(?:title|section|heading|subtitle|caption|name)[^"']*?["'][^>]*>\s*([^<]{1,100})</(?:div|p|span|strong|b|font)>"""
+LABELS = "研究方向|研究领域|科研项目|在研项目|教学成果|获奖情况|论文[著作发表]|竞赛[获奖]?|荣誉称号|人才称号|学术荣誉|教育背景|工作经历|个人简介|教师简介"
+CELL_LABELS = "研究方向|研究领域|科研项目|获奖情况|荣誉称号|教育背景|个人简介|论文[著作发表]|竞赛获奖|人才称号|教学成果|联系方式|电子邮箱|职称|职务|所属单位|所在院系|所在学院|学术兼职|社会兼职|导师类别|招生专业"
+
+
 def sections(pages: DataFrame) -> DataFrame:
-    """page_id, seq, heading, content: text under each heading of level 2 to 4."""
-    parts = F.regexp_extract_all("html", F.lit(r"(?is)<h[2-4][^>]*>.*?(?=<h[2-4]|\z)"), F.lit(0))
-    rows = pages.select("page_id", F.posexplode(parts).alias("seq", "part"))
-    heading = F.regexp_extract("part", r"(?is)^<h[2-4][^>]*>(.*?)</h[2-4]>", 1)
-    return rows.select("page_id", "seq", text.strip_html(heading).alias("heading"), text.strip_html(F.regexp_replace("part", r"(?is)^<h[2-4][^>]*>.*?</h[2-4]>", "")).alias("content"))
+    """page_id, seq, layout, heading, content of the sections of every page, by the first layout that gives any.
+
+    `heading`: headings of level 2 to 4; `title`: elements whose class or id names a title; `label`: known labels before a
+    colon; `cell`: known labels in a table's cell, with the next cell. Contents go to the next section or the end; those of
+    at most 5, 3 and 2 characters don't count in the last three. Nulls have no section.
+    """
+    html, bare = F.col("html"), lambda c: F.regexp_replace(c, r"^\s+|\s+\z", "")
+
+    def pieces(source: Column, head: str, group: int, layout: str, content) -> Column:
+        """Each head with what follows it up to the next."""
+        named = F.regexp_extract_all(source, F.lit(head), F.lit(group))
+        after = F.slice(F.split(source, head, -1), 2, 1 << 30)
+        return F.zip_with(named, after, lambda h, c: F.struct(F.lit(layout).alias("layout"), h.alias("heading"), content(c).alias("content")))
+
+    plain = text.strip_html(html)
+    headed = pieces(html, r"(?i)<(h[234])[^>]*>\s*([^<]{1,100})</\1>", 2, "heading", lambda c: text.strip_html(F.regexp_replace(c, r"(?is)<h[234][^>]*>.*\z", "")))
+    titled = pieces(html, TITLED, 1, "title", text.strip_html)
+    labelled = pieces(plain, rf"((?:{LABELS})\s*)[：:]\s*", 1, "label", bare)
+    row = rf"(?is)<t[dh][^>]*>\s*({CELL_LABELS})\s*</t[dh]>\s*<t[dh][^>]*>\s*(.*?)\s*</t[dh]>"
+    cells = [F.regexp_extract_all(html, F.lit(row), F.lit(i)) for i in (1, 2)]
+    celled = F.zip_with(*cells, lambda h, c: F.struct(F.lit("cell").alias("layout"), h.alias("heading"), text.strip_html(c).alias("content")))
+
+    # A step each: a layout is only tried where those before it gave nothing, and none is tried twice.
+    rows = pages.select("page_id", "html", F.transform(headed, lambda s: F.struct(s["layout"].alias("layout"), bare(s["heading"]).alias("heading"), s["content"].alias("content"))).alias("found"))
+    for other in (
+        F.filter(F.transform(titled, lambda s: F.struct(s["layout"].alias("layout"), bare(s["heading"]).alias("heading"), s["content"].alias("content"))), lambda s: (F.length(s["heading"]) > 1) & (F.length(s["content"]) > 5)),
+        F.filter(labelled, lambda s: F.length(s["content"]) > 3),
+        F.filter(celled, lambda s: F.length(s["content"]) > 2),
+    ):
+        rows = rows.withColumn("found", F.when(F.size("found") > 0, F.col("found")).otherwise(other))
+    return rows.select("page_id", F.posexplode("found").alias("seq", "s")).select("page_id", "seq", "s.layout", "s.heading", "s.content")
 
 
 # Headings that end a passage which has no heading of its own.

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PERSON_JSON = "nameZh string, nameEn string, title string, institution string, department string, email string, website string, bio string, hIndex int, fields array<string>"
 OPENALEX_AUTHOR = "id string, display_name string, orcid string, works_count int, cited_by_count int, summary_stats struct<h_index:int>, last_known_institutions array<struct<display_name:string>>"
 OPENALEX_WORK = "id string, doi string, title string, publication_year int, cited_by_count int, primary_location struct<source:struct<display_name:string>>, authorships array<struct<author:struct<id:string,display_name:string>>>"
+S2_DETAIL = "authorId string, papers array<struct<paperId:string,title:string,year:int,venue:string,citationCount:int,externalIds:struct<DOI:string>>>"
 S2_AUTHOR = "authorId string, name string, affiliations array<string>, paperCount int, citationCount int, hIndex int"
 
 
@@ -26,7 +27,14 @@ def openalex_works(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(f"results array<struct<{_as_struct(OPENALEX_WORK)}>>").option("multiLine", True).json(path)
     one = rows.select(F.explode("results").alias("w"))
     doi = F.nullif(F.regexp_replace(F.lower("w.doi"), "^https?://(dx\\.)?doi\\.org/", ""), F.lit(""))
-    return one.select("w.id", doi.alias("doi"), "w.title", F.col("w.publication_year").alias("year"), F.col("w.cited_by_count").alias("citation_count"), F.col("w.primary_location.source.display_name").alias("journal"), F.concat_ws("; ", F.transform("w.authorships", lambda a: a["author"]["display_name"])).alias("authors"))
+    return one.select("w.id", doi.alias("doi"), "w.title", F.col("w.publication_year").alias("year"), F.col("w.cited_by_count").alias("citation_count"), F.col("w.primary_location.source.display_name").alias("journal"), F.concat_ws("; ", F.transform("w.authorships", lambda a: a["author"]["display_name"])).alias("authors"), F.transform("w.authorships", lambda a: a["author"]["id"]).alias("author_ids"))
+
+
+def author_works(works: DataFrame, page: int = 1, per_page: int = 25) -> DataFrame:
+    """author_id, place and the works on a page of each author's list, the most cited first (unknown counts last, then by id)."""
+    each = works.withColumn("author_id", F.explode(F.array_distinct("author_ids"))).where("author_id is not null")
+    placed = each.withColumn("place", F.row_number().over(Window.partitionBy("author_id").orderBy(F.desc_nulls_last("citation_count"), "id")))
+    return placed.where(F.col("place").between((page - 1) * per_page + 1, page * per_page)).drop("author_ids")
 
 
 def semantic_scholar_authors(spark: SparkSession, path: str) -> DataFrame:
@@ -34,6 +42,13 @@ def semantic_scholar_authors(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.explode("data").alias("a")).select(F.col("a.authorId").alias("id"), "a.name", F.get("a.affiliations", F.lit(0)).alias("institution"), F.col("a.paperCount").alias("works_count"), F.col("a.citationCount").alias("citation_count"), F.col("a.hIndex").alias("h_index"))
 
 
+def semantic_scholar_papers(spark: SparkSession, path: str) -> DataFrame:
+    """author_id, id, title, year, journal, citation_count, doi of the papers in detail records of authors."""
+    rows = spark.read.schema(S2_DETAIL).option("multiLine", True).json(path)
+    one = rows.select(F.col("authorId").alias("author_id"), F.explode("papers").alias("p"))
+    return one.select("author_id", F.col("p.paperId").alias("id"), "p.title", "p.year", F.nullif(F.col("p.venue"), F.lit("")).alias("journal"), F.col("p.citationCount").alias("citation_count"), F.lower("p.externalIds.DOI").alias("doi"))
+
+
 def _as_struct(columns: str) -> str:
     """`a int, b array<x>` as the fields of a struct: `a:int, b:array<x>`."""
     out, depth, name = [], 0, True
