@@ -54,6 +54,11 @@ def first_match(text: Column, patterns: tuple[str, ...]) -> Column:
     return out.otherwise(F.lit(None).cast("int"))
 
 
+def first_capture(text: Column, patterns: tuple[str, ...]) -> Column:
+    """What the first group of the first pattern that gives any holds, without spaces around it; null if none does."""
+    return F.coalesce(*[F.nullif(F.trim(F.regexp_extract(text, p, 1)), F.lit("")) for p in patterns])
+
+
 def garbage_name(name: Column, least: int = 2, most: int = 80) -> Column:
     """Why a name is no name: `pattern N`, `short`, `long`, or null."""
     said = F.coalesce(name, F.lit(""))

@@ -39,11 +39,16 @@ def size_tiers(groups: DataFrame, bounds: tuple[int, ...] = (100, 50, 20, 5)) ->
     return groups.groupBy(out.otherwise(f"<{bounds[-1]}").alias("tier")).agg(F.count(F.lit(1)).alias("groups"))
 
 
-def rotating_window(keys: DataFrame, run: int, size: int = 5) -> DataFrame:
-    """The `size` keys (idx, key) whose turn it is in this run, wrapping around. The list is a configuration, so its count is small."""
+def rotating_window(keys: DataFrame, run: int, size: int = 5, skipped: DataFrame | None = None) -> DataFrame:
+    """The first `size` keys (idx, key) from this run's turn on, wrapping around, without the skipped ones (key): those that wait or are done.
+
+    The list is a configuration, so its count is small. A skipped key's turn goes to the next one; turns count from it all the same.
+    """
     n = keys.agg(F.count(F.lit(1)).alias("n")).scalar()
-    turn = F.pmod(F.col("idx") - F.pmod(F.lit(run * size).cast("long"), n), n)
-    return keys.withColumn("turn", turn).where(F.col("turn") < size).select("turn", "key")
+    turns = keys.withColumn("turn", F.pmod(F.col("idx") - F.pmod(F.lit(run * size).cast("long"), n), n))
+    if skipped is not None:
+        turns = turns.join(skipped.select("key"), "key", "left_anti")
+    return turns.orderBy("turn").limit(size).select("turn", "key")
 
 
 def missing_keys(expected: DataFrame, seen: DataFrame, key: str) -> DataFrame:

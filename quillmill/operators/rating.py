@@ -52,6 +52,23 @@ def review(reports: DataFrame, decisions: DataFrame) -> DataFrame:
     return joined.withColumn("status", F.when(open_, F.when(F.col("decision") == "APPROVE", "APPROVED").otherwise("REJECTED")).otherwise(F.col("status"))).drop("decision")
 
 
+def reviewed(reports: DataFrame, decisions: DataFrame, breakdowns: DataFrame, deltas: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(reports, breakdowns, log) after decisions (report_id, decision); deltas: report_id, category, delta.
+
+    Approved reports, and only those open before, move their person's categories, in order of the reports' ids. The log
+    has a row for each move: report_id, person_id, category, old_value, new_value, delta.
+    """
+    after = review(reports, decisions)
+    approved = reports.where(F.col("status").isin("PENDING", "UNDER_REVIEW")).select(F.col("id").alias("report_id"), "person_id").join(decisions.where("decision = 'APPROVE'").select("report_id"), "report_id")
+    moves = approved.join(deltas.withColumn("delta", scores.clamp_delta(F.col("delta"))).where("delta <> 0"), "report_id")
+    running = Window.partitionBy("person_id", "category").orderBy("report_id").rowsBetween(Window.unboundedPreceding, 0)
+    log = moves.join(breakdowns.select("person_id", "category", "value"), ["person_id", "category"], "left").withColumn("new_value", F.coalesce("value", F.lit(scores.BASELINE)) + F.sum("delta").over(running))
+    log = log.select("report_id", "person_id", "category", (F.col("new_value") - F.col("delta")).alias("old_value"), "new_value", "delta")
+    moved = moves.groupBy("person_id", "category").agg(F.sum("delta").alias("moved"))
+    values = breakdowns.select("person_id", "category", "value").join(moved, ["person_id", "category"], "full_outer")
+    return after, values.select("person_id", "category", (F.coalesce("value", F.lit(scores.BASELINE)) + F.coalesce("moved", F.lit(0.0))).alias("value")), log
+
+
 def streaks(activity: DataFrame) -> DataFrame:
     """person_id, first_day, last_day, days: runs of consecutive days with activity (person_id, at)."""
     days = activity.select("person_id", F.to_date("at").alias("day")).distinct()

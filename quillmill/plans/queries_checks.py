@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import names, text
-from ..operators import ingest, requests
+from ..operators import ingest, metrics, rating, requests
 from ..sources import pages
 from .queries_upkeep import _q, _rotated
 from .standins import Domain, with_
@@ -140,3 +140,53 @@ UNION ALL SELECT 'pinyin', count(*), count(*) FILTER (name_zh <> '' AND name_en
 )
 def enrichment_backlogs(d: Domain):
     return ingest.backlogs(d.persons, d.now())
+
+
+@query("SELECT turn, key FROM (SELECT (n_nationkey - 15 + 25) % 25 AS turn, n_name AS key FROM nation WHERE n_nationkey % 4 <> 0) ORDER BY turn LIMIT 5")
+def rotating_window_skipping(d: Domain):
+    keys = d.table("nation").select(F.col("n_nationkey").alias("idx"), F.col("n_name").alias("key"))
+    return metrics.rotating_window(keys, run=3, skipped=keys.where("idx % 4 = 0"))
+
+
+_DECISION = "CASE o_orderkey % 3 WHEN 0 THEN 'APPROVE' WHEN 1 THEN 'REJECT' ELSE 'NEED_MORE_INFO' END"
+_DELTA = "CAST(o_orderkey % 5 - 2 AS DOUBLE)"
+
+
+@query(
+    with_("report")
+    + f""", m AS (SELECT id AS report_id, person_id, category, {_DELTA.replace('o_orderkey', 'id')} AS delta FROM report WHERE status IN ('PENDING', 'UNDER_REVIEW') AND id % 3 = 0),
+b AS (SELECT c_custkey AS person_id, 'OTHER' AS category, 90.0 AS value FROM customer),
+r AS (SELECT m.*, CAST(coalesce(value, 100) AS DOUBLE) + sum(delta) OVER (PARTITION BY m.person_id, m.category ORDER BY report_id) AS new_value FROM m LEFT JOIN b USING (person_id, category) WHERE delta <> 0)
+SELECT report_id, person_id, category, new_value - delta AS old_value, new_value, delta FROM r"""
+)
+def reviews_score_changes(d: Domain):
+    """Reports are decided in turn; each moves the category it is about."""
+    orders = d.table("orders")
+    decisions = orders.selectExpr("o_orderkey AS report_id", f"{_DECISION} AS decision")
+    deltas = d.reports.join(orders.selectExpr("o_orderkey AS id", f"{_DELTA} AS delta"), "id").select(F.col("id").alias("report_id"), "category", "delta")
+    breakdowns = d.table("customer").selectExpr("c_custkey AS person_id", "'OTHER' AS category", "90.0D AS value")
+    return rating.reviewed(d.reports, decisions, breakdowns, deltas)[2]
+
+
+# A script's JSON and the publications it gives: title, authors, journal, doi, year, url, abstract.
+JSON_LD = (
+    ('{"@type": "ScholarlyArticle", "name": "On graphs", "author": [{"name": "Ann"}, "Bob", {"id": 1}], "publisher": {"name": "Press"}, "sameAs": "https://doi.org/10.1000/x", "datePublished": "2020-05-01", "url": "https://a.b"}',
+     (("On graphs", "Ann; Bob", "Press", "10.1000/x", 2020, "https://a.b", None),)),
+    ('[{"@type": ["Thing", "Book"], "headline": "Of maps", "author": "Ann", "publisher": "House", "identifier": ["isbn", "10.5/y"], "description": "All"}, {"@type": "Person", "name": "Ann Lee"}]',
+     (("Of maps", "Ann", "House", "10.5/y", None, None, "All"),)),
+    ('{"@graph": [{"@type": "Thesis", "name": "Nets one", "author": {"name": "Cy"}, "isPartOf": {"name": "Series"}, "identifier": {"@type": "PropertyValue", "propertyID": "DOI", "value": "10.7/z"}, "dateCreated": "May 1999"}, {"@type": "Article", "name": "Tiny"}, {"@type": "Article", "name": "Nets two", "url": {"id": 1}}]}',
+     (("Nets one", "Cy", "Series", "10.7/z", 1999, None, None), ("Nets two", "", None, None, None, None, None))),
+    ('{"@type": "Article", "name": "Broken"', ()),
+    ('{"name": "No type at all"}', ()),
+)
+
+
+@query(
+    f"""SELECT o_orderkey AS page_id, v.* EXCLUDE (k) FROM orders
+JOIN (VALUES {', '.join('(' + ', '.join([str(i), *(str(x) if isinstance(x, int) else _value(x) for x in row)]) + ')' for i, (_, found) in enumerate(JSON_LD) for row in found)}) v(k, title, authors, journal, doi, year, url, abstract)
+ ON o_orderkey % {len(JSON_LD) + 1} = v.k"""
+)
+def json_ld_publications(d: Domain):
+    scripts = [_q(f'<script type="application/ld+json">{json}</script>') for json, _ in JSON_LD]
+    rows = d.table("orders").selectExpr("o_orderkey AS page_id", f"{_rotated('o_orderkey', scripts)} AS html")
+    return pages.json_ld_publications(rows).withColumn("authors", F.array_join("authors", "; "))

@@ -232,6 +232,42 @@ def json_ld(pages: DataFrame) -> DataFrame:
     return one.select("page_id", F.col("o.`@type`").alias("kind"), F.coalesce("o.headline", "o.name").alias("title"), F.col("o.datePublished").alias("published"), F.transform("o.author", lambda a: a["name"]).alias("authors"))
 
 
+def json_ld_publications(pages: DataFrame) -> DataFrame:
+    """page_id, title, authors, journal, doi, year, url, abstract of the publications that pages describe in JSON-LD.
+
+    Objects, arrays of them and those under @graph are read; an author may be a text or have a name, alone or in a list; a
+    DOI stands in sameAs or among the identifiers. Titles under five characters don't count. A script that is no JSON
+    gives nothing; a value of an unexpected kind counts as missing.
+    """
+    told = lambda v, path: F.nullif(F.try_variant_get(v, path, "string"), F.lit(""))
+    is_text = lambda v: F.schema_of_variant(v) == "STRING"
+
+    def only_text(v: Column, path: str) -> Column:
+        found = F.try_variant_get(v, path, "variant")
+        return F.when(is_text(found), F.nullif(F.try_variant_get(found, "$", "string"), F.lit("")))
+
+    def listed(v: Column, path: str) -> Column:
+        one = F.try_variant_get(v, path, "variant")
+        return F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.when(one.isNotNull(), F.array(one)), F.array().cast("array<variant>"))
+
+    scripts = F.regexp_extract_all("html", F.lit(r"""(?is)<script\s+type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
+    blocks = pages.select("page_id", F.explode(scripts).alias("script")).select("page_id", F.try_parse_json("script").alias("block")).where("block is not null")
+    block, o = F.col("block"), F.col("o")
+    each = F.coalesce(F.try_variant_get(block, "$", "array<variant>"), F.try_variant_get(block, "$['@graph']", "array<variant>"), F.array(block))
+    rows = blocks.select("page_id", F.explode(each).alias("o"))
+    rows = rows.where(F.regexp_like(told(o, "$['@type']"), F.lit("(?i)ScholarlyArticle|Article|CreativeWork|Book|Thesis|PublicationIssue")))
+    author = lambda a: F.when(is_text(a), F.try_variant_get(a, "$", "string")).otherwise(told(a, "$.name"))
+    by_property = lambda i: F.when((told(i, "$['@type']") == "PropertyValue") & (told(i, "$.propertyID") == "DOI"), told(i, "$.value"))
+    doi_of = lambda i: F.when(is_text(i), F.nullif(F.regexp_extract(F.try_variant_get(i, "$", "string"), r"(?s)^10\..*\z", 0), F.lit(""))).otherwise(by_property(i))
+    return rows.select(
+        "page_id", F.substring(F.coalesce(told(o, "$.name"), told(o, "$.headline")), 1, 300).alias("title"), F.array_compact(F.transform(listed(o, "$.author"), author)).alias("authors"),
+        F.coalesce(told(o, "$.publisher.name"), told(o, "$.isPartOf.name"), told(o, "$.journal.name"), only_text(o, "$.publisher")).alias("journal"),
+        F.coalesce(F.nullif(F.regexp_extract(only_text(o, "$.sameAs"), r"10\.[0-9]{4,}/\S+", 0), F.lit("")), _first(F.array_compact(F.transform(listed(o, "$.identifier"), doi_of)))).alias("doi"),
+        F.nullif(F.regexp_extract(F.coalesce(told(o, "$.datePublished"), told(o, "$.dateCreated")), "[0-9]{4}", 0), F.lit("")).cast("int").alias("year"),
+        only_text(o, "$.url").alias("url"), F.substring(only_text(o, "$.description"), 1, 2000).alias("abstract"),
+    ).where(F.length("title") >= 5)
+
+
 def decoded(raw: DataFrame, default: str = "gbk") -> DataFrame:
     """key, text of rows (key, content bytes, charset): the declared charset, else the one of a <meta>, else UTF-8 if it fits, else the default."""
     import re

@@ -5,6 +5,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from quillmill.functions import text
 from quillmill.operators import metrics, requests
 from quillmill.sources import records
 
@@ -54,3 +55,9 @@ def test_rate_limit_across_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {**{i: (i % 10 < 3, max(0, 2 - i % 10)) for i in range(500)}, 1000: (True, 2), 1001: (True, 1)}
     assert metrics.rate_limited(requests_.limit(0), 3, 10).collect() == []
+
+
+def test_first_capture(spark):
+    rows = spark.createDataFrame([("Tel: 12 ",), ("Phone: 7",), ("Tel:  ; Phone: 8",), ("",), (None,)], "t string")
+    got = [r.c for r in rows.select(text.first_capture(F.col("t"), (r"Tel:([^;]*)", r"Phone:(.*)")).alias("c")).collect()]
+    assert got == ["12", "7", "8", None, None]
