@@ -94,11 +94,17 @@ GBK_CHINESE = "鏄鐨涓鏂鍏鑳鎵鐢闄鑷鍒浠榛"
 def garbled_chinese(text: Column) -> Column:
     """Whether a text of 100 characters or more looks like Chinese read in a wrong encoding: accents in bulk with little CJK, lost characters, or telltale CJK."""
     count = lambda chars: F.regexp_count(text, F.lit(f"[{chars}]"))
-    cjk, accents, latin, lost, telltale = count(CJK), count(r"\x{C0}-\x{FF}"), count(GBK_LATIN), count(r"\x{FFFD}"), count(GBK_CHINESE)
-    share = cjk / F.length(text).cast("double")
-    as_latin = ((accents > 20) & (cjk < 5)) | ((latin > 15) & (cjk < 10)) | ((share < 0.01) & (accents > 10))
-    as_chinese = (share > 0.05) & (((share < 0.2) & (telltale > 20)) | (telltale > 50))
-    return F.when(F.length(text) < 100, False).otherwise(as_latin | (lost > 5) | as_chinese)
+    counts = {"cjk": count(CJK), "accents": count(r"\x{C0}-\x{FF}"), "latin": count(GBK_LATIN), "lost": count(r"\x{FFFD}"), "telltale": count(GBK_CHINESE), "n": F.length(text)}
+
+    def told(c: Column) -> Column:
+        share = c["cjk"] / c["n"].cast("double")
+        as_latin = ((c["accents"] > 20) & (c["cjk"] < 5)) | ((c["latin"] > 15) & (c["cjk"] < 10)) | ((share < 0.01) & (c["accents"] > 10))
+        as_chinese = (share > 0.05) & (((share < 0.2) & (c["telltale"] > 20)) | (c["telltale"] > 50))
+        return as_latin | (c["lost"] > 5) | as_chinese
+
+    # The transform binds the counts, so each is taken once.
+    bound = F.transform(F.array(F.struct(*[v.alias(k) for k, v in counts.items()])), told)[0]
+    return F.when(F.length(text) < 100, False).otherwise(bound)
 
 
 def email(text: Column) -> Column:
