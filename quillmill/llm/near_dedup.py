@@ -15,7 +15,8 @@ No group is ever expanded into rows for its pairs:
   two, three ... bands, taken in ascending order), which joins most of their components early;
 * what is left, these buckets of the first level included, is compared in blocks of at most BLOCK rows a side inside
   tasks, on sketches: register rows, then the smallest hashes of both sets (the whole set up to LOWEST shingles). A pair of different components is looked at in
-  the bucket of its first common bands only, and leaves the task only if its estimate allows the threshold.
+  the bucket of its first common bands only, and leaves the task only if its estimate allows the threshold. Sets held
+  whole are decided there, and only a spanning forest of their links leaves the task.
 Components grow by min-label propagation with pointer jumping. Every table between rounds is written to the shared
 folder and deleted once it is superseded; registers are stored for the distinct sets alone, and only while they can still
 meet, whole sets only for documents that share a band. Nothing but row counts reaches the driver. Joins on keys that may
@@ -23,9 +24,8 @@ be hot (bucket, set, component) are plain sort-merge joins of written tables, wh
 
 Null, empty and wordless texts have an empty set, linked with nothing. Under five words the whole sequence is the only
 shingle. Rows given twice get the same result. Where rows share a doc_id but not their words, each row follows its own
-set; only if that doc_id is the smallest of several sets do these stand for one document, which is compared by the set of
-least key. A row with a null doc_id is linked with nothing; its component_id is null and it is kept. Empty tables give
-empty results.
+set, and every set is compared. A row with a null doc_id is linked with nothing; its component_id is null and it is kept.
+Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -105,7 +105,7 @@ def _set_key(found: np.ndarray) -> bytes | None:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (128-bit hash of the set), registers."""
+    """doc_id, text_hash, n_shingles, set_key (128-bit hash of the set), registers."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,15 +117,19 @@ def sketches(docs: DataFrame) -> DataFrame:
                 sizes.append(len(found))
                 keys.append(_set_key(found))
                 rows.append(registers(found).astype(">u2").tobytes() if len(found) else None)
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(rows, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "registers"])
+            columns = [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "set_key", "registers"])
 
-    return docs.select("doc_id", "text").mapInArrow(sketch, f"doc_id {kind}, n_shingles bigint, set_key binary, registers binary")
+    return _hashed(docs).mapInArrow(sketch, f"doc_id {kind}, text_hash bigint, n_shingles bigint, set_key binary, registers binary")
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, text_hash: the hash tells rows that share a doc_id apart."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """node (the doc_id) and its sorted shingle hashes, for the rows of docs (doc_id, text, set_key) that have this set."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """node and its sorted shingle hashes, for the rows of docs (node, text, set_key) that have this set."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -137,7 +141,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 made = [part.column(0), pa.array([r.view(np.int64) for r in rows], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(made, ["node", "hashes"]).filter(same)
 
-    return docs.select("doc_id", "text", "set_key").mapInArrow(sets, f"node {kind}, hashes array<bigint>")
+    return docs.select("node", "text", "set_key").mapInArrow(sets, "node bigint, hashes array<bigint>")
 
 
 def banded(nodes: DataFrame) -> DataFrame:
@@ -153,16 +157,33 @@ def banded(nodes: DataFrame) -> DataFrame:
 
 
 def _agree(low_a: np.ndarray, low_b: np.ndarray, n_a: int, n_b: int) -> bool:
-    """Whether the smallest hashes leave the threshold possible; up to LOWEST shingles they are the whole sets."""
-    limit = min(low_a[-1] if n_a > LOWEST else 2**32, low_b[-1] if n_b > LOWEST else 2**32)
+    """Whether the smallest hashes leave the threshold possible; up to LOWEST shingles they are the whole sets, and the answer is exact."""
+    last = np.uint64(2**64 - 1)
+    limit = min(low_a[-1] if n_a > LOWEST else last, low_b[-1] if n_b > LOWEST else last)
     a, b = low_a[: np.searchsorted(low_a, limit, "right")], low_b[: np.searchsorted(low_b, limit, "right")]
     if not len(a) or not len(b):
         return True
     at = np.searchsorted(b, a)
     common = int((b[np.minimum(at, len(b) - 1)] == a).sum())
     union = len(a) + len(b) - common
-    slack = 6 * (PERCENT * (100 - PERCENT) / 1e4 / union) ** 0.5 if max(n_a, n_b) > LOWEST else 0.01
-    return common / union >= PERCENT / 100 - slack
+    if max(n_a, n_b) <= LOWEST:
+        return 100 * common >= PERCENT * union
+    return common / union >= PERCENT / 100 - 6 * (PERCENT * (100 - PERCENT) / 1e4 / union) ** 0.5
+
+
+class _Forest:
+    """Union-find over the components met in one block."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, c: int) -> int:
+        while (above := self.up.get(c, c)) != c:
+            self.up[c] = c = self.up.get(above, above)
+        return c
+
+    def unite(self, a: int, b: int) -> None:
+        self.up[self.root(a)] = self.root(b)
 
 
 def _register_rows(column: pa.Array) -> np.ndarray:
@@ -195,7 +216,7 @@ def _likely_in_blocks(rows: DataFrame, nodes: DataFrame, sets: DataFrame) -> Dat
     mine = F.pmod(F.xxhash64("node", F.lit(5)), parts).cast("int")
     each = rows.withColumn("parts", parts).withColumn("part", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = each.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "n", "comp", "bands")
-    low = sets.select("node", F.transform(F.slice("hashes", 1, LOWEST), lambda h: F.shiftrightunsigned(h, 32)).alias("low"))
+    low = sets.select("node", F.slice("hashes", 1, LOWEST).alias("low"))
     told = nodes.select("node", "registers").join(low, "node")
     full = dealt.join(told, "node").select("key", "i", "j", "part", "node", "n", "comp", "bands", "registers", "low")
     kind = nodes.schema["node"].dataType.simpleString()
@@ -209,7 +230,7 @@ def _likely_in_blocks(rows: DataFrame, nodes: DataFrame, sets: DataFrame) -> Dat
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             registers = _register_rows(held.column("registers").combine_chunks())
             lows = held.column("low").combine_chunks()
-            low = np.split(lows.flatten().to_numpy(), (lows.offsets.to_numpy() - lows.offsets[0].as_py())[1:-1])
+            low = np.split(lows.flatten().to_numpy().view(np.uint64), (lows.offsets.to_numpy() - lows.offsets[0].as_py())[1:-1])
             bands = held.column("bands").to_pylist()
             out_a, out_b = [], []
             for start, end in zip(np.append(0, cuts), np.append(cuts, len(key))):
@@ -221,6 +242,7 @@ def _likely_in_blocks(rows: DataFrame, nodes: DataFrame, sets: DataFrame) -> Dat
                 left, right = left + start, right + start
                 ok = (comp[left] != comp[right]) & (100 * np.minimum(n[left], n[right]) >= PERCENT * np.maximum(n[left], n[right]))
                 left, right, mine = left[ok], right[ok], np.array(bands[start])
+                forest = _Forest()
                 for k in range(0, len(left), 8192):
                     a, b = left[k : k + 8192], right[k : k + 8192]
                     guess, error = estimates(registers[a], registers[b], n[a], n[b])
@@ -229,7 +251,9 @@ def _likely_in_blocks(rows: DataFrame, nodes: DataFrame, sets: DataFrame) -> Dat
                     here = same[:, mine].all(1) & (order[:, mine] == np.arange(1, len(mine) + 1)).all(1)
                     good = here & (guess >= PERCENT / 100 - 4 * error)
                     for x, y in zip(a[good], b[good]):
-                        if _agree(low[x], low[y], n[x], n[y]):
+                        if forest.root(comp[x]) != forest.root(comp[y]) and _agree(low[x], low[y], n[x], n[y]):
+                            if max(n[x], n[y]) <= LOWEST:  # held whole: the link is sure
+                                forest.unite(comp[x], comp[y])
                             out_a.append(min(node[x], node[y]))
                             out_b.append(max(node[x], node[y]))
             return pa.RecordBatch.from_arrays([pa.array(out, held.schema.field("node").type) for out in (out_a, out_b)], ["a", "b"])
@@ -322,13 +346,12 @@ class _Linker:
         whole = None
         for level in range(1, LEVELS + 1):
             for t in range(CENTRES):
-                rows = self.open(buckets, F.xxhash64("node", F.lit(t)))
+                rows = buckets = self.open(buckets, F.xxhash64("node", F.lit(t)))  # the table it was made from is gone by now
                 if rows.isEmpty():
                     break
                 alike = 100 * F.least("n", "c_n") >= PERCENT * F.greatest("n", "c_n")
                 pairs = rows.where(F.col("comp") != F.col("c_comp")).where(alike).select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct()
                 self.link(_likely(pairs, self.nodes))
-                buckets = rows
             rows = self.open(buckets, F.col("node"))
             if rows.isEmpty():
                 break
@@ -347,42 +370,52 @@ class _Linker:
         self.link(_likely_in_blocks(rows, self.nodes, self.sets))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept."""
+def _classed(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, text_hash, n_shingles, component_id, kept."""
     small_batches(docs.sparkSession)
     tables = Tables(docs.sparkSession)
     drawn = tables.write(sketches(docs), "sketches")
-    of_set = drawn.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    of_set = tables.write(of_set, "of_set")
-    first = of_set.groupBy("node").agg(F.min("set_key").alias("set_key"))
-    nodes = drawn.withColumnRenamed("doc_id", "node").join(first, ["node", "set_key"], "left_semi").dropDuplicates(["node"])
-    nodes = tables.write(nodes.select("node", "set_key", F.col("n_shingles").alias("n"), "registers"), "nodes")
-    slim = tables.write(drawn.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")), "slim")
+    first = F.min(F.struct("doc_id", "text_hash")).alias("first")
+    of_set = drawn.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(first)
+    of_set = tables.write(of_set.select("set_key", "first.*", F.monotonically_increasing_id().alias("node")), "of_set")
+    nodes = drawn.join(of_set, ["set_key", "doc_id", "text_hash"]).dropDuplicates(["node"])
+    nodes = tables.write(nodes.select("node", F.col("n_shingles").alias("n"), "registers"), "nodes")
+    slim = tables.write(drawn.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")), "slim")
     tables.drop("sketches")
     rows = banded(nodes)
     shared = tables.write(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "keys")
     buckets = tables.write(rows.join(shared, "key", "left_semi"), "buckets")
     meeting = tables.write(nodes.join(buckets.select("node").distinct(), "node", "left_semi"), "meeting")
     tables.drop("nodes", "keys")
-    wanted = meeting.select(F.col("node").alias("doc_id"), "set_key")
-    sets = tables.write(shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id")).dropDuplicates(["node"]), "sets")
+    wanted = of_set.join(meeting.select("node"), "node", "left_semi")
+    sets = tables.write(shingle_sets(_hashed(docs).join(wanted, ["doc_id", "text_hash"])).dropDuplicates(["node"]), "sets")
     linker = _Linker(tables, meeting, sets)
     linker.settle(buckets)
+    least = of_set.select("set_key", F.col("doc_id").alias("component_id"))
     if linker.comps is not None:
-        of_set = of_set.join(linker.comps, "node", "left").select("set_key", F.coalesce("comp", "node").alias("node"))
-    component = F.coalesce("node", "doc_id")
-    placed = slim.where("set_key is not null").join(of_set, "set_key").select("doc_id", "n_shingles", component.alias("component_id"))
-    alone = slim.where("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        linked = of_set.join(linker.comps, "node")
+        lowest = linked.groupBy("comp").agg(F.min("doc_id").alias("lowest"))
+        least = of_set.join(linked.join(lowest, "comp").select("node", "lowest"), "node", "left").select("set_key", F.coalesce("lowest", "doc_id").alias("component_id"))
+    told = ["doc_id", "text_hash", "n_shingles", "component_id"]
+    placed = slim.where("set_key is not null").join(least, "set_key").select(told)
+    alone = slim.where("set_key is null").withColumn("component_id", F.col("doc_id")).select(told)
     found = tables.write(placed.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "found")
     tables.drop_all_but("found")
     return found
 
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept."""
+    return _classed(docs).drop("text_hash")
+
+
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component; of rows that share a doc_id one stays."""
-    stay = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    found = docs.join(stay, "doc_id", "left_semi").withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_copy = 1").drop("_copy")
-    return found.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """docs with one document of each component; of the kept rows that share a doc_id one stays."""
+    stay = _classed(docs).where("kept and doc_id is not null").groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("row.text"))
+    found = rows.join(stay, ["doc_id", "text_hash"], "left_semi").withColumn("place", place).where("place = 1")
+    return found.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 ORACLE = rf"""

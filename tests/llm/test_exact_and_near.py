@@ -113,3 +113,52 @@ def test_pairs_of_large_buckets_need_one_band_only(make, monkeypatch):
 def test_null_ids_are_not_linked(make):
     got = near_dedup.near_duplicates(make([(None, "a b c d e f"), (4, "a b c d e f"), (3, "a b c d e f")])).collect()
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in got) == [(-1, -1, True), (3, 3, True), (4, 3, False)]
+
+
+def near_copies(n, words=60):
+    base = [f"a{i}" for i in range(words)]
+    return [" ".join(base[:-1] + [f"z{k}"]) for k in range(n)]
+
+
+@pytest.mark.parametrize("n", [2, 3, 600])
+def test_a_centre_may_close_every_bucket(make, n):
+    docs = make(near_copies(n))
+    assert {(r.component_id, r.kept == (r.doc_id == 0)) for r in near_dedup.near_duplicates(docs).collect()} == {(0, True)}
+    assert [r.doc_id for r in near_dedup.without_near_copies(docs).collect()] == [0]
+
+
+@pytest.mark.parametrize("large, centres", [(1, 0), (1, 1), (2, 2), (4, 1)])
+def test_every_level_may_close_early(make, monkeypatch, large, centres):
+    monkeypatch.setattr(near_dedup, "LARGE", large)
+    monkeypatch.setattr(near_dedup, "CENTRES", centres)
+    texts = near_copies(5) + [t.replace("a", "b") for t in near_copies(3)] + ["alone " * 7, "x y z"]
+    got = rows(near_dedup.near_duplicates(make(texts)))
+    assert [(got[i].n_shingles, got[i].component_id) for i in range(len(texts))] == near_truth(texts)
+
+
+def test_sets_that_share_an_id_are_all_compared(make):
+    one, two = near_copies(3), [t.replace("a", "b") for t in near_copies(2)]
+    docs = make([(1, one[0]), (1, two[0]), (5, one[1]), (6, two[1]), (7, one[2]), (1, one[0])])
+    found = sorted((r.doc_id, r.component_id) for r in near_dedup.near_duplicates(docs).collect())
+    assert found == [(1, 1), (1, 1), (1, 1), (5, 1), (6, 1), (7, 1)]
+    assert near_dedup.without_near_copies(docs).count() == 1
+
+
+def test_a_bucket_lets_out_a_spanning_forest(spark, make):
+    """400 mutually similar sets of one bucket: 79,800 links, 399 pairs."""
+    docs, hashes = near_copies(400), near_dedup.WordHashes()
+    sets = [near_dedup.shingle_set(t, hashes) for t in docs]
+    registers = [bytes(near_dedup.registers(s).astype(">u2").tobytes()) for s in sets]
+    nodes = spark.createDataFrame([(i, len(s), r) for i, (s, r) in enumerate(zip(sets, registers))], "node long, n long, registers binary")
+    held = spark.createDataFrame([(i, s.view("int64").tolist()) for i, s in enumerate(sets)], "node long, hashes array<bigint>")
+    bucket = nodes.select(F.lit(7).cast("long").alias("key"), F.array(F.lit(0)).alias("bands"), "node", "n", F.col("node").alias("comp"), F.lit(400).cast("long").alias("members"))
+    first = [r[: 2 * near_dedup.ROWS] for r in registers]
+    alike = [i for i, f in enumerate(first) if f == first[0]]
+    pairs = near_dedup._likely_in_blocks(bucket.where(F.col("node").isin(alike)), nodes, held).count()
+    assert len(alike) > 100 and pairs == len(alike) - 1
+
+
+def test_clashing_names_survive_near_copies(make):
+    docs = make(near_copies(2)).withColumn("place", F.lit(1)).withColumn("text_hash", F.lit(2)).withColumn("_copy", F.lit(3)).withColumn("row", F.lit(4))
+    kept = near_dedup.without_near_copies(docs)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [0]
