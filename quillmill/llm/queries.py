@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, decontamination, exact_dedup, language_id, licenses, near_dedup, sharding, substring_dedup, token_counts, toxicity
+from . import bpe, centroids, decontamination, exact_dedup, html_text, language_id, licenses, near_dedup, sharding, spelling, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -17,6 +17,9 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_sharding": sharding.op10_sharding,
+    "op11_spelling": spelling.op11_spelling,
+    "op12_main_text": html_text.op12_main_text,
+    "op13_centroids": centroids.op13_centroids,
     "slot_map_edit": sharding.slot_map_edit,
     "pipeline": corpus_pipeline.run,
 }
@@ -27,4 +30,6 @@ ORACLES = {
     "op6_licenses": licenses.ORACLE,
     "op8_substring_dedup": substring_dedup.ORACLE,
     "op10_sharding": sharding.ORACLE,
+    "op11_spelling": spelling.ORACLE,
+    "op13_centroids": centroids.ORACLE,
 }
