@@ -84,11 +84,11 @@ def from_department(subject: Column, rules: Rules = DEPARTMENTS, most: int = 2)
 
 def combined(parts: dict[str, Column], most: int = 5) -> Column:
     """Fields of several sources (names of SOURCES, arrays of fields): highest weight first, then source and place."""
-    weighted = [
-        F.transform(F.coalesce(fields, F.array().cast("array<string>")), lambda f, i, k=k: F.struct((-F.lit(SOURCES[k])).alias("less"), i.alias("place"), f.alias("field")))
-        for k, fields in parts.items()
-    ]
-    ordered = F.transform(F.array_sort(F.concat(*weighted)), lambda h: h["field"])
+    def weighted(source: str, fields: Column) -> Column:
+        less = -F.lit(SOURCES[source])
+        return F.transform(F.coalesce(fields, F.array().cast("array<string>")), lambda f, i: F.struct(less.alias("less"), i.alias("place"), f.alias("field")))
+
+    ordered = F.transform(F.array_sort(F.concat(*[weighted(k, c) for k, c in parts.items()])), lambda h: h["field"])
     return F.slice(F.array_distinct(ordered), 1, most)
 
 

@@ -403,10 +403,3 @@ def merge_sources(d: Domain):
 def cleanup_actions(d: Domain):
     frames = {"person": d.persons, "publication": d.publications, "report": d.reports, "person_field": d.links}
     return cleanup.run_cleanup(frames, d.now())[1]
-
-
-@query()
-def profile_parse(d: Domain):
-    from ..sources.pages import profiles
-
-    return profiles(d.table("pages"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_checks, queries_people, queries_records, queries_reports, queries_upkeep
+from . import queries_checks, queries_pages, queries_people, queries_records, queries_reports, queries_upkeep
 
-QUERIES = {**queries_people.QUERIES, **queries_records.QUERIES, **queries_reports.QUERIES, **queries_upkeep.QUERIES, **queries_checks.QUERIES}
-ORACLES = {**queries_people.ORACLES, **queries_records.ORACLES, **queries_reports.ORACLES, **queries_upkeep.ORACLES, **queries_checks.ORACLES}
+QUERIES = {**queries_people.QUERIES, **queries_records.QUERIES, **queries_reports.QUERIES, **queries_upkeep.QUERIES, **queries_checks.QUERIES, **queries_pages.QUERIES}
+ORACLES = {**queries_people.ORACLES, **queries_records.ORACLES, **queries_reports.ORACLES, **queries_upkeep.ORACLES, **queries_checks.ORACLES, **queries_pages.ORACLES}

@@ -33,14 +33,6 @@ def absolute(base: str, href: str):
     return F.when(F.col(href).rlike("^https?://"), F.col(href)).when(F.col(href).startswith("/"), F.concat(root, F.col(href))).otherwise(F.concat(F.regexp_extract(base, r"^(https?://[^?#]*/)", 1), F.col(href)))
 
 
-def profiles(pages: DataFrame) -> DataFrame:
-    """page_id, title, heading, email, doi, year, sections, words."""
-    plain = text.strip_html(F.col("html"))
-    got = lambda pattern: F.nullif(F.trim(F.regexp_extract("html", pattern, 1)), F.lit(""))
-    rows = pages.select("page_id", got(r"(?is)<title>(.*?)</title>").alias("title"), got(r"(?is)<h1[^>]*>(.*?)</h1>").alias("heading"), plain.alias("plain"), F.size(F.regexp_extract_all("html", F.lit(r"(?is)<h[2-4][^>]*>(.*?)</h[2-4]>"), F.lit(1))).alias("sections"))
-    return rows.select("page_id", "title", "heading", text.email(F.col("plain")).alias("email"), text.doi(F.col("plain")).alias("doi"), text.publication_year(F.col("plain")).alias("year"), "sections", F.size(F.split("plain", " ")).alias("words"))
-
-
 # What a page without headings shows sections by: elements named like titles, labels in the text, labels in a table's cells.
 TITLED = r"""(?i)<(?:div|p|span|strong|b|font)\s[^>]*(?:class|id)\s*=\s*["'][^"']*?(?:title|section|heading|subtitle|caption|name)[^"']*?["'][^>]*>\s*([^<]{1,100})</(?:div|p|span|strong|b|font)>"""
 LABELS = "研究方向|研究领域|科研项目|在研项目|教学成果|获奖情况|论文[著作发表]|竞赛[获奖]?|荣誉称号|人才称号|学术荣誉|教育背景|工作经历|个人简介|教师简介"
@@ -54,6 +46,107 @@ def sections(pages: DataFrame) -> DataFrame:
     colon; `cell`: known labels in a table's cell, with the next cell. Contents go to the next section or the end; those of
     at most 5, 3 and 2 characters don't count in the last three. Nulls have no section.
     """
+    rows = with_sections(pages.select("page_id", "html"))
+    return rows.select("page_id", F.posexplode("found").alias("seq", "s")).select("page_id", "seq", "s.layout", "s.heading", "s.content")
+
+
+def without_dots(path: Column) -> Column:
+    """A path without `.` and `..` segments; those beyond the root are dropped."""
+    parts = F.split(path, "/")
+    walked = F.aggregate(parts, F.array().cast("array<string>"), lambda held, p: F.when(p == ".", held).when(p == "..", F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(1)))).otherwise(F.concat(held, F.array(p))))
+    open_end = F.element_at(parts, -1).isin(".", "..")
+    return F.concat(F.array_join(walked, "/"), F.when(open_end, "/").otherwise(""))
+
+
+def resolved(base: Column, href: Column) -> Column:
+    """href as an absolute address on the page at `base`: whole, without scheme, from the root, query, fragment or relative, dot segments taken out.
+
+    Null or empty bases leave relative ones null; white space around href doesn't count.
+    """
+    href = F.trim(href)
+    scheme, root = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1), F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    whole, path = F.regexp_extract(base, "^([^#]*)", 1), F.regexp_extract(base, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    own, rest = F.regexp_extract(href, "^([^?#]*)", 1), F.regexp_extract(href, r"^[^?#]*([\s\S]*)\z", 1)
+    folder = F.coalesce(F.nullif(F.regexp_extract(path, "^(.*/)", 1), F.lit("")), F.lit("/"))
+    relative = (
+        F.when(href == "", whole).when(href.startswith("//"), F.concat(scheme, href)).when(href.startswith("#"), F.concat(whole, href))
+        .when(href.startswith("?"), F.concat(root, path, href)).when(href.startswith("/"), F.concat(root, without_dots(own), rest)).otherwise(F.concat(root, without_dots(F.concat(folder, own)), rest))
+    )
+    return F.when(F.regexp_like(href, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:")), href).when(root != "", relative)
+
+
+# Addresses of profile pages, each with what their text must hold: a name somewhere (cjk), nothing (any), a name alone (name), a word for more (more).
+ANCHORS = (
+    (r"/teacher/|/people/|/faculty/|/person/|/facultyDetail/", "cjk"),
+    (r"/info/\d+/\d+\.html?", "cjk"),
+    (r"/\d+/|(?:/|_)[a-z]+\d*\.html?|(?:/|_)\d+\.html?", "cjk"),
+    (r"/\d{4}/\d{4}/.*\d+\.html?", "cjk"),
+    (r"\.jsp", "cjk"),
+    (r"/szdw/(?:js|info|zrjs|jsml|szll)/", "any"),
+    (r"/[jt]id[=/]\d+|/teacher/\d+|/faculty/\d+", "any"),
+    (r"/jsmc/|/jsml/|/szll/|/jzgml/|/zrjs/", "any"),
+    (r"/redir\.php|_upload/tpl/", "cjk"),
+    (r"\.(?:htm|html|php|jsp)", "name"),
+    (r"\.aspx\?id=|\.aspx\?tid=|teacher_detail\.aspx|faculty_detail\.aspx", "any"),
+    (r"/teacher/[a-z-]+|/faculty/[a-z-]+|/profile/[a-z-]+|/people/[a-z-]+", "any"),
+    (r"/\?p=\d+|/archives/\d+|/\d{4}/\d{2}/.+", "cjk"),
+    (r"%[A-F0-9]{2}%[A-F0-9]{2}", "any"),
+    (r"/detail/|/view/|/show/|/content/|/read/", "more"),
+)
+# Words of menus that the classes of characters below don't tell, those classes, and what addresses of lists and menus hold.
+MENU_TEXTS = "首页|上一页|下一页|尾页|末页|返回|更多|查看详情|登录|注册|English|ENGLISH|旧版|校友会|校友录|教育部|邮箱|下载区|历史沿革|杰出人才|人才梯队|各类人才|层次人才|资料汇编|最新动态"
+MENU_CHARACTERS = "[教育新闻公告通知下载链接导航招聘组织制度党建工会校友交流合作邮箱采购招标规章活动动态专题登录注册院校系部处中心会网页版录栏表科研究项导师范生招培计]"
+NO_PROFILE_PATHS = (
+    r"/webmaster|/admin|/login|/logout|/user/|/contact|/about|/node/\d+\z|javascript:|mailto:|/(?:en|english)/",
+    r"(?i)/list\.html?\z|/list_\d+\.html?\z|/list\.jsp|/index\.html?\z|/index\.jsp",
+    r"/(?:xygk|xwzx|jyjx|kxyj|xsgz|djgz|dwjl|xyzx|tzgg|zsjy|xzzx|lxwm|wzdt|rczp|gjhd|gjjl|xyh|djwh|ghhd|txyl|rcpy|yjspy|bksjy|xsjy)/",
+    r"(?i)[?&](?:page|p)=\d+|[?&](?:category|cat|search|keyword|tag)=",
+    r"/topic/|/category/|/tag/|/archive/",
+)
+DOMAINS = ("edu.cn", "cas.cn", "ac.cn")
+
+
+def anchors(pages: DataFrame) -> DataFrame:
+    """page_id, base, href, text of every link of every page; the base is the page's <base href> on its address, else its address."""
+    href, inner = (F.regexp_extract_all("html", F.lit(r'(?i)<a\s[^>]*href="([^"]*)"[^>]*>([\s\S]*?)</a>'), F.lit(i)) for i in (1, 2))
+    told = F.nullif(F.regexp_extract("html", r'(?i)<base\s[^>]*href="([^"]*)"', 1), F.lit(""))
+    rows = pages.select("page_id", F.coalesce(resolved(F.col("url"), told), F.col("url")).alias("base"), F.explode(F.arrays_zip(href.alias("href"), inner.alias("inner"))).alias("a"))
+    return rows.select("page_id", "base", F.trim("a.href").alias("href"), F.trim(F.regexp_replace("a.inner", "<[^>]+>", "")).alias("text"))
+
+
+def discovered(pages: DataFrame, allowed: DataFrame | None = None, shapes: tuple[tuple[str, str], ...] = ANCHORS, skipped: tuple[str, ...] = NO_PROFILE_PATHS) -> DataFrame:
+    """page_id, link: distinct absolute links of pages (page_id, url, html) that may lead to a person.
+
+    A link's address has one of the shapes and its text what that shape wants; its text is no menu's and at most 20
+    characters long, its address none of those skipped; its host is one of `allowed` (domain) or lies under one, by
+    default those of universities and academies. A link's text is what stands in its own element.
+    """
+    href, said = F.col("href"), F.col("text")
+    cjk = lambda lo, hi: f"[{text.CJK}]{{{lo},{hi}}}"
+    wanted = {
+        "any": F.lit(True), "cjk": F.regexp_like(said, F.lit(cjk(2, 6))), "name": F.regexp_like(said, F.lit(f"^{cjk(2, 4)}\\z")),
+        "more": F.regexp_like(said, F.lit("(?i)^(?:查看详情|详细信息|了解|more|detail|read more|查看)")),
+    }
+    shaped = F.lit(False)
+    for shape, want in shapes:
+        shaped = shaped | (F.regexp_like(href, F.lit(shape)) & wanted[want])
+    menu = F.regexp_like(said, F.lit(MENU_TEXTS)) | (F.length(said) > 20) | ((F.length(said) >= 4) & F.regexp_like(said, F.lit(MENU_CHARACTERS)))
+    no_page = (href == "") | (href == "/") | href.startswith("#") | (href == F.col("base"))
+    for p in skipped:
+        no_page = no_page | F.regexp_like(href, F.lit(p))
+    rows = anchors(pages).where(shaped & ~menu & ~no_page).select("page_id", resolved(F.col("base"), href).alias("link")).distinct()
+    if allowed is None:
+        allowed = pages.sparkSession.createDataFrame([(d,) for d in DOMAINS], "domain string")
+    host = F.lower(F.regexp_extract("link", "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    labels = F.split(host, r"\.")
+    # A host meets the list by itself and by each domain above it.
+    under = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    met = rows.select("page_id", "link", F.explode(under).alias("domain")).join(allowed.select(F.lower("domain").alias("domain")), "domain", "left_semi")
+    return met.select("page_id", "link").distinct()
+
+
+def with_sections(pages: DataFrame) -> DataFrame:
+    """The rows with their sections in the array `found` (layout, heading, content)."""
     html, bare = F.col("html"), lambda c: F.regexp_replace(c, r"^\s+|\s+\z", "")
 
     def pieces(source: Column, head: str, group: int, layout: str, content) -> Column:
@@ -71,14 +164,14 @@ def sections(pages: DataFrame) -> DataFrame:
     celled = F.zip_with(*cells, lambda h, c: F.struct(F.lit("cell").alias("layout"), h.alias("heading"), text.strip_html(c).alias("content")))
 
     # A step each: a layout is only tried where those before it gave nothing, and none is tried twice.
-    rows = pages.select("page_id", "html", F.transform(headed, lambda s: F.struct(s["layout"].alias("layout"), bare(s["heading"]).alias("heading"), s["content"].alias("content"))).alias("found"))
+    rows = pages.withColumn("found", F.transform(headed, lambda s: F.struct(s["layout"].alias("layout"), bare(s["heading"]).alias("heading"), s["content"].alias("content"))))
     for other in (
         F.filter(F.transform(titled, lambda s: F.struct(s["layout"].alias("layout"), bare(s["heading"]).alias("heading"), s["content"].alias("content"))), lambda s: (F.length(s["heading"]) > 1) & (F.length(s["content"]) > 5)),
         F.filter(labelled, lambda s: F.length(s["content"]) > 3),
         F.filter(celled, lambda s: F.length(s["content"]) > 2),
     ):
         rows = rows.withColumn("found", F.when(F.size("found") > 0, F.col("found")).otherwise(other))
-    return rows.select("page_id", F.posexplode("found").alias("seq", "s")).select("page_id", "seq", "s.layout", "s.heading", "s.content")
+    return rows
 
 
 # Headings that end a passage which has no heading of its own.
@@ -233,7 +326,12 @@ def json_ld(pages: DataFrame) -> DataFrame:
 
 
 def json_ld_publications(pages: DataFrame) -> DataFrame:
-    """page_id, title, authors, journal, doi, year, url, abstract of the publications that pages describe in JSON-LD.
+    """page_id, title, authors, journal, doi, year, url, abstract of the publications that pages describe in JSON-LD."""
+    return pages.select("page_id", F.explode(json_ld_publications_of(F.col("html"))).alias("p")).select("page_id", "p.*")
+
+
+def json_ld_publications_of(html: Column) -> Column:
+    """The publications that a page describes in JSON-LD, an array of structs.
 
     Objects, arrays of them and those under @graph are read; an author may be a text or have a name, alone or in a list; a
     DOI stands in sameAs or among the identifiers. Titles under five characters don't count. A script that is no JSON
@@ -250,22 +348,24 @@ def json_ld_publications(pages: DataFrame) -> DataFrame:
         one = F.try_variant_get(v, path, "variant")
         return F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.when(one.isNotNull(), F.array(one)), F.array().cast("array<variant>"))
 
-    scripts = F.regexp_extract_all("html", F.lit(r"""(?is)<script\s+type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
-    blocks = pages.select("page_id", F.explode(scripts).alias("script")).select("page_id", F.try_parse_json("script").alias("block")).where("block is not null")
-    block, o = F.col("block"), F.col("o")
-    each = F.coalesce(F.try_variant_get(block, "$", "array<variant>"), F.try_variant_get(block, "$['@graph']", "array<variant>"), F.array(block))
-    rows = blocks.select("page_id", F.explode(each).alias("o"))
-    rows = rows.where(F.regexp_like(told(o, "$['@type']"), F.lit("(?i)ScholarlyArticle|Article|CreativeWork|Book|Thesis|PublicationIssue")))
     author = lambda a: F.when(is_text(a), F.try_variant_get(a, "$", "string")).otherwise(told(a, "$.name"))
     by_property = lambda i: F.when((told(i, "$['@type']") == "PropertyValue") & (told(i, "$.propertyID") == "DOI"), told(i, "$.value"))
     doi_of = lambda i: F.when(is_text(i), F.nullif(F.regexp_extract(F.try_variant_get(i, "$", "string"), r"(?s)^10\..*\z", 0), F.lit(""))).otherwise(by_property(i))
-    return rows.select(
-        "page_id", F.substring(F.coalesce(told(o, "$.name"), told(o, "$.headline")), 1, 300).alias("title"), F.array_compact(F.transform(listed(o, "$.author"), author)).alias("authors"),
-        F.coalesce(told(o, "$.publisher.name"), told(o, "$.isPartOf.name"), told(o, "$.journal.name"), only_text(o, "$.publisher")).alias("journal"),
-        F.coalesce(F.nullif(F.regexp_extract(only_text(o, "$.sameAs"), r"10\.[0-9]{4,}/\S+", 0), F.lit("")), _first(F.array_compact(F.transform(listed(o, "$.identifier"), doi_of)))).alias("doi"),
-        F.nullif(F.regexp_extract(F.coalesce(told(o, "$.datePublished"), told(o, "$.dateCreated")), "[0-9]{4}", 0), F.lit("")).cast("int").alias("year"),
-        only_text(o, "$.url").alias("url"), F.substring(only_text(o, "$.description"), 1, 2000).alias("abstract"),
-    ).where(F.length("title") >= 5)
+
+    def publication(o: Column) -> Column:
+        return F.struct(
+            F.substring(F.coalesce(told(o, "$.name"), told(o, "$.headline")), 1, 300).alias("title"), F.array_compact(F.transform(listed(o, "$.author"), author)).alias("authors"),
+            F.coalesce(told(o, "$.publisher.name"), told(o, "$.isPartOf.name"), told(o, "$.journal.name"), only_text(o, "$.publisher")).alias("journal"),
+            F.coalesce(F.nullif(F.regexp_extract(only_text(o, "$.sameAs"), r"10\.[0-9]{4,}/\S+", 0), F.lit("")), _first(F.array_compact(F.transform(listed(o, "$.identifier"), doi_of)))).alias("doi"),
+            F.nullif(F.regexp_extract(F.coalesce(told(o, "$.datePublished"), told(o, "$.dateCreated")), "[0-9]{4}", 0), F.lit("")).cast("int").alias("year"),
+            only_text(o, "$.url").alias("url"), F.substring(only_text(o, "$.description"), 1, 2000).alias("abstract"),
+        )
+
+    scripts = F.regexp_extract_all(html, F.lit(r"""(?is)<script\s+type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
+    blocks = F.array_compact(F.transform(scripts, F.try_parse_json))
+    each = F.flatten(F.transform(blocks, lambda b: F.coalesce(F.try_variant_get(b, "$", "array<variant>"), F.try_variant_get(b, "$['@graph']", "array<variant>"), F.array(b))))
+    kind = lambda o: F.regexp_like(told(o, "$['@type']"), F.lit("(?i)ScholarlyArticle|Article|CreativeWork|Book|Thesis|PublicationIssue"))
+    return F.filter(F.transform(F.filter(each, kind), publication), lambda p: F.length(p["title"]) >= 5)
 
 
 def decoded(raw: DataFrame, default: str = "gbk") -> DataFrame:
