@@ -2,26 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up
-
-
-def _cut(df: DataFrame, name: str) -> DataFrame:
-    """Written to the folder named in spark.checkpoint.dir and read again: ends the lineage. Where it is unset only a local master goes on, in a temporary folder."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="quillmill-")
-    path = f"{folder.rstrip('/')}/quillmill-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .stored import Steps
 
 
 def coauthor_edges(authorships: DataFrame, most_authors: int | None = None) -> DataFrame:
@@ -56,17 +41,36 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, most: in
     """id, rank after convergence. Only the largest change of an iteration reaches the driver."""
     nodes = nodes.select("id").distinct()
     n = nodes.count()
-    edges = _cut(edges, "edges")
-    ranks = _cut(nodes.withColumn("rank", F.lit(1.0 / max(1, n))), "ranks")
-    for _ in range(most if n else 0):
-        new = _cut(pagerank_step(ranks, edges, n, damping), "ranks")
+    steps = Steps(nodes.sparkSession)
+    edges = steps.write(edges, "edges")
+    ranks, last = steps.write(nodes.withColumn("rank", F.lit(1.0 / max(1, n))), "ranks0"), "ranks0"
+    for i in range(1, most + 1 if n else 1):
+        # The round before is still read for the change, so two names take turns.
+        last = f"ranks{i % 2}"
+        new = steps.write(pagerank_step(ranks, edges, n, damping), last)
         change = new.join(ranks.withColumnRenamed("rank", "old"), "id").agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0]
         ranks = new
         if change < tolerance:
             break
+    steps.keep_only(last)
     return ranks
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """id, component: the smallest id that each id of the edges (a, b) reaches, by least labels with jumps to a label's own label."""
+    steps = Steps(edges.sparkSession)
+    both = steps.write(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = steps.write(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("component")), "labels")
+    while True:
+        heard = both.join(labels.select(F.col("id").alias("b"), F.col("component").alias("near")), "b").groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
+        jump = labels.join(labels.select(F.col("id").alias("component"), F.col("component").alias("jump")), "component").select("id", F.col("component").alias("was"), "jump")
+        moved = steps.write(jump.join(heard, "id").select("id", "was", F.least("jump", "near").alias("component")), "labels")
+        labels = moved.select("id", "component")
+        if moved.where("component <> was").isEmpty():
+            steps.keep_only("labels")
+            return labels
+
+
 def authority(nodes: DataFrame, edges: DataFrame, ranks: DataFrame) -> DataFrame:
     """nodes (id, citations, h_index) with pagerank, coauthors and authority, each part over its largest value."""
     degree = edges.groupBy(F.col("from_id").alias("id")).agg(F.count(F.lit(1)).alias("coauthors"), F.avg("weight").alias("mean_weight"))
@@ -80,16 +84,18 @@ def authority(nodes: DataFrame, edges: DataFrame, ranks: DataFrame) -> DataFrame
 
 def communities(nodes: DataFrame, edges: DataFrame, most: int = 20) -> DataFrame:
     """id, community: label propagation, all nodes at once; the label with the most weight around wins, ties go to the smallest."""
-    labels = _cut(nodes.select("id", F.col("id").alias("community")).distinct(), "labels")
-    edges = _cut(edges, "edges")
+    steps = Steps(nodes.sparkSession)
+    labels = steps.write(nodes.select("id", F.col("id").alias("community")).distinct(), "labels")
+    edges = steps.write(edges, "edges")
     best = Window.partitionBy("id").orderBy(F.desc("w"), "community")
     for _ in range(most):
         heard = edges.join(labels.withColumnRenamed("id", "to_id"), "to_id").groupBy(F.col("from_id").alias("id"), "community").agg(F.sum("weight").alias("w"))
         chosen = heard.withColumn("place", F.row_number().over(best)).where("place = 1").select("id", F.col("community").alias("new"))
-        moved = _cut(labels.join(chosen, "id", "left").select("id", F.col("community").alias("was"), F.coalesce("new", "community").alias("community")), "labels")
+        moved = steps.write(labels.join(chosen, "id", "left").select("id", F.col("community").alias("was"), F.coalesce("new", "community").alias("community")), "labels")
         labels = moved.select("id", "community")
         if moved.where("was <> community").isEmpty():
             break
+    steps.keep_only("labels")
     return labels
 
 

@@ -23,6 +23,18 @@ def request_counters(requests: DataFrame, *keys: str) -> DataFrame:
     return requests.groupBy(*keys).agg(F.count(F.lit(1)).alias("requests"), F.count_if("success").alias("succeeded"), F.count_if(~F.col("success")).alias("failed"))
 
 
+def errors_by_type(requests: DataFrame, key: str, kind: str) -> DataFrame:
+    """key, requests, succeeded, failed, errors (kind to count) of requests, whose `kind` is null where they succeeded.
+
+    Counted by key and kind first, so a row's map is as large as there are kinds. A key without errors has an empty map.
+    """
+    each = requests.groupBy(key, kind).agg(F.count(F.lit(1)).alias("n"))
+    failed = F.col(kind).isNotNull()
+    told = F.array_sort(F.collect_list(F.when(failed, F.struct(F.col(kind).alias("k"), F.col("n").alias("v")))))
+    rows = each.groupBy(key).agg(F.sum("n").alias("requests"), F.coalesce(F.sum(F.when(failed, F.col("n"))), F.lit(0)).alias("failed"), F.map_from_entries(told).alias("errors"))
+    return rows.select(key, "requests", (F.col("requests") - F.col("failed")).alias("succeeded"), "failed", "errors")
+
+
 def coverage(persons: DataFrame, flags: dict[str, Column]) -> DataFrame:
     """metric, n, share of the active persons, counted in one pass."""
     active = persons.where("is_active")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import achievements, names, publications
 from ..functions.numbers import half_up
-from ..operators import circles, fields, graph, matching, upkeep
+from ..operators import circles, fields, graph, matching, merging, metrics, upkeep
 from ..sources import pages
 from .standins import Domain, with_
 
@@ -411,3 +411,44 @@ def added_fields(d: Domain):
     persons = d.table("customer").selectExpr("c_custkey AS id", "c_custkey % 10 <> 0 AS is_active", "c_mktsegment AS text")
     links = d.table("customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("person_id"), F.lit("economics").alias("field"))
     return fields.addition(persons, links, _RULES)
+
+
+_MERGES = "SELECT c_custkey AS source_id, c_custkey + 1 AS target_id FROM customer WHERE c_custkey % 7 IN (1, 2) UNION ALL SELECT c_custkey, c_custkey - 3 FROM customer WHERE c_custkey % 14 = 6"
+_ENDS = f"""merges AS ({_MERGES}), known AS (SELECT m.* FROM merges m JOIN person p ON p.id = m.target_id),
+walk AS (SELECT source_id, target_id FROM known UNION ALL SELECT w.source_id, k.target_id FROM walk w JOIN known k ON k.source_id = w.target_id),
+ends AS (SELECT source_id, target_id FROM walk WHERE target_id NOT IN (SELECT source_id FROM known))"""
+
+
+@query(
+    with_("person")
+    + f""", {_ENDS},
+members AS (SELECT source_id AS id, target_id FROM ends UNION SELECT target_id, target_id FROM ends),
+r AS (SELECT p.*, m.target_id, row_number() OVER (PARTITION BY m.target_id ORDER BY p.id <> m.target_id, p.id) AS place FROM person p JOIN members m USING (id)),
+g AS (SELECT target_id, max(id) FILTER (WHERE id <> target_id) AS last, {', '.join(f"arg_min({c}, place) FILTER (WHERE {c} IS NOT NULL AND {c}::VARCHAR <> '') AS {c}" for c in ('email', 'bio_zh', 'h_index', 'orcid_id'))},
+  arg_min(id, place) FILTER (WHERE orcid_id IS NOT NULL) AS orcid_from, arg_min(json_extract_string(metadata, '$.source'), place) FILTER (WHERE json_extract_string(metadata, '$.source') IS NOT NULL) AS source,
+  arg_min(json_extract_string(metadata, '$.k'), place) FILTER (WHERE json_extract_string(metadata, '$.k') IS NOT NULL) AS k FROM r GROUP BY target_id)
+SELECT p.id, p.is_active AND e.target_id IS NULL AS is_active, coalesce(g.email, p.email) AS email, coalesce(g.bio_zh, p.bio_zh) AS bio_zh, coalesce(g.h_index, p.h_index) AS h_index,
+  CASE WHEN h.orcid_from = p.id THEN NULL ELSE coalesce(g.orcid_id, p.orcid_id) END AS orcid_id,
+  coalesce(g.source, json_extract_string(p.metadata, '$.source')) AS source, coalesce(g.k, json_extract_string(p.metadata, '$.k')) AS k, g.last AS merged_from
+FROM person p LEFT JOIN ends e ON e.source_id = p.id LEFT JOIN g ON g.target_id = p.id LEFT JOIN g h ON h.target_id = e.target_id"""
+)
+def merged_persons(d: Domain):
+    """Persons after chains of merges: every seventh and the next one go to the one behind them, some come to it directly."""
+    key = F.col("c_custkey")
+    stored = d.table("customer")
+    merges = stored.where((key % 7).isin(1, 2)).select(key.alias("source_id"), (key + 1).alias("target_id"))
+    merges = merges.unionByName(stored.where(key % 14 == 6).select(key.alias("source_id"), (key - 3).alias("target_id")))
+    merges = merges.join(stored.select(key.alias("target_id")), "target_id", "left_semi")
+    after = merging.merged(d.persons, merging.final_targets(merges), ["email", "bio_zh", "h_index"], ["orcid_id"], metadata="metadata")
+    told = lambda k: F.get_json_object("metadata", f"$.{k}")
+    return after.select("id", "is_active", "email", "bio_zh", "h_index", "orcid_id", told("source").alias("source"), told("k").alias("k"), told("mergedFrom").cast("long").alias("merged_from"))
+
+
+@query("""SELECT user_id, CAST(sum(n) AS BIGINT) AS requests, CAST(coalesce(sum(n) FILTER (kind IS NULL), 0) AS BIGINT) AS succeeded, CAST(coalesce(sum(n) FILTER (kind IS NOT NULL), 0) AS BIGINT) AS failed,
+  coalesce(string_agg(kind || '=' || n, ',' ORDER BY kind) FILTER (kind IS NOT NULL), '') AS errors
+FROM (SELECT user_id, CASE WHEN event_type NOT IN ('view', 'click') THEN event_type END AS kind, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY user_id""")
+def errors_by_type(d: Domain):
+    """Requests of every user with a map of errors by type; stand-in: events other than views and clicks are errors."""
+    kind = F.when(~F.col("event_type").isin("view", "click"), F.col("event_type"))
+    rows = metrics.errors_by_type(d.table("events").select("user_id", kind.alias("kind")), "user_id", "kind")
+    return rows.withColumn("errors", F.array_join(F.transform(F.map_entries("errors"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ","))
