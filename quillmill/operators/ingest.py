@@ -82,3 +82,10 @@ def run(scraped: DataFrame, persons: DataFrame) -> tuple[DataFrame, DataFrame]:
     fresh = fresh.withColumn("id", F.col("id") if kind == "string" else F.xxhash64("name_zh", "institution").cast(kind))
     audit = new.select(F.lit("INSERT").alias("action"), "name_zh").unionByName(known.select(F.lit("UPDATE").alias("action"), "name_zh"))
     return insert_missing(filled, fresh, ["name_zh", "institution"]), audit
+
+
+def first_of_each(rows: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
+    """At most `most` rows of each key, by the order."""
+    from .metrics import first_n
+
+    return first_n(rows, keys, order, most).drop("place")
