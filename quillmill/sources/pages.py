@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -368,26 +365,43 @@ def json_ld_publications_of(html: Column) -> Column:
     return F.filter(F.transform(F.filter(each, kind), publication), lambda p: F.length(p["title"]) >= 5)
 
 
+# Names of charsets, and the one that each is read by.
+CHARSETS = {
+    "utf-8": "UTF-8", "utf8": "UTF-8", "gb2312": "GBK", "gb_2312-80": "GBK", "gbk": "GBK", "x-gbk": "GBK", "cp936": "GBK", "gb18030": "GB18030", "big5": "Big5", "big5-hkscs": "Big5-HKSCS",
+    "iso-8859-1": "ISO-8859-1", "latin1": "ISO-8859-1", "us-ascii": "ISO-8859-1", "windows-1252": "windows-1252", "cp1252": "windows-1252", "shift_jis": "Shift_JIS", "euc-jp": "EUC-JP", "euc-kr": "EUC-KR",
+}
+
+
 def decoded(raw: DataFrame, default: str = "gbk") -> DataFrame:
-    """key, text of rows (key, content bytes, charset): the declared charset, else the one of a <meta>, else UTF-8 if it fits, else the default."""
-    import re
-
-    kind = dict(raw.dtypes)["key"]
-
-    def of(content: bytes | None, charset: str | None) -> str | None:
-        if content is None:
-            return None
-        told = re.search(rb'charset=["\']?([\w-]+)', content[:2048])
-        for name in (charset, told and told.group(1).decode("ascii", "ignore"), "utf-8"):
-            try:
-                if name:
-                    return content.decode(name)
-            except (LookupError, UnicodeDecodeError):
-                continue
-        return content.decode(default, "replace")
-
-    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"key": f["key"], "text": [of(c, n) for c, n in zip(f["content"], f["charset"])]})
-
-    return raw.select("key", "content", "charset").mapInPandas(decode, f"key {kind}, text string")
+    """key, text of rows (key, content bytes, charset): by the declared charset, else that of a <meta>, else UTF-8, else the default.
+
+    A charset that is unknown or doesn't fit the bytes gives way to the next. Where the text looks garbled, GBK, UTF-8 and
+    GB18030 are tried, and the first that doesn't is taken. The default loses what it can't read. Null content is null.
+    Decoding stays in the JVM; the session is set to know Java's charsets and to mark what a charset can't read.
+    """
+    for name in ("spark.sql.legacy.javaCharsets", "spark.sql.legacy.codingErrorAction"):
+        raw.sparkSession.conf.set(name, "true")
+    content = F.col("content")
+    known = F.create_map(*[F.lit(x) for pair in CHARSETS.items() for x in pair])
+    named = lambda c: F.try_element_at(known, F.lower(F.trim(c)))
+    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    head = F.decode(F.substring(content, 1, 2048), "ISO-8859-1")
+    rows = raw.select("key", "content", named(F.col("charset")).alias("told"), named(F.regexp_extract(head, r"""charset=["']?([\w-]+)""", 1)).alias("meta"))
+
+    def by(charset: str) -> Column:
+        """The text, null where the charset doesn't fit."""
+        if charset == "UTF-8":
+            return F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, charset))
+        return bound(F.decode(content, charset), lambda t: F.when(~F.contains(t, F.lit("\ufffd")), t))
+
+    def by_name(name: Column) -> Column:
+        out = F
+        for charset in dict.fromkeys(CHARSETS.values()):
+            out = out.when(name == charset, by(charset))
+        return out.otherwise(F.lit(None).cast("string"))
+
+    last = F.decode(content, CHARSETS.get(default.lower(), default))
+    first = F.coalesce(by_name(F.col("told")), by_name(F.col("meta")), by("UTF-8"), last)
+    clear = lambda c: bound(c, lambda t: F.when(~text.garbled_chinese(t), t))
+    others = F.coalesce(*[clear(by(c)) for c in ("GBK", "UTF-8", "GB18030")])
+    return rows.select("key", bound(first, lambda t: F.when(text.garbled_chinese(t), F.coalesce(others, t)).otherwise(t)).alias("text"))

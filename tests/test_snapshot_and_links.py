@@ -85,3 +85,27 @@ def test_links_to_persons(spark):
     assert rows(pages.discovered(table)) == sorted((1, x) for x in ("http://cs.a.edu.cn/szdw/teacher/1.htm", "http://cs.a.edu.cn/teacher/1.htm", "http://b.edu.cn/info/1/2.htm", "http://cs.a.edu.cn/x/detail/6", "http://cs.a.edu.cn/zj/js/7.php"))
     only = spark.createDataFrame([("B.edu.cn",)], "domain string")
     assert rows(pages.discovered(table, only)) == [(1, "http://b.edu.cn/info/1/2.htm")]
+
+
+PAGE = "<html><head>{}</head><body>" + "清华大学计算机科学与技术系，教授，研究方向：自然语言处理。" * 6 + "</body></html>"
+
+
+def test_bytes_of_many_charsets(spark, tmp_path):
+    meta = '<meta charset="{}">'
+    files = {
+        "gbk": (PAGE.format(meta.format("gb2312")).encode("gbk"), None), "utf8": (PAGE.format("").encode(), None), "big5": ("<p>臺灣大學資訊工程學系</p>".encode("big5"), "Big5"), "gb18030": ("\U00020000".encode("gb18030") + b"x", "gb18030"),
+        "wrong": (PAGE.format("").encode("gbk"), "utf-8"), "lying": (PAGE.format(meta.format("iso-8859-1")).encode("gbk"), None), "latin": ("déjà".encode("latin-1"), "ISO-8859-1"), "odd": ("清".encode("gbk"), "no-such"),
+    }
+    for name, (content, _) in files.items():
+        (tmp_path / name).write_bytes(content)
+    read = spark.read.format("binaryFile").load(str(tmp_path)).select(F.element_at(F.split("path", "/"), -1).alias("key"), "content")
+    told = spark.createDataFrame([(n, c) for n, (_, c) in files.items()] + [("none", None)], "key string, charset string")
+    rows = pages.decoded(told.join(read, "key", "left"))
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString() and "InPandas" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = {r.key: r.text for r in rows.collect()}
+    assert got == {
+        "gbk": PAGE.format(meta.format("gb2312")), "utf8": PAGE.format(""), "big5": "<p>臺灣大學資訊工程學系</p>", "gb18030": "\U00020000x", "wrong": PAGE.format(""), "lying": PAGE.format(meta.format("iso-8859-1")),
+        "latin": "déjà", "odd": "清", "none": None,
+    }
+    empty = spark.createDataFrame([(1, bytearray(b""), None), (2, bytearray(b""), "gbk")], "key int, content binary, charset string")
+    assert [r.text for r in pages.decoded(empty).collect()] == ["", ""] and pages.decoded(empty.where("false")).count() == 0
