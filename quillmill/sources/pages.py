@@ -107,7 +107,9 @@ def anchors(pages: DataFrame) -> DataFrame:
     """page_id, base, href, text of every link of every page; the base is the page's <base href> on its address, else its address."""
     href, inner = (F.regexp_extract_all("html", F.lit(r'(?i)<a\s[^>]*href="([^"]*)"[^>]*>([\s\S]*?)</a>'), F.lit(i)) for i in (1, 2))
     told = F.nullif(F.regexp_extract("html", r'(?i)<base\s[^>]*href="([^"]*)"', 1), F.lit(""))
-    rows = pages.select("page_id", F.coalesce(resolved(F.col("url"), told), F.col("url")).alias("base"), F.explode(F.arrays_zip(href.alias("href"), inner.alias("inner"))).alias("a"))
+    # As a row of a generator the base is worked out once a page, not once for each use of every link.
+    once = F.inline(F.array(F.struct(F.coalesce(resolved(F.col("url"), told), F.col("url")).alias("base"), F.arrays_zip(href.alias("href"), inner.alias("inner")).alias("links"))))
+    rows = pages.select("page_id", once).select("page_id", "base", F.explode("links").alias("a"))
     return rows.select("page_id", "base", F.trim("a.href").alias("href"), F.trim(F.regexp_replace("a.inner", "<[^>]+>", "")).alias("text"))
 
 
