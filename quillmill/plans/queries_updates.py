@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import updating
+from ..sources import field_trees
 from .standins import Domain, with_
 
 QUERIES: dict = {}
@@ -97,3 +98,21 @@ def reevaluated_links(d: Domain):
     lines = d.table("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(supplied, F.col("l_suppkey") == F.col("s_suppkey"))
     inferred = lines.groupBy("person_id", "slug").agg(F.min(F.expr("l_orderkey * 10 + l_linenumber")).alias("place"))
     return updating.new_links(d.links, d.fields, inferred, orders.groupBy("person_id").agg(F.count(F.lit(1)).alias("n")), 12)
+
+
+@query(with_("field") + """, customers AS (SELECT lower(n_name) || '-' || lower(replace(c_mktsegment, ' ', '-')) AS slug, lower(n_name) AS parent_slug, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)
+SELECT f.slug, p.slug AS parent_slug, f.level, CAST(f.id AS INTEGER) AS sort_order FROM field f LEFT JOIN field p ON p.id = f.parent_id
+UNION ALL SELECT slug, parent_slug, 2, CAST(n AS INTEGER) FROM customers""")
+def loaded_fields(d: Domain):
+    """The trees of regions, nations and their customers' segments, nested as JSON, put into the regions by slug."""
+    counted = d.table("customer").join(d.table("nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_nationkey", "n_name", "n_regionkey", "c_mktsegment").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    leaf = F.struct(F.concat(F.lower("n_name"), F.lit("-"), F.lower(F.replace(F.col("c_mktsegment"), F.lit(" "), F.lit("-")))).alias("slug"), F.col("n").alias("sortOrder"))
+    leaves = counted.groupBy("n_nationkey").agg(F.collect_list(leaf).alias("children"))
+    nations = d.table("nation").join(leaves, "n_nationkey", "left")
+    inner = nations.groupBy("n_regionkey").agg(F.collect_list(F.struct(F.lower("n_name").alias("slug"), (F.col("n_nationkey") + 100).alias("sortOrder"), "children")).alias("children"))
+    regions = d.table("region").join(inner, F.col("r_regionkey") == F.col("n_regionkey"), "left")
+    texts = regions.select(F.col("r_regionkey").alias("tree_id"), F.to_json(F.struct(F.lower("r_name").alias("slug"), F.col("r_regionkey").alias("sortOrder"), "children")).alias("tree"))
+    stored = d.fields.where("level = 0").select("id", "slug", "parent_id", "level", F.lit(None).cast("int").alias("sort_order"))
+    after = field_trees.loaded(stored.withColumn("id", F.col("id").cast("long")).withColumn("parent_id", F.col("parent_id").cast("long")), field_trees.field_nodes(texts))
+    parents = after.select(F.col("id").alias("parent_id"), F.col("slug").alias("parent_slug"))
+    return after.join(parents, "parent_id", "left").select("slug", "parent_slug", "level", "sort_order")
