@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import updating
+from ..operators import gate, updating
+from ..operators.stored import Steps
 from ..sources import field_trees
 from .standins import Domain, with_
 
@@ -116,3 +117,36 @@ def loaded_fields(d: Domain):
     after = field_trees.loaded(stored.withColumn("id", F.col("id").cast("long")).withColumn("parent_id", F.col("parent_id").cast("long")), field_trees.field_nodes(texts))
     parents = after.select(F.col("id").alias("parent_id"), F.col("slug").alias("parent_slug"))
     return after.join(parents, "parent_id", "left").select("slug", "parent_slug", "level", "sort_order")
+
+
+APPLICANT = {
+    "id": "p_partkey",
+    "name_zh": "p_type",
+    "name_en": "CASE p_partkey % 9 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN substring(p_name, 1, length(p_name) - 1) WHEN 3 THEN concat(upper(p_name), ' jr') WHEN 4 THEN concat(split_part(p_name, ' ', 2), ' ', split_part(p_name, ' ', 1)) ELSE p_name END",
+    "institution": "CASE WHEN p_partkey % 13 = 0 THEN NULL WHEN p_partkey % 2 = 0 THEN lower(p_brand) ELSE p_brand END",
+    "orcid_id": "CASE WHEN p_partkey % 17 < 2 THEN concat('o', CAST(CAST(floor(p_partkey / 40) AS INTEGER) AS VARCHAR(20))) ELSE NULL END",
+    "scholar_id": "CASE WHEN p_partkey % 19 < 2 THEN concat('s', CAST(CAST(floor(p_partkey / 60) AS INTEGER) AS VARCHAR(20))) ELSE NULL END",
+    "is_active": "p_partkey % 10 <> 3",
+}
+
+
+@query(f"""WITH every AS (SELECT *, lower(coalesce(nullif(name_en, ''), name_zh)) AS name, orcid_id IS NOT NULL OR scholar_id IS NOT NULL AS told FROM (SELECT {_columns(APPLICANT)} FROM part)),
+shaped AS (SELECT *, string_split(name, ' ') AS parts, [substring('  ' || name || ' ', CAST(i AS INTEGER), 3) for i in generate_series(1, length(name) + 1)] AS grams FROM every),
+pairs AS (SELECT a.id AS in_id, b.id, b.is_active, coalesce(a.orcid_id = b.orcid_id, false) AS o, coalesce(a.scholar_id = b.scholar_id, false) AS s, a.told,
+  coalesce(lower(a.institution) = lower(b.institution), false) AS place,
+  CASE WHEN a.name = b.name THEN 1.0 WHEN contains(a.name, b.name) OR contains(b.name, a.name) THEN 0.9
+    WHEN len(a.parts) = 2 AND len(b.parts) = 2 AND a.parts[1] = b.parts[2] AND a.parts[2] = b.parts[1] THEN 0.85
+    ELSE len([g for g in a.grams if list_contains(b.grams, g)]) / CAST(len(list_distinct(list_concat(a.grams, b.grams))) AS DOUBLE) END AS alike
+  FROM shaped a JOIN shaped b ON (lower(a.institution) = lower(b.institution) OR a.orcid_id = b.orcid_id OR a.scholar_id = b.scholar_id) WHERE a.id % 4 = 0 AND b.id % 4 <> 0),
+scored AS (SELECT *, least(1.0, (CASE WHEN o THEN 0.5 ELSE 0.0 END + CASE WHEN s THEN 0.4 ELSE 0.0 END + alike * CAST(0.4 AS DOUBLE) + CASE WHEN place THEN 0.1 ELSE 0.0 END) / CASE WHEN told THEN 1.0 ELSE 0.5 END) AS similarity FROM pairs),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY in_id ORDER BY decision, CASE WHEN decision = 1 THEN -similarity ELSE 0 END, id) AS n
+  FROM (SELECT *, CASE WHEN is_active AND round(similarity, 9) >= 0.85 THEN 1 WHEN o THEN 2 WHEN s THEN 3 END AS decision FROM scored) WHERE decision IS NOT NULL)
+SELECT a.id AS in_id, CASE decision WHEN 1 THEN 'duplicate' WHEN 2 THEN 'orcid_taken' WHEN 3 THEN 'scholar_taken' ELSE 'created' END AS decision, r.id, round(similarity, 6) AS similarity
+FROM every a LEFT JOIN ranked r ON r.in_id = a.id AND n = 1 WHERE a.id % 4 = 0""")
+def gate_decisions(d: Domain):
+    """What the gate says of every fourth part as a new person, held against the others as the stored ones."""
+    every = d.table("part").selectExpr(*[f"{e} AS {n}" for n, e in APPLICANT.items()])
+    stored, new, steps = every.where("id % 4 <> 0"), every.where("id % 4 = 0"), Steps(d.spark)
+    refused = gate.kept_out(new, stored, steps.write(gate.index_rows(stored), "index"), steps)
+    told = new.select(F.col("id").alias("in_id")).join(refused, "in_id", "left")
+    return told.select("in_id", F.coalesce("decision", F.lit("created")).alias("decision"), "id", F.round("similarity", 6).alias("similarity"))
