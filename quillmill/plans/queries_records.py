@@ -384,9 +384,37 @@ def garbage_cleanup(d: Domain):
     return chosen.select(F.col("id").cast("string").alias("entity_id"), F.lit("GARBAGE_NAME").alias("type"), F.lit("DEACTIVATE_PERSON").alias("action"))
 
 
-@query()
+_SPOILT = {
+    "name_zh": "substring(name_zh, 1, CAST(1 + id % 3 AS INTEGER))",
+    "bio_zh": "CASE id % 8 WHEN 1 THEN '<div>' || bio_zh || '</div>' WHEN 2 THEN '<p>' || repeat('-', 60) || bio_zh WHEN 3 THEN bio_zh || ' &nbsp; ' || bio_zh ELSE bio_zh END",
+}
+_SCANS = ("incomplete_profiles", "stale_profiles", "no_fields", "suspicious_scores", "duplicate_persons", "orphaned_records", "inactive_with_content")
+_GARBAGE = (
+    with_("person")
+    + f""", spoilt AS (SELECT * REPLACE ({_SPOILT["name_zh"]} AS name_zh) FROM person WHERE is_active), told AS (SELECT *, coalesce(h_index, 0) > 0 OR coalesce(citation_count, 0) > 0 AS known,
+  coalesce(CASE {_first_match("coalesce(name_zh, '')", text.GARBAGE_NAME_PATTERNS, "'pattern {}'")} WHEN length(coalesce(name_zh, '')) < 2 THEN 'short' WHEN length(name_zh) > 80 THEN 'long' END,
+    CASE WHEN coalesce(name_en, '') = '' THEN NULL {_first_match("name_en", text.GARBAGE_NAME_PATTERNS, "'english pattern'")} END) AS reason FROM spoilt)
+SELECT 'GARBAGE_NAME' AS type, CASE WHEN known THEN 'medium' ELSE 'high' END AS severity, CAST(id AS VARCHAR) AS entity_id, reason AS detail, CASE WHEN known THEN 'REVIEW' ELSE 'AUTO_FIX' END AS action FROM told WHERE reason IS NOT NULL"""
+)
+_JUNK = (
+    with_("person")
+    + f""", spoilt AS (SELECT * REPLACE ({_SPOILT["bio_zh"]} AS bio_zh) FROM person WHERE is_active), told AS (SELECT *, CASE WHEN length(bio_zh) >= 10 THEN CASE {_first_match("bio_zh", text.JUNK_BIO_PATTERNS, "{}")} END END AS pattern,
+  length(regexp_replace(bio_zh, '[^a-zA-Z0-9]', '', 'g')) / CAST(length(bio_zh) AS DOUBLE) < 0.3 AS thin FROM spoilt)
+SELECT 'JUNK_BIO' AS type, CASE WHEN thin THEN 'high' ELSE 'medium' END AS severity, CAST(id AS VARCHAR) AS entity_id, concat('pattern ', pattern) AS detail, CASE WHEN thin THEN 'AUTO_FIX' ELSE 'REVIEW' END AS action FROM told WHERE pattern IS NOT NULL"""
+)
+_ALL_ISSUES = " UNION ALL ".join(f"(SELECT type, severity, action FROM ({sql}) ORDER BY entity_id, detail LIMIT 100)" for sql in (_GARBAGE, _JUNK, *(ORACLES[n] for n in _SCANS)))
+
+
+@query(f"""SELECT type, severity, count(*) AS issues, count(*) FILTER (action = 'AUTO_FIX') AS auto_fixable, count(*) FILTER (action = 'REVIEW') AS needs_review
+FROM ({_ALL_ISSUES}) GROUP BY type, severity""")
 def full_scan_summary(d: Domain):
-    scans = [quality.incomplete_profiles(d.persons), quality.stale_profiles(d.persons, d.now()), quality.no_fields(d.persons, d.links), quality.suspicious_scores(d.persons, d.reports), quality.garbage_names(d.persons), quality.junk_bios(d.persons)]
+    """All nine scans over the persons, at most a hundred issues of each; names and biographies are spoilt for the two scans that look for it."""
+    p, children = d.persons, {"report": d.reports, "person_field": d.links}
+    spoilt = {c: p.withColumn(c, F.expr(e)) for c, e in _SPOILT.items()}
+    scans = [
+        quality.garbage_names(spoilt["name_zh"]), quality.junk_bios(spoilt["bio_zh"]), quality.incomplete_profiles(p), quality.stale_profiles(p, d.now()), quality.no_fields(p, d.links),
+        quality.suspicious_scores(p, d.reports, high=190), quality.duplicate_persons(p, ("institution", "department")), quality.orphaned_records(p, children), quality.inactive_with_content(p, d.now(), children),
+    ]
     return quality.summary(quality.full_scan(scans))
 
 
