@@ -418,13 +418,42 @@ def full_scan_summary(d: Domain):
     return quality.summary(quality.full_scan(scans))
 
 
-@query()
+_SOURCES = ("ORCID", "CN_UNIVERSITY", "GOOGLE_SCHOLAR")
+_SOURCED = {
+    "person_id": "id",
+    "source": "source",
+    "source_id": "source || ':' || CAST(id AS VARCHAR(20))",
+    "name_zh": "name_zh",
+    "name_en": "CASE WHEN (id + k) % 4 = 0 THEN '' ELSE name_en || ' ' || CAST(k AS VARCHAR(2)) END",
+    "institution": "institution || CASE k WHEN 1 THEN ', China' WHEN 2 THEN ' (MIT)' ELSE '' END",
+    "department": "CASE WHEN (id + k) % 3 = 0 THEN NULL ELSE department || ' ' || CAST(k AS VARCHAR(2)) END",
+    "email": "CASE WHEN (id + k) % 5 = 0 THEN '' ELSE CAST(k AS VARCHAR(2)) || email END",
+    "h_index": "CASE WHEN (id + k) % 6 = 0 THEN 0 ELSE h_index + k END",
+}
+_SOURCED_SQL = ", ".join(f"{e} AS {n}" for n, e in _SOURCED.items())
+#: Which source is asked first, of the three that stand in.
+_ASKED = {"name_zh": (0, 1, 2), "name_en": (0, 1, 2), "institution": (1, 0, 2), "department": (1, 0), "email": (1, 0, 2), "h_index": (2,)}
+
+
+def _asked(column: str) -> str:
+    told = [f"max({column}) FILTER (source = '{_SOURCES[i]}' AND CAST({column} AS VARCHAR) NOT IN ('', '0'))" for i in _ASKED[column]]
+    return f"coalesce({', '.join(told)}) AS {column}"
+
+
+@query(
+    with_("person")
+    + f""", told AS (SELECT {_SOURCED_SQL} FROM person, (VALUES (0, 'ORCID'), (1, 'CN_UNIVERSITY'), (2, 'GOOGLE_SCHOLAR')) s(k, source) WHERE k <= id % 3),
+one AS (SELECT person_id, count(DISTINCT source) AS n_sources, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, {", ".join(_asked(c) for c in _ASKED)},
+  max(source_id) FILTER (source = 'ORCID') AS orcid_id, max(source_id) FILTER (source = 'GOOGLE_SCHOLAR') AS scholar_id FROM told GROUP BY person_id)
+SELECT * REPLACE (CASE WHEN n_sources = 1 THEN institution WHEN institution LIKE '% (MIT)' THEN 'Massachusetts Institute of Technology' ELSE regexp_replace(institution, ', China$', '') END AS institution),
+  CASE WHEN n_sources = 1 THEN 1.0::DOUBLE ELSE least(100, CASE n_sources WHEN 2 THEN 60 ELSE 70 END + CASE WHEN email IS NULL THEN 0 ELSE 5 END + CASE WHEN h_index IS NULL THEN 0 ELSE 4 END
+    + CASE WHEN institution IS NULL THEN 0 ELSE 3 END + CASE WHEN department IS NULL THEN 0 ELSE 2 END + CASE WHEN orcid_id IS NULL THEN 0 ELSE 2 END) / 100::DOUBLE END AS confidence FROM one"""
+)
 def merge_sources(d: Domain):
-    """Stand-in sources: a customer is told of by up to three."""
-    names = F.array(F.lit("ORCID"), F.lit("CN_UNIVERSITY"), F.lit("GOOGLE_SCHOLAR"))
-    rows = d.persons.select(F.col("id").alias("person_id"), F.explode(F.slice(names, 1, (F.col("id") % 3 + 1).cast("int"))).alias("source"), "name_zh", "name_en", "institution", "department", "email", "h_index")
-    merged = matching.merge_sources(rows.withColumn("source_id", F.concat_ws(":", "source", "person_id")))
-    return merged.withColumn("sources", F.concat_ws(",", "sources"))
+    """Stand-in sources: a customer is told of by up to three, which differ and have gaps."""
+    names = F.array(*[F.lit(s) for s in _SOURCES])
+    rows = d.persons.select("*", F.posexplode(F.slice(names, 1, (F.col("id") % 3 + 1).cast("int"))).alias("k", "source")).selectExpr(*[f"{e} AS {n}" for n, e in _SOURCED.items()])
+    return matching.merge_sources(rows).withColumn("sources", F.concat_ws(",", "sources"))
 
 
 @query()
