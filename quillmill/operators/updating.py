@@ -41,11 +41,12 @@ def refreshed(persons: DataFrame, profiles: DataFrame, as_of: Column, fills: Seq
 def publications_after(publications: DataFrame, incoming: DataFrame, most: int = 50) -> DataFrame:
     """publications (id, person_id, doi, citation_count, abstract, source, ...) after incoming ones (person_id, place, doi, ...).
 
-    Of each person's incoming rows the first `most` count, and of these the ones with a DOI. A DOI that is stored, or that a
+    Of each person's incoming rows the first `most` count (of one place by DOI, then by what else they tell), and of these the ones with a DOI. A DOI that is stored, or that a
     person before has brought, is updated: the last citation count told, and the last abstract told with one. Any other DOI
     is added once, for the first person that brings it, with source SCRAPER. Rows without a DOI stay as they are.
     """
-    offered = first_n(incoming.where("person_id is not null"), ["person_id"], [F.col("place")], most).where(text.filled(F.col("doi")))
+    ties = [F.col(c).asc_nulls_last() for c in ("doi", "title", "citation_count", "abstract") if c in incoming.columns]
+    offered = first_n(incoming.where("person_id is not null"), ["person_id"], [F.col("place"), *ties], most).where(text.filled(F.col("doi")))
     shared = [c for c in publications.columns if c in incoming.columns and c not in ("id", "doi", "person_id")]
     cited = F.col("citation_count").isNotNull()
     # The last teller is another person than the first, or no one came after the first: one aggregation tells both.
@@ -73,11 +74,11 @@ def title_start(title: Column) -> Column:
 def new_titled(existing: DataFrame, incoming: DataFrame, most: int = 20) -> DataFrame:
     """The incoming children (person_id, place, title, ...) whose title's first 60 letters, case aside, the person has not stored.
 
-    At most `most` of a person, by place. A null title counts as empty. Rows that repeat one another in the batch all stay.
+    At most `most` of a person, by place, then title. A null title counts as empty. Rows that repeat one another in the batch all stay.
     """
     have = existing.select("person_id", title_start(F.col("title")).alias("_start")).distinct()
     new = incoming.where("person_id is not null").withColumn("_start", title_start(F.col("title"))).join(have, ["person_id", "_start"], "left_anti")
-    return first_n(new.withColumn("_place", F.col("place")), ["person_id"], [F.col("_place")], most).withColumn("place", F.col("_place")).select(incoming.columns)
+    return first_n(new.withColumn("_place", F.col("place")), ["person_id"], [F.col("_place"), F.col("title")], most).withColumn("place", F.col("_place")).select(incoming.columns)
 
 
 def new_links(links: DataFrame, fields: DataFrame, inferred: DataFrame, children: DataFrame, least: int = 5) -> DataFrame:

@@ -62,3 +62,11 @@ def test_limits_ties_and_empty_tables(spark):
     few = spark.createDataFrame([(1, 4)], "person_id long, n int")
     assert updating.new_links(links, fields, inferred, few).count() == 0
     assert [tuple(r) for r in updating.new_links(links, fields, inferred, few.withColumn("n", F.lit(5))).collect()] == [(1, 11, False)]
+
+
+def test_rows_of_one_place_are_ordered_by_doi(spark):
+    stored = spark.createDataFrame([], "id string, person_id long, title string, doi string, citation_count int, abstract string, source string")
+    rows = [(1, 7, "t", "10/b", 2, None), (1, 7, "t", "10/a", 1, None), (1, 7, "t", None, 3, None)]
+    for order in (rows, rows[::-1], rows[1:] + rows[:1]):
+        incoming = spark.createDataFrame(order, "person_id long, place long, title string, doi string, citation_count int, abstract string").coalesce(1)
+        assert [(r["doi"], r["citation_count"]) for r in updating.publications_after(stored, incoming, 1).collect()] == [("10/a", 1)]
