@@ -34,6 +34,19 @@ def token_matches(left: DataFrame, right: DataFrame, least: float = 0.5) -> Data
     return scored.where(F.col("similarity") >= least).select("left_id", "right_id", "similarity")
 
 
+def best_token_matches(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFrame:
+    """The best right_id of each left_id among token_matches; ties go to the smallest id.
+
+    Names of the same words are matched once, whoever has them: of equal right names only the smallest id can be the best.
+    So copies of a name make no pairs, on either side.
+    """
+    keyed = lambda df: df.select("id", F.array_join(F.array_sort(tokens(F.col("name"))), " ").alias("name")).where("id is not null and name <> ''")
+    a, firsts = keyed(left), keyed(right).groupBy("name").agg(F.min("id").alias("right_id"))
+    alike = token_matches(a.select(F.col("name").alias("id"), "name").distinct(), firsts.select(F.col("name").alias("id"), "name"), least)
+    best = best_matches(alike.withColumnRenamed("right_id", "name").join(firsts, "name").select("left_id", "right_id", "similarity"))
+    return best_matches(a.select(F.col("id").alias("left_id"), "name").join(best.withColumnRenamed("left_id", "name"), "name").select("left_id", "right_id", "similarity"))
+
+
 def best_matches(matches: DataFrame) -> DataFrame:
     """The best right_id of each left_id; ties go to the smallest id."""
     best = Window.partitionBy("left_id").orderBy(F.desc("similarity"), "right_id")

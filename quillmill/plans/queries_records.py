@@ -160,7 +160,7 @@ SELECT left_id, right_id, similarity FROM (SELECT *, row_number() OVER (PARTITIO
 def token_best_match(d: Domain):
     left = d.table("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
     right = d.table("supplier").join(d.table("part"), F.col("p_partkey") == F.col("s_suppkey")).select(F.col("s_suppkey").alias("id"), F.col("p_name").alias("name"))
-    return matching.best_matches(matching.token_matches(left, right, 0.5))
+    return matching.best_token_matches(left, right, 0.5)
 
 
 _TRIGRAMS = "list_transform(generate_series(1, length({0}) + 1), lambda i: substr('  ' || {0} || ' ', i, 3))"

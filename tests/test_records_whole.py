@@ -53,3 +53,14 @@ def test_candidates_by_held_name_and_institution(spark):
     stored = spark.createDataFrame([(1, None, "Prof. Wei Zhang (Physics Group)", "MIT", True), (2, None, "Ann Lee", "Mit, Cambridge", True), (3, None, "Bo Li", "ETH", True), (4, None, "Wei Zhang Jr", "MIT", False)], columns)
     new = spark.createDataFrame([(10, None, "wei zhang", "mit", True), (11, None, "Nobody Known", "MIT", True)], columns)
     assert {(r.in_id, r.id) for r in matching.candidates(new, stored, ()).collect()} == {(10, 1), (10, 2)}
+
+
+def test_copies_of_a_name_make_no_pairs(spark):
+    make = lambda names, first: spark.createDataFrame([(first + i, n) for i, n in enumerate(names)], "id long, name string")
+    left, right = make(["a b", "B  a", "a c", "x", "", None] * 40, 0), make(["b a", "a", "c d", " "] * 30, 1000)
+    best = matching.best_token_matches(left, right)
+    plain = matching.best_matches(matching.token_matches(left, right))
+    assert {tuple(r) for r in best.collect()} == {tuple(r) for r in plain.collect()} and best.count() == 120
+    # Two ways to write one right name, so two names on either side meet, not 120 and 90 rows.
+    joins = [line for line in best._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert not any("left_id" in line and "right_id" in line for line in joins)
