@@ -74,3 +74,25 @@ def test_empty_batches_and_conflicts(spark, tmp_path):
     assert [r["decision"] for r in gate.admit(store, spark.createDataFrame([(1, None, None, None, None, None, None)], SCHEMA)).collect()] == ["created"]
     with pytest.raises(Conflict):
         store.commit({"persons.000000": empty}, 1)
+
+
+def test_namesakes_make_no_pairs(spark, tmp_path):
+    stored = [(i, "某", "Wei Chen", "A Univ", f"o{i}" if i % 3 == 0 else None, None, i > 2) for i in range(30)]
+    make = lambda rows: spark.createDataFrame(rows, SCHEMA)
+    one = gate.index_rows(make(stored[4:5])).count()
+    assert gate.index_rows(make(stored)).count() == one + 10
+    steps = gate.Steps(spark)
+    batch = make([(100 + i, "某", "chen WEI", "a univ", None, None, True) for i in range(20)])
+    got = gate.kept_out(batch, make(stored), gate.index_rows(make(stored)), steps)
+    assert {tuple(r)[:3] for r in got.collect()} == {(100 + i, "duplicate", 3) for i in range(20)}
+    assert spark.read.parquet(steps.paths["stored-probes"]).select("in_id").distinct().count() == 1
+
+
+def test_namesakes_of_a_batch(spark, tmp_path):
+    # The smallest is inactive, the next has an id and is kept out by it, later ones meet the first active one without.
+    batch = [(1, "某", "Wei Chen", "A", None, None, False), (2, "某", "Wei Chen", "A", "o1", None, True), (3, "某", "Wei Chen", "A", None, None, True), (4, "某", "Wei Chen", "A", None, None, True), (5, "某", "Wei Chen", "A", "o2", None, True), (6, "某", "Chen Wei", "A", None, None, True)]
+    stored = [(0, "某", "Other", "B", "o1", None, True)]
+    store = Store(spark, str(tmp_path))
+    gate.begin(store, spark.createDataFrame(stored, SCHEMA))
+    got = {r["in_id"]: (r["decision"], r["id"]) for r in gate.admit(store, spark.createDataFrame(batch, SCHEMA)).collect()}
+    assert got == by_hand(spark, batch, stored)
