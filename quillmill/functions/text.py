@@ -170,8 +170,18 @@ def slug(name: Column) -> Column:
 
 
 def trigrams(s: Column) -> Column:
-    padded = F.concat(F.lit("  "), s, F.lit(" "))
-    return F.transform(F.sequence(F.lit(1), F.length(s) + 1), lambda i: F.substring(padded, i, F.lit(3)))
+    padded = F.array(F.concat(F.lit("  "), s, F.lit(" ")))  # one element, so that it is made once and not for every trigram
+    return F.element_at(F.transform(padded, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, F.lit(3)))), 1)
+
+
+def shared_trigrams(a: Column, b: Column) -> Column:
+    """Trigrams of a, repeats counted, that b has too, over the distinct ones of both.
+
+    Both lists are bound as an array's one element, so they are made once a row and not once for every trigram.
+    """
+    both = F.array(F.struct(trigrams(a).alias("a"), F.array_distinct(trigrams(b)).alias("b")))
+    of = lambda s: F.size(F.filter(s["a"], lambda t: F.array_contains(s["b"], t))) / F.size(F.array_union(s["a"], s["b"])).cast("double")
+    return F.element_at(F.transform(both, of), 1)
 
 
 def name_similarity(a: Column, b: Column) -> Column:
@@ -179,9 +189,7 @@ def name_similarity(a: Column, b: Column) -> Column:
     a, b = F.lower(a), F.lower(b)
     pa, pb = F.split(a, r"\s+"), F.split(b, r"\s+")
     swapped = (F.size(pa) == 2) & (F.size(pb) == 2) & (F.element_at(pa, 1) == F.element_at(pb, -1)) & (F.element_at(pa, -1) == F.element_at(pb, 1))
-    ta, tb = trigrams(a), trigrams(b)
-    shared = F.size(F.filter(ta, lambda t: F.array_contains(tb, t)))
-    return F.when(a == b, 1.0).when(F.contains(a, b) | F.contains(b, a), 0.9).when(swapped, 0.85).otherwise(shared / F.size(F.array_union(ta, tb)).cast("double"))
+    return F.when(a == b, 1.0).when(F.contains(a, b) | F.contains(b, a), 0.9).when(swapped, 0.85).otherwise(shared_trigrams(a, b))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -289,16 +289,19 @@ def united(rows: DataFrame, key: str, *columns: str) -> DataFrame:
     return out.select(key, *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in columns])
 
 
+def shown_name(record: dict[str, Column]) -> Column:
+    """The name of a stored record (name_zh, name_en) that is compared: the English one if there is any, without titles."""
+    return text.canonical_name(F.coalesce(F.nullif(record["name_en"], F.lit("")), record["name_zh"]))
+
+
 def duplicate_similarity(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    """Similarity of two stored records (name_zh, name_en, institution): name 0.6, equal institution 0.4, one in the other 0.25.
+    """Similarity of two stored records (name by shown_name, institution): name 0.6, equal institution 0.4, one in the other 0.25.
 
     Names go without titles and keep their case where they are equal or one holds the other; shared trigrams count with
     repeats, over all distinct ones. A missing institution adds nothing.
     """
-    na, nb = (text.canonical_name(F.coalesce(F.nullif(r["name_en"], F.lit("")), r["name_zh"])) for r in (a, b))
-    ta, tb = text.trigrams(F.lower(na)), text.trigrams(F.lower(nb))
-    shared = F.size(F.filter(ta, lambda t: F.array_contains(tb, t))) / F.size(F.array_union(ta, tb)).cast("double")
-    name = F.when(na == nb, 1.0).when(F.contains(na, nb) | F.contains(nb, na), 0.9).otherwise(shared)
+    na, nb = a["name"], b["name"]
+    name = F.when(na == nb, 1.0).when(F.contains(na, nb) | F.contains(nb, na), 0.9).otherwise(text.shared_trigrams(F.lower(na), F.lower(nb)))
     ia, ib = (F.trim(F.lower(F.nullif(r["institution"], F.lit("")))) for r in (a, b))
     place = F.when(ia == ib, 0.4).when(F.contains(ia, ib) | F.contains(ib, ia), 0.25).otherwise(0.0)
     return F.coalesce(name, F.lit(0.0)) * 0.6 + place

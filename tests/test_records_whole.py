@@ -64,3 +64,9 @@ def test_copies_of_a_name_make_no_pairs(spark):
     # Two ways to write one right name, so two names on either side meet, not 120 and 90 rows.
     joins = [line for line in best._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
     assert not any("left_id" in line and "right_id" in line for line in joins)
+
+
+def test_names_are_made_ready_once_a_person(spark, sf_dir):
+    lines = QUERIES["duplicate_scores"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join = next(i for i, line in enumerate(lines) if "Join" in line)
+    assert not any("regexp_replace" in line for line in lines[:join]) and any("regexp_replace" in line for line in lines[join:])
