@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores, text
 from ..functions.numbers import half_up
 from ..operators import cleanup, feed, graph, matching, metrics, quality
+from ..operators.stored import Steps
 from .standins import Domain, with_
 
 QUERIES: dict = {}
@@ -193,6 +194,14 @@ edge AS (SELECT a.person_id AS from_id, b.person_id AS to_id, count(*) AS papers
 """
 
 
+def _over_stored_edges(d: Domain, result):
+    """result (from stored edges to a table of nodes) as a table; the edges are written once and deleted after it."""
+    steps = Steps(d.spark)
+    out = steps.write(result(graph.stored_coauthor_edges(d.publications.select("paper_id", "person_id"), steps)), "result")
+    steps.keep_only("result")
+    return out
+
+
 def _one_iteration(d: Domain, edges):
     nodes = _nodes(d).select("id")
     n = nodes.count()
@@ -210,18 +219,18 @@ received AS (SELECT to_id, sum((1.0 / n) / degree * weight) AS x FROM edge JOIN
 SELECT s_suppkey AS id, floor(((1 - 0.85) / n + 0.85 * coalesce(x, 0)) * 1e9 + 0.5) / 1e9 AS rank FROM supplier LEFT JOIN received ON to_id = s_suppkey, n"""
 )
 def pagerank_one_iteration(d: Domain):
-    return _one_iteration(d, _edges(d))
+    return _over_stored_edges(d, lambda edges: _one_iteration(d, edges))
 
 
 @query()
 def pagerank_converged(d: Domain):
-    nodes, edges = _nodes(d), _edges(d)
-    return graph.authority(nodes, edges, graph.pagerank(nodes, edges))
+    nodes = _nodes(d)
+    return _over_stored_edges(d, lambda edges: graph.authority(nodes, edges, graph.pagerank(nodes, edges, stored=True)))
 
 
 @query()
 def label_propagation(d: Domain):
-    return graph.communities(_nodes(d), _edges(d))
+    return _over_stored_edges(d, lambda edges: graph.communities(_nodes(d), edges, stored=True))
 
 
 @query("WITH last AS (SELECT value FROM events ORDER BY ts DESC, event_id DESC LIMIT 10000) SELECT quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, max(value) AS max, count(*) AS samples FROM last")

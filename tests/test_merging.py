@@ -94,3 +94,23 @@ def test_a_look_up_reads_few_rows(spark, tmp_path):
     groups = [g for f in sorted((tmp_path / "t").glob("*.parquet")) for g in (lambda m: [m.row_group(i) for i in range(m.num_row_groups)])(pq.ParquetFile(f).metadata)]
     holding = [g for g in groups if g.column(0).statistics.min <= 12_346 <= g.column(0).statistics.max]
     assert len(groups) >= 40 and len(holding) == 1 and max(g.num_rows for g in groups) <= 5_000
+
+
+def test_edges_are_counted_in_as_many_parts_as_pairs_ask_for(spark, monkeypatch):
+    rows = [(p, a) for p in range(6) for a in range(p + 1)] + [(1, 0), (None, 1), (None, 2), (3, None)]
+    papers = spark.createDataFrame(rows, "paper_id int, person_id int")
+    monkeypatch.setattr(graph, "PAIRS", 5)
+    edges = graph.coauthor_edges(papers)
+    want = {(a, b): 6 - max(a, b) for a in range(6) for b in range(6) if a != b}
+    assert {(r.from_id, r.to_id): r.papers for r in edges.collect()} == want
+    assert edges.rdd.getNumPartitions() >= 35 // 5  # pairs of 0 to 5 others a paper
+    assert {(r.from_id, r.to_id) for r in graph.coauthor_edges(papers, 3).collect()} == {(a, b) for a in range(3) for b in range(3) if a != b}
+
+
+def test_many_nodes_are_joined_without_broadcast(spark, monkeypatch):
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in ((0, 1), (1, 0), (1, 2), (2, 1), (3, 4), (4, 3))], "from_id int, to_id int, weight double")
+    nodes = spark.range(5).select(F.col("id").cast("int").alias("id"))
+    tell = lambda: (sorted(map(tuple, graph.communities(nodes, edges, most=2).collect())), sorted((r.id, round(r.rank, 9)) for r in graph.pagerank(nodes, edges, most=2).collect()))
+    small = tell()
+    monkeypatch.setattr(graph, "MAX_BROADCAST", 0)
+    assert tell() == small
