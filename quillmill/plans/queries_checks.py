@@ -110,6 +110,7 @@ def names_in_two_languages(d: Domain):
     return rows.select("id", names.person_check(F.col("zh"), F.col("en")).alias("c")).select("id", "c.valid", "c.warning")
 
 
+KEYS_A_TASK = 50_000
 # A page and its sections as (layout, heading, content).
 LAYOUTS = (
     ("<h1>X</h1><h2> Work </h2><p>Deep <b>nets</b></p><h3>Prizes</h3>none<h4><i>odd</i></h4>lost", (("heading", "Work", "Deep nets"), ("heading", "Prizes", "none"))),
@@ -127,8 +128,10 @@ JOIN (VALUES {', '.join(f'({i}, {j}, {_q(layout)}, {_q(heading)}, {_q(content)})
  ON o_orderkey % {len(LAYOUTS) + 1} = v.k"""
 )
 def page_layouts(d: Domain):
-    rows = d.table("orders").selectExpr("o_orderkey AS page_id", f"{_rotated('o_orderkey', [_q(html) for html, _ in LAYOUTS])} AS html")
-    return pages.sections(rows)
+    # A scan gives each row group to one task, however much its pages cost; the keys are dealt out, and pages made where they are read.
+    keys = d.table("orders").select("o_orderkey")
+    dealt = keys.repartition(-(-keys.count() // KEYS_A_TASK) or 1, "o_orderkey")
+    return pages.sections(dealt.selectExpr("o_orderkey AS page_id", f"{_rotated('o_orderkey', [_q(html) for html, _ in LAYOUTS])} AS html"))
 
 
 @query(

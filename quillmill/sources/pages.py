@@ -44,7 +44,9 @@ def sections(pages: DataFrame) -> DataFrame:
     at most 5, 3 and 2 characters don't count in the last three. Nulls have no section.
     """
     rows = with_sections(pages.select("page_id", "html"))
-    return rows.select("page_id", F.posexplode("found").alias("seq", "s")).select("page_id", "seq", "s.layout", "s.heading", "s.content")
+    # For a plain posexplode Spark adds a filter on the array, which works every layout out again, once for each place where the steps name it.
+    each = rows.select("page_id", F.posexplode_outer("found").alias("seq", "s")).where("seq is not null")
+    return each.select("page_id", "seq", "s.layout", "s.heading", "s.content")
 
 
 def without_dots(path: Column) -> Column:
@@ -148,28 +150,31 @@ def with_sections(pages: DataFrame) -> DataFrame:
     """The rows with their sections in the array `found` (layout, heading, content)."""
     html, bare = F.col("html"), lambda c: F.regexp_replace(c, r"^\s+|\s+\z", "")
 
+    none = F.array().cast("array<struct<layout:string,heading:string,content:string>>")
+
     def pieces(source: Column, head: str, group: int, layout: str, content) -> Column:
         """Each head with what follows it up to the next."""
         named = F.regexp_extract_all(source, F.lit(head), F.lit(group))
         after = F.slice(F.split(source, head, -1), 2, 1 << 30)
-        return F.zip_with(named, after, lambda h, c: F.struct(F.lit(layout).alias("layout"), h.alias("heading"), content(c).alias("content")))
+        each = F.zip_with(named, after, lambda h, c: F.struct(F.lit(layout).alias("layout"), h.alias("heading"), content(c).alias("content")))
+        # A split reads its pattern anew for every row, so only texts with a head are split.
+        return F.when(~F.regexp_like(source, F.lit(head)), none).otherwise(each)
 
-    plain = text.strip_html(html)
     headed = pieces(html, r"(?i)<(h[234])[^>]*>\s*([^<]{1,100})</\1>", 2, "heading", lambda c: text.strip_html(F.regexp_replace(c, r"(?is)<h[234][^>]*>.*\z", "")))
     titled = pieces(html, TITLED, 1, "title", text.strip_html)
-    labelled = pieces(plain, rf"((?:{LABELS})\s*)[：:]\s*", 1, "label", bare)
+    labelled = pieces(F.col("_plain"), rf"((?:{LABELS})\s*)[：:]\s*", 1, "label", bare)
     row = rf"(?is)<t[dh][^>]*>\s*({CELL_LABELS})\s*</t[dh]>\s*<t[dh][^>]*>\s*(.*?)\s*</t[dh]>"
     cells = [F.regexp_extract_all(html, F.lit(row), F.lit(i)) for i in (1, 2)]
     celled = F.zip_with(*cells, lambda h, c: F.struct(F.lit("cell").alias("layout"), h.alias("heading"), text.strip_html(c).alias("content")))
 
     # A step each: a layout is only tried where those before it gave nothing, and none is tried twice.
-    rows = pages.withColumn("found", F.transform(headed, lambda s: F.struct(s["layout"].alias("layout"), bare(s["heading"]).alias("heading"), s["content"].alias("content"))))
-    for other in (
-        F.filter(F.transform(titled, lambda s: F.struct(s["layout"].alias("layout"), bare(s["heading"]).alias("heading"), s["content"].alias("content"))), lambda s: (F.length(s["heading"]) > 1) & (F.length(s["content"]) > 5)),
-        F.filter(labelled, lambda s: F.length(s["content"]) > 3),
-        F.filter(celled, lambda s: F.length(s["content"]) > 2),
-    ):
-        rows = rows.withColumn("found", F.when(F.size("found") > 0, F.col("found")).otherwise(other))
+    tried = lambda other: F.when(F.size("found") > 0, F.col("found")).otherwise(other)
+    bare_heading = lambda s: F.struct(s["layout"].alias("layout"), bare(s["heading"]).alias("heading"), s["content"].alias("content"))
+    rows = pages.withColumn("found", F.transform(headed, bare_heading))
+    rows = rows.withColumn("found", tried(F.filter(F.transform(titled, bare_heading), lambda s: (F.length(s["heading"]) > 1) & (F.length(s["content"]) > 5))))
+    rows = rows.withColumn("_plain", F.when(F.size("found") == 0, text.strip_html(html)))
+    rows = rows.withColumn("found", tried(F.filter(labelled, lambda s: F.length(s["content"]) > 3)))
+    rows = rows.withColumn("found", tried(F.filter(celled, lambda s: F.length(s["content"]) > 2))).drop("_plain")
     return rows
 
 
